@@ -42,59 +42,58 @@ def once(votes: DataFrame) -> DataFrame:
     return counts.groupBy("item_id", "annotator").agg(best).select("item_id", "annotator", F.col("best.label").alias("label"))
 
 
-def _posterior(weighed: DataFrame) -> DataFrame:
-    """item_id, label, n and probability of being the true label, from votes with their log odds."""
-    scores = weighed.groupBy("item_id", "label").agg(F.sum("odds").alias("score"), F.count(F.lit(1)).alias("n"))
-    items = scores.groupBy("item_id").agg(F.max("score").alias("top"))
-    exps = scores.join(items, "item_id").withColumn("e", F.exp(F.col("score") - F.col("top")))
-    totals = exps.groupBy("item_id").agg(F.sum("e").alias("total"))
-    return exps.join(totals, "item_id").select("item_id", "label", "n", "score", (F.col("e") / F.col("total")).alias("probability"))
-
-
 def _odds(competence: Column, guess: Column) -> Column:
     """Log of how much more likely a vote is if its label is the true one than if it is not."""
     return F.log((competence + (1 - competence) * guess) / ((1 - competence) * guess))
 
 
+def _judged(votes: DataFrame, parameters: DataFrame) -> DataFrame:
+    """votes with competence, guess and the probability of their label being the true one of the item. The labels of an item
+    meet in windows over it: an item has at most as many votes as there are annotators."""
+    item, label = Window.partitionBy("kind", "item_id"), Window.partitionBy("kind", "item_id", "label")
+    scored = votes.join(parameters, ["kind", "annotator", "label"]).withColumn("odds", _odds(F.col("competence"), F.col("guess")))
+    scored = scored.withColumns({"score": F.sum("odds").over(label), "n": F.count(F.lit(1)).over(label)})
+    e = F.exp(F.col("score") - F.max("score").over(item))
+    return scored.withColumn("e", e).withColumn("probability", F.col("e") / F.sum(F.col("e") / F.col("n")).over(item))
+
+
 def fit(votes: DataFrame, iterations: int = ITERATIONS) -> tuple[DataFrame, DataFrame]:
-    """Labels (item_id, label, n, score, probability) and parameters (annotator, label, competence, guess, n_votes).
+    """Labels (kind, item_id, label, n, probability) and parameters (kind, annotator, label, competence, guess, n_votes).
 
-    votes has item_id, annotator and label, one row per item and annotator (see once()); a null label is a label of its
-    own. An item with one vote keeps its label. Ties go to the label with more votes, then to the smaller one (best()).
+    votes has kind, item_id, annotator and label, one row per item and annotator (see once()); each kind of items has its
+    own competences and guesses. A null label is a label of its own. An item with one vote keeps its label. Ties go to the
+    label with more votes, then to the smaller one (best()). No votes give no rows.
     """
     votes = stored(votes.withColumn("label", F.coalesce("label", F.lit("\0"))), "votes")
-    commons = votes.groupBy("label").agg(F.count(F.lit(1)).alias("n_label"))
-    total = commons.agg(F.sum("n_label").alias("n_all"))
-    # what everyone guesses: the share of a label among all votes; the one-row total is joined by a constant
-    common = commons.withColumn("one", F.lit(1)).join(total.withColumn("one", F.lit(1)), "one").select("label", (F.col("n_label") / F.col("n_all")).alias("common"))
-    pairs = votes.groupBy("annotator", "label").agg(F.count(F.lit(1)).alias("n_pair")).join(common, "label")
-    sizes = votes.groupBy("annotator").agg(F.count(F.lit(1)).alias("n_votes"))
-    pairs = cut(pairs.join(sizes, "annotator"))
-    parameters = pairs.select("annotator", "label", "n_votes", F.lit(0.7).alias("competence"), F.col("common").alias("guess"))
-    for i in range(iterations + 1):
-        weighed = votes.join(parameters, ["annotator", "label"]).withColumn("odds", _odds(F.col("competence"), F.col("guess")))
-        labels = _posterior(weighed)
-        if i == iterations:
-            break
+    pairs = votes.groupBy("kind", "annotator", "label").agg(F.count(F.lit(1)).alias("n_pair"))
+    shares = pairs.groupBy("kind", "label").agg(F.sum("n_pair").alias("n_label"))
+    sizes = shares.groupBy("kind").agg(F.sum("n_label").alias("n_all"))
+    # what everyone guesses: the share of a label among all votes of the kind
+    common = shares.join(sizes, "kind").select("kind", "label", (F.col("n_label") / F.col("n_all")).alias("common"))
+    own = pairs.groupBy("kind", "annotator").agg(F.sum("n_pair").alias("n_votes"))
+    pairs = stored(pairs.join(common, ["kind", "label"]).join(own, ["kind", "annotator"]), "pairs")
+    parameters = pairs.select("kind", "annotator", "label", "n_votes", F.lit(0.7).alias("competence"), F.col("common").alias("guess"))
+    for _ in range(iterations):
         truth = F.col("probability") * F.col("competence") / (F.col("competence") + (1 - F.col("competence")) * F.col("guess"))
-        told = weighed.join(labels.select("item_id", "label", "probability"), ["item_id", "label"]).groupBy("annotator", "label").agg(F.sum(truth).alias("true"))
-        by_annotator = told.join(pairs, ["annotator", "label"])
-        sums = by_annotator.groupBy("annotator").agg(F.sum("true").alias("all_true"))
+        told = _judged(votes, parameters).groupBy("kind", "annotator", "label").agg(F.sum(truth).alias("true"))
+        by_annotator = told.join(pairs, ["kind", "annotator", "label"])
+        sums = told.groupBy("kind", "annotator").agg(F.sum("true").alias("all_true"))
         guessed = F.col("n_votes") - F.col("all_true")
         parameters = cut(
-            by_annotator.join(sums, "annotator").select(
-                "annotator", "label", "n_votes",
+            by_annotator.join(sums, ["kind", "annotator"]).select(
+                "kind", "annotator", "label", "n_votes",
                 ((F.col("all_true") + PRIOR_TRUE) / (F.col("n_votes") + PRIOR_TRUE + PRIOR_GUESS)).alias("competence"),
                 ((F.col("n_pair") - F.col("true") + SMOOTHING * F.col("common")) / (guessed + SMOOTHING)).alias("guess"),
             )
         )
+    labels = _judged(votes, parameters).groupBy("kind", "item_id", "label").agg(F.count(F.lit(1)).alias("n"), F.max("probability").alias("probability"))
     return labels, parameters
 
 
 def best(labels: DataFrame) -> DataFrame:
-    """item_id, label and probability of the most likely label of each item."""
+    """kind, item_id, label and probability of the most likely label of each item."""
     order = F.struct(F.round(-F.col("probability"), 9).alias("p"), (-F.col("n")).alias("n"), "label")
-    return labels.groupBy("item_id").agg(F.min(order).alias("b")).select("item_id", F.when(F.col("b.label") != "\0", F.col("b.label")).alias("label"), (-F.col("b.p")).alias("probability"))
+    return labels.groupBy("kind", "item_id").agg(F.min(order).alias("b")).select("kind", "item_id", F.when(F.col("b.label") != "\0", F.col("b.label")).alias("label"), (-F.col("b.p")).alias("probability"))
 
 
 def agreement(votes: DataFrame) -> DataFrame:
@@ -112,30 +111,25 @@ def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return once(answer_votes(table(spark, sf_dir, "scored_cells", "qid", "gold_answers", "gold_annotators")))
 
 
+def _votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _letters(spark, sf_dir).withColumn("kind", F.lit("letter")).unionByName(_answers(spark, sf_dir).withColumn("kind", F.lit("answer")))
+
+
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """item_id, label: the consensus label of each item of letter_votes and scored_cells."""
-    letters, _ = fit(_letters(spark, sf_dir))
-    answers, _ = fit(_answers(spark, sf_dir))
-    return best(letters).unionByName(best(answers)).select("item_id", "label")
+    return best(fit(_votes(spark, sf_dir))[0]).select("item_id", "label")
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Consensus, its probability, the number of votes and their agreement for each item."""
-    out = None
-    for votes in (_letters(spark, sf_dir), _answers(spark, sf_dir)):
-        one = best(fit(votes)[0]).join(agreement(votes), "item_id")
-        out = one if out is None else out.unionByName(one)
-    return out
+    votes = _votes(spark, sf_dir)
+    return best(fit(votes)[0]).drop("kind").join(agreement(votes), "item_id")
 
 
 def annotators(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Competence of each annotator (the share of their votes that tell the truth rather than a guess) and their votes, by
     kind of item."""
-    out = None
-    for kind, votes in (("letter", _letters(spark, sf_dir)), ("answer", _answers(spark, sf_dir))):
-        one = tree_aggregate(fit(votes)[1], ["annotator"], {"competence": ("max", "competence"), "n_votes": ("max", "n_votes")}).withColumn("kind", F.lit(kind))
-        out = one if out is None else out.unionByName(one)
-    return out
+    return tree_aggregate(fit(_votes(spark, sf_dir))[1], ["kind", "annotator"], {"competence": ("max", "competence"), "n_votes": ("max", "n_votes")})
 
 
 def agreement_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
