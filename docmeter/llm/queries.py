@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from docmeter.llm import consensus, encode, names, pairs
+from docmeter.llm import abuse, consensus, cut, encode, mixing, names, pairs
 
-MODULES = [pairs, consensus, names, encode]
+MODULES = [pairs, cut, consensus, names, encode, mixing, abuse]
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in MODULES for name, sql in getattr(module, "SQL", {}).items()}
