@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,6 +34,8 @@ LONG, STRETCH = 18, 14
 #: A document labelled 1 weighs so many times a sound sentence.
 POSITIVE = 3.0
 SEED = 20_260_616
+#: Sentences whose subwords are worked out together; bounds memory only.
+AT_A_TIME = 2_000
 
 # Letters of other scripts and digits that stand for Latin letters inside a word.
 LOOKALIKES = str.maketrans("аеорсухіјѕһԁԛԝɡαοѵ", "aeopcyxijshdqwgaov")
@@ -131,9 +134,17 @@ def features(texts: list[str], bits: int = BITS) -> tuple[np.ndarray, np.ndarray
     return buckets[order], np.searchsorted(at[order], begins)
 
 
+def features_of_many(texts: list[str], bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
+    """features(), some texts at a time, so that the arrays beside the result stay small."""
+    parts = [features(texts[i : i + AT_A_TIME], bits) for i in range(0, len(texts), AT_A_TIME)] or [features([], bits)]
+    offsets = np.cumsum([0, *(len(b) for b, _ in parts)])
+    begins = [at[:-1] + o for (_, at), o in zip(parts, offsets)]
+    return np.concatenate([b.astype(np.int32) for b, _ in parts]), np.concatenate([*begins, offsets[-1:]])
+
+
 def _sums(values: np.ndarray, begins: np.ndarray) -> np.ndarray:
     """Sums of values between consecutive begins; empty stretches give 0."""
-    total = np.concatenate([np.zeros((1, *values.shape[1:]), np.float64), np.cumsum(values, axis=0, dtype=np.float64)])
+    total = np.concatenate([np.zeros(1), np.cumsum(values, dtype=np.float64)])
     return total[begins[1:]] - total[begins[:-1]]
 
 
@@ -146,12 +157,13 @@ class Model:
     bias: float
     threshold: float = 0.5
 
+    def of_buckets(self, buckets: np.ndarray, begins: np.ndarray) -> np.ndarray:
+        mean = _sums(self.weights[buckets], begins) / np.maximum(1, np.diff(begins))
+        return 1 / (1 + np.exp(-np.clip(mean + self.bias, -30, 30)))
+
     def score(self, texts: list[str]) -> np.ndarray:
-        if not texts:
-            return np.zeros(0)
-        buckets, begins = features(texts)
-        n = np.maximum(1, np.diff(begins))
-        return 1 / (1 + np.exp(-np.clip(_sums(self.weights[buckets], begins) / n + self.bias, -30, 30)))
+        parts = [self.of_buckets(*features(texts[i : i + AT_A_TIME])) for i in range(0, len(texts), AT_A_TIME)]
+        return np.concatenate(parts) if parts else np.zeros(0)
 
 
 class _Trainer:
@@ -204,8 +216,8 @@ def train(texts: list[str], labels: list[int], seed: int = SEED) -> Model:
     less the more sentences there are."""
     rng = np.random.default_rng(seed)
     documents = [sentences(t) for t in texts]
-    negative = [s for d, y in zip(documents, labels) if y == 0 for s in d]
-    sound, times = np.unique(np.array(negative, dtype=object).astype(str), return_counts=True) if negative else (np.array([], str), np.array([], int))
+    counted = Counter(s for d, y in zip(documents, labels) if y == 0 for s in d)
+    sound, times = list(counted), np.array(list(counted.values()), float)
     positive = [(i, s) for i, (d, y) in enumerate(zip(documents, labels)) if y == 1 for s in d]
     owners = np.array([i for i, _ in positive], np.int64)
     bad = [s for _, s in positive]
@@ -213,19 +225,18 @@ def train(texts: list[str], labels: list[int], seed: int = SEED) -> Model:
         return Model(np.zeros(1 << BITS, np.float32), -20.0 if not bad else 0.0)
     counts = np.bincount(owners, minlength=len(documents))
     share = 1.0 / counts[owners]
-    samples = [*sound.tolist(), *bad]
-    buckets, begins = features(samples)
-    buckets = buckets.astype(np.int32)
+    samples = sound + bad
+    buckets, begins = features_of_many(samples)
     targets = np.concatenate([np.zeros(len(sound), int), np.ones(len(bad), int)])
     for _ in range(ROUNDS):
         # a sound sentence weighs as much as it occurs, so that sentences of sound documents stay sound where a document
         # with a wrong label repeats them
-        weights = np.concatenate([times.astype(float), share * (POSITIVE * len(set(owners.tolist())) / share.sum())])
+        weights = np.concatenate([times, share * (POSITIVE * len(set(owners.tolist())) / share.sum())])
         trainer = _Trainer(rng)
         for epoch in range(EPOCHS):
             trainer.epoch(buckets, begins, targets, weights, RATE * (1 - epoch / EPOCHS))
         model = trainer.model()
-        score = model.score(bad)
+        score = model.of_buckets(buckets, begins)[len(sound) :]
         # the worst sentence of each document carries its label, and others nearly as bad; documents without any bad
         # sentence (wrong labels) count little
         top = np.zeros(len(documents))
@@ -275,8 +286,10 @@ def score(documents: DataFrame, model: Model, key: str = "doc_id", text: str = "
         known = sent.value
         for batch in batches:
             split = [sentences(t) for t in batch["text"]]
-            flat, which = np.unique(np.array([s for d in split for s in d], dtype=object).astype(str), return_inverse=True)
-            by_sentence = known.score(flat.tolist())
+            # sentences recur: each distinct one is scored once
+            places: dict[str, int] = {}
+            which = np.array([places.setdefault(s, len(places)) for d in split for s in d], np.int64)
+            by_sentence = known.score(list(places))
             top = np.zeros(len(batch))
             np.maximum.at(top, np.repeat(np.arange(len(batch)), [len(d) for d in split]), by_sentence[which] if len(which) else np.zeros(0))
             yield pd.DataFrame({"key": batch["key"], "score": np.round(top, 6), "abusive": top >= known.threshold})
