@@ -73,7 +73,7 @@ def quotas(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     times those available), passes (whole ones) and part (tokens of a further pass). A source without documents has 0."""
     available = sizes.groupBy("source").agg(F.sum("tokens").alias("available"))
     total = sizes.agg(F.sum("tokens").alias("all_tokens")).withColumn("one", F.lit(1))
-    asked = targets.withColumn("one", F.lit(1)).join(total, "one").join(available, "source", "left").withColumn("available", F.coalesce("available", F.lit(0)))
+    asked = targets.select("mix", "source", "target_share", "max_repeats", "size_ratio").withColumn("one", F.lit(1)).join(total, "one").join(available, "source", "left").withColumn("available", F.coalesce("available", F.lit(0)))
     wanted = asked.withColumn("target_tokens", F.coalesce(F.col("target_share") * F.col("size_ratio") * F.col("all_tokens"), F.lit(0.0)))
     quota = F.least(F.col("target_tokens"), (F.coalesce("max_repeats", F.lit(0)) * F.col("available")).cast("double"))
     passes = F.when(F.col("available") > 0, F.floor(F.col("quota") / F.col("available"))).otherwise(0)
@@ -90,6 +90,7 @@ def mixed(sizes: DataFrame, targets: DataFrame, block_tokens: int = BLOCK_TOKENS
     sizes has doc_id, source and tokens; documents without tokens or without source are in no mix. Every source comes as
     near to its quota as half a document. Repeated rows are documents of their own; a mix with no documents has no rows.
     """
+    sizes = sizes.select("doc_id", "source", "tokens")
     usable = sizes.where(F.col("source").isNotNull() & (F.col("tokens") > 0))
     plan = stored(quotas(sizes, targets), "quotas")
     n_blocks = F.least(F.lit(BLOCKS), F.greatest(F.lit(1), F.ceil(F.col("available") / block_tokens)))

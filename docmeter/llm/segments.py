@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from docmeter.session import stored
+
 SENTENCE_END = r"""(?<=[.!?。！？]["”»'’)\]]{0,2})\s+|(?<=[。！？])(?=[^"”»'’)\]\s])|\n+"""
 TERMINATED = r"""(?U)[.!?。！？]["”»'’)\]*_`]*\s*$"""
 
@@ -25,7 +27,8 @@ def next_in_order(texts: DataFrame, column: str) -> DataFrame:
     The texts are split by range, so that a common beginning, however many texts have it, spreads over many tasks. The
     text after a partition's last is the first of the next one that has any: one row per partition, whatever the input.
     """
-    parts = texts.select(column).where(F.col(column).isNotNull()).distinct().repartitionByRange(column).withColumn("part__", F.spark_partition_id())
+    ranges = texts.select(column).where(F.col(column).isNotNull()).distinct().repartitionByRange(column)
+    parts = stored(ranges.withColumn("part__", F.spark_partition_id()), "ranges")  # stored, so that the numbers stay the same
     following = parts.withColumn("next", F.lead(column).over(Window.partitionBy("part__").orderBy(column)))
     firsts = parts.groupBy("part__").agg(F.min(column).alias("first__"))
     edges = firsts.select("part__", F.lead("first__").over(Window.orderBy("part__")).alias("edge__"))
