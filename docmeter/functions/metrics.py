@@ -41,3 +41,9 @@ def evidence_hit(evidence: Column, chunk: Column) -> Column:
 def accuracy(prediction: Column, gold: Column) -> Column:
     """1 if the labels agree, case and outer spaces aside, else 0; a null label is wrong."""
     return F.coalesce((F.upper(F.trim(prediction)) == F.upper(F.trim(gold))).cast("double"), F.lit(0.0))
+
+
+def rounded(value: Column | str, digits: int = 6) -> Column:
+    """value at so many digits. A billionth is added first, so that halves of the last digit, which sums of floats miss by
+    their order of addition, go the same way everywhere."""
+    return F.round((F.col(value) if isinstance(value, str) else value) + 1e-9, digits)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from docmeter.functions import text as T
-from docmeter.functions.metrics import accuracy, best_f1, evidence_f1, evidence_hit
+from docmeter.functions.metrics import accuracy, best_f1, evidence_f1, evidence_hit, rounded
 from docmeter.session import table
 
 
@@ -44,7 +44,7 @@ def call_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 def answer_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best token F1 of each answer against the gold answers of its question."""
     rows = answers(spark, sf_dir, "question_id", "predicted_answer").join(gold(spark, sf_dir).withColumnRenamed("qid", "question_id"), "question_id")
-    return rows.select("result_id", F.round(best_f1(F.col("predicted_answer"), F.col("gold_answers")), 6).alias("f1"))
+    return rows.select("result_id", rounded(best_f1(F.col("predicted_answer"), F.col("gold_answers"))).alias("f1"))
 
 
 def gold_rescoring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +55,7 @@ def gold_rescoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     best = rows.select("architecture", "question_id", best_f1(F.col("predicted_answer"), F.col("gold_answers")).alias("f1")).groupBy("architecture", "question_id").agg(F.max("f1").alias("f1"))
     filled = asked.join(best, ["architecture", "question_id"], "left")
     f1 = F.coalesce("f1", F.lit(0.0))
-    return filled.groupBy("architecture").agg(F.count(F.lit(1)).alias("n_questions"), F.count_if(F.col("f1").isNull()).alias("n_missing"), F.round(F.avg(f1), 6).alias("mean_f1"), F.round(F.median(f1), 6).alias("median_f1"))
+    return filled.groupBy("architecture").agg(F.count(F.lit(1)).alias("n_questions"), F.count_if(F.col("f1").isNull()).alias("n_missing"), rounded(F.avg(f1)).alias("mean_f1"), rounded(F.median(f1)).alias("median_f1"))
 
 
 def evidence_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +63,7 @@ def evidence_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = answers(spark, sf_dir, "architecture", "question_id", "run_index", "retrieved_evidence_sentences").where(F.size("retrieved_evidence_sentences") > 0)
     flat = rows.where(F.col("architecture") == "flat").select("question_id", "run_index", F.col("retrieved_evidence_sentences").alias("gold"))
     pairs = rows.where(F.col("architecture") != "flat").join(flat, ["question_id", "run_index"])
-    return pairs.groupBy("architecture").agg(F.count(F.lit(1)).alias("n_pairs"), F.round(F.avg(evidence_f1(F.col("retrieved_evidence_sentences"), F.col("gold"))), 6).alias("evidence_f1"))
+    return pairs.groupBy("architecture").agg(F.count(F.lit(1)).alias("n_pairs"), rounded(F.avg(evidence_f1(F.col("retrieved_evidence_sentences"), F.col("gold")))).alias("evidence_f1"))
 
 
 def evidence_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,7 +91,7 @@ def choice_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = votes.select("question_id", letter.alias("letter")).where("letter <> ''").groupBy("question_id", "letter").agg(F.count(F.lit(1)).alias("n"))
     modal = counts.groupBy("question_id").agg(F.min(F.struct((-F.col("n")).alias("n"), "letter")).alias("b")).select("question_id", F.col("b.letter").alias("gold"))
     rows = table(spark, sf_dir, "predictions", "arch", "paper_id", "question_id", "run_index", "predicted_letter").distinct().join(modal, "question_id")
-    return rows.groupBy("arch").agg(F.count(F.lit(1)).alias("n_rows"), F.round(F.avg(accuracy(F.col("predicted_letter"), F.col("gold"))), 6).alias("accuracy"))
+    return rows.groupBy("arch").agg(F.count(F.lit(1)).alias("n_rows"), rounded(F.avg(accuracy(F.col("predicted_letter"), F.col("gold")))).alias("accuracy"))
 
 
 def hedged_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,20 +163,20 @@ SQL = {
         coalesce(nullif(trim(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '-'), ''), 'x') AS slug, substr(sha256(title), 1, 12) AS digest FROM papers""",
     "call_keys": """SELECT substr(sha256(concat_ws(chr(31), model, coalesce(stage, ''), coalesce(prompt_hash, ''))), 1, 16) AS key, count(*) AS n_calls
         FROM (SELECT DISTINCT call_id, model, stage, prompt_hash FROM ledger) GROUP BY key HAVING count(*) > 1""",
-    "answer_f1": f"SELECT result_id, round(f1, 6) AS f1 FROM {_BEST}",
+    "answer_f1": f"SELECT result_id, round(f1 + 1e-9, 6) AS f1 FROM {_BEST}",
     "gold_rescoring": f"""WITH b AS (SELECT architecture, question_id, max(f1) AS f1 FROM {_BEST} GROUP BY ALL),
         g AS (SELECT qid AS question_id, architecture FROM {_GOLD} CROSS JOIN (SELECT DISTINCT architecture FROM architecture_results))
-        SELECT g.architecture, count(*) AS n_questions, count(*) FILTER (f1 IS NULL) AS n_missing, round(avg(coalesce(f1, 0)), 6) AS mean_f1, round(median(coalesce(f1, 0)), 6) AS median_f1
+        SELECT g.architecture, count(*) AS n_questions, count(*) FILTER (f1 IS NULL) AS n_missing, round(avg(coalesce(f1, 0)) + 1e-9, 6) AS mean_f1, round(median(coalesce(f1, 0)) + 1e-9, 6) AS median_f1
         FROM g LEFT JOIN b USING (architecture, question_id) GROUP BY g.architecture""",
     "evidence_overlap": f"""WITH r AS (SELECT result_id, architecture, question_id, run_index, {_SETS.replace('X', 'retrieved_evidence_sentences')} AS s FROM {_ANSWERS} WHERE len(retrieved_evidence_sentences) > 0)
-        SELECT r.architecture, count(*) AS n_pairs, round(avg(CASE WHEN len(r.s) + len(f.s) = 0 THEN 0.0 ELSE 2.0 * len(list_intersect(r.s, f.s)) / (len(r.s) + len(f.s)) END), 6) AS evidence_f1
+        SELECT r.architecture, count(*) AS n_pairs, round(avg(CASE WHEN len(r.s) + len(f.s) = 0 THEN 0.0 ELSE 2.0 * len(list_intersect(r.s, f.s)) / (len(r.s) + len(f.s)) END) + 1e-9, 6) AS evidence_f1
         FROM r JOIN r f ON r.question_id = f.question_id AND r.run_index = f.run_index AND f.architecture = 'flat' WHERE r.architecture <> 'flat' GROUP BY r.architecture""",
     "choice_letters": f"""SELECT result_id, upper(coalesce({_form('^\\(([A-Z])\\)[.:)]?$')}, {_form('^([A-Z])[.:)]\\s+\\S')}, {_form('^([A-Z])[.!?:)]?$')}, {_form('^([A-Z])\\s*\\n')},
         {_form('(?i)\\b(?:option|answer|choice)\\b\\s*(?:is\\b|:)?\\s*\\b([a-z])\\b')}, {_form('(?i)\\((?:option )?([a-z])\\)')})) AS letter
         FROM (SELECT result_id, regexp_replace(trim(predicted_answer, ' '), '^(?i:answer)\\s*:?\\s*', '') AS t FROM {_ANSWERS} WHERE dataset = 'novelqa')""",
     "choice_accuracy": """WITH v AS (SELECT question_id, upper(regexp_extract(predicted_letter_rescored, '([A-Da-d])', 1)) AS letter FROM (SELECT DISTINCT question_id, annotator, predicted_letter_rescored FROM letter_votes)),
         m AS (SELECT question_id, letter AS gold FROM (SELECT question_id, letter, count(*) AS n FROM v WHERE letter <> '' GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY n DESC, letter) = 1)
-        SELECT arch, count(*) AS n_rows, round(avg(CASE WHEN upper(trim(predicted_letter)) = gold THEN 1.0 ELSE 0.0 END), 6) AS accuracy
+        SELECT arch, count(*) AS n_rows, round(avg(CASE WHEN upper(trim(predicted_letter)) = gold THEN 1.0 ELSE 0.0 END) + 1e-9, 6) AS accuracy
         FROM (SELECT DISTINCT arch, paper_id, question_id, run_index, predicted_letter FROM predictions) JOIN m USING (question_id) GROUP BY arch""",
     "hedged_documents": f"SELECT source, count(*) AS n_documents, count(*) FILTER (len(list_filter({_HEDGES}, lambda h: contains(lower(coalesce(text, '')), h))) > 0) AS n_hedged FROM documents GROUP BY source",
     "prompts": f"""SELECT result_id, sha256(p) AS prompt_hash, length(p) AS n_chars FROM (SELECT result_id, 'Context:' || chr(10) || coalesce(array_to_string(list_filter(retrieved_evidence_sentences, lambda s: trim(s) <> ''), chr(10) || chr(10)), '')

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from docmeter.operators.graph import connected_components, label_propagation
+from docmeter.functions.metrics import rounded
 from docmeter.session import table
 
 #: Tokens that a local search may spend on relationships.
@@ -22,7 +23,7 @@ def merged_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     edge = [F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")]
     mean = F.avg(F.coalesce("strength", F.lit(5)))
     return relationships(spark, sf_dir).where("source <> target").groupBy("graph_id", *edge).agg(
-        F.count(F.lit(1)).alias("weight"), F.round(mean, 6).alias("mean_strength"), F.round(F.count(F.lit(1)) * F.greatest(F.lit(0.1), mean / 10), 3).alias("score"),
+        F.count(F.lit(1)).alias("weight"), rounded(mean).alias("mean_strength"), F.round(F.count(F.lit(1)) * F.greatest(F.lit(0.1), mean / 10), 3).alias("score"),
     )
 
 
@@ -112,7 +113,7 @@ QUERIES = {
 }
 
 _REL = "(SELECT relationship_id, graph_id, source, target, description, text_unit_id, CASE WHEN strength IS NOT NULL THEN least(10, greatest(1, strength)) END AS strength FROM (SELECT DISTINCT * FROM relationships) WHERE source IS NOT NULL AND target IS NOT NULL)"
-_EDGES = f"""(SELECT graph_id, least(source, target) AS a, greatest(source, target) AS b, count(*) AS weight, round(avg(coalesce(strength, 5)), 6) AS mean_strength,
+_EDGES = f"""(SELECT graph_id, least(source, target) AS a, greatest(source, target) AS b, count(*) AS weight, round(avg(coalesce(strength, 5)) + 1e-9, 6) AS mean_strength,
     round(count(*) * greatest(0.1::DOUBLE, avg(coalesce(strength, 5)) / 10), 3) AS score FROM {_REL} WHERE source <> target GROUP BY ALL)"""
 _TOP = f"""(SELECT graph_id, name, other, weight, mean_strength, CAST(row_number() OVER (PARTITION BY graph_id, name ORDER BY weight DESC, mean_strength DESC, other) AS INT) AS rank FROM (
     SELECT graph_id, a AS name, b AS other, weight, mean_strength FROM {_EDGES} UNION ALL SELECT graph_id, b, a, weight, mean_strength FROM {_EDGES}) QUALIFY rank <= 10)"""

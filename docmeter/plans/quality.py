@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from docmeter.functions.text import is_hedge
+from docmeter.functions.metrics import rounded
 from docmeter.session import table
 
 ARCHITECTURES = ["flat", "naive_rag", "raptor", "graphrag"]
@@ -29,13 +30,13 @@ def _metric() -> Column:
 def macro_by_arch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean metric of each dataset and architecture over rows with a metric."""
     rows = predictions(spark, sf_dir, "dataset", "answer_f1", "accuracy").withColumn("m", _metric()).where(F.col("m").isNotNull())
-    return rows.groupBy("dataset", "arch").agg(F.round(F.avg("m"), 6).alias("mean_metric"), F.count(F.lit(1)).alias("n_rows"))
+    return rows.groupBy("dataset", "arch").agg(rounded(F.avg("m")).alias("mean_metric"), F.count(F.lit(1)).alias("n_rows"))
 
 
 def repeat_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean metric over the runs of each question and architecture."""
     rows = predictions(spark, sf_dir, "dataset", "answer_f1", "accuracy").withColumn("m", _metric()).where(F.col("m").isNotNull())
-    return rows.groupBy("dataset", "paper_id", "question_id", "arch").agg(F.round(F.avg("m"), 6).alias("metric"), F.count_distinct("run_index").alias("n_repeats"))
+    return rows.groupBy("dataset", "paper_id", "question_id", "arch").agg(rounded(F.avg("m")).alias("metric"), F.count_distinct("run_index").alias("n_repeats"))
 
 
 def letter_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,9 +51,9 @@ def variance_across_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = predictions(spark, sf_dir, "dataset", "answer_f1", "accuracy").withColumn("m", _metric()).where(F.col("m").isNotNull())
     runs = rows.groupBy("dataset", "arch", "run_index").agg(F.avg("m").alias("m")).groupBy("dataset", "arch")
     deviation = F.coalesce(F.stddev_samp("m"), F.lit(0.0))
-    by_run = runs.agg(F.count(F.lit(1)).alias("n_runs"), F.round(F.avg("m"), 6).alias("mean"), F.round(deviation, 6).alias("sd"), F.round(deviation / F.sqrt(F.count(F.lit(1))), 6).alias("sem"), F.round(1.96 * deviation / F.sqrt(F.count(F.lit(1))), 6).alias("half_width"))
+    by_run = runs.agg(F.count(F.lit(1)).alias("n_runs"), rounded(F.avg("m")).alias("mean"), rounded(deviation).alias("sd"), rounded(deviation / F.sqrt(F.count(F.lit(1)))).alias("sem"), rounded(1.96 * deviation / F.sqrt(F.count(F.lit(1)))).alias("half_width"))
     questions = rows.groupBy("dataset", "arch", "question_id").agg(F.coalesce(F.stddev_samp("m"), F.lit(0.0)).alias("sd"))
-    by_question = questions.groupBy("dataset", "arch").agg(F.round(F.avg("sd"), 6).alias("question_sd_mean"), F.round(F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY sd)"), 6).alias("question_sd_p95"), F.round(F.max("sd"), 6).alias("question_sd_max"))
+    by_question = questions.groupBy("dataset", "arch").agg(rounded(F.avg("sd")).alias("question_sd_mean"), rounded(F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY sd)")).alias("question_sd_p95"), rounded(F.max("sd")).alias("question_sd_max"))
     return by_run.join(by_question, ["dataset", "arch"])
 
 
@@ -84,7 +85,7 @@ def consensus_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Agreement of each architecture with the consensus of the others, over letters that could be read."""
     own, others = _votes(spark, sf_dir), consensus_without_self(spark, sf_dir).select("question_id", F.col("left_out").alias("arch"), F.col("letter").alias("consensus"))
     hit = F.count_if(F.col("letter") == F.col("consensus"))
-    return own.join(others, ["question_id", "arch"]).groupBy("arch").agg(F.count(F.lit(1)).alias("n_votes"), hit.alias("n_correct"), F.round(hit / F.count(F.lit(1)), 6).alias("accuracy"))
+    return own.join(others, ["question_id", "arch"]).groupBy("arch").agg(F.count(F.lit(1)).alias("n_votes"), hit.alias("n_correct"), rounded(hit / F.count(F.lit(1))).alias("accuracy"))
 
 
 def support_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,7 +111,7 @@ def study_size(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rank_architectures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rank of the architectures of each paper by mean metric, ties by name."""
-    means = cells(spark, sf_dir).where(F.col("metric").isNotNull()).groupBy("cluster", "arch").agg(F.round(F.avg("metric"), 6).alias("score"))
+    means = cells(spark, sf_dir).where(F.col("metric").isNotNull()).groupBy("cluster", "arch").agg(rounded(F.avg("metric")).alias("score"))
     return means.withColumn("rank", F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("score"), "arch")))
 
 
@@ -123,7 +124,7 @@ def paired_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean difference between flat and each other architecture over questions that both have."""
     wide = _by_arch(spark, sf_dir)
     long = wide.select("dataset", "flat", F.explode(F.create_map(*[x for a in ARCHITECTURES[1:] for x in (F.lit(a), F.col(a))])).alias("other", "metric"))
-    return long.where(F.col("flat").isNotNull() & F.col("metric").isNotNull()).groupBy("dataset", "other").agg(F.count(F.lit(1)).alias("n_pairs"), F.round(F.avg(F.col("flat") - F.col("metric")), 6).alias("mean_difference"))
+    return long.where(F.col("flat").isNotNull() & F.col("metric").isNotNull()).groupBy("dataset", "other").agg(F.count(F.lit(1)).alias("n_pairs"), rounded(F.avg(F.col("flat") - F.col("metric"))).alias("mean_difference"))
 
 
 def losing_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,7 +141,7 @@ def slice_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.when(F.col("tokenlen").isNull(), "unknown").when(F.col("tokenlen") < 5000, "short").when(F.col("tokenlen") < 50_000, "medium").otherwise("long")
     rows = cells(spark, sf_dir).join(papers.select("cluster", size.alias("size")), "cluster")
     wide = rows.groupBy("dataset", "size").pivot("arch", ARCHITECTURES).agg(F.avg("metric"))
-    return wide.select("dataset", "size", *[F.round(a, 6).alias(a) for a in ARCHITECTURES], F.round(F.col("flat") - F.least(*ARCHITECTURES[1:]), 6).alias("gap"))
+    return wide.select("dataset", "size", *[rounded(a).alias(a) for a in ARCHITECTURES], rounded(F.col("flat") - F.least(*ARCHITECTURES[1:])).alias("gap"))
 
 
 def hedge_tells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,14 +158,14 @@ def build_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
 def spread_over_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean, median and population deviation of the papers' mean metrics per architecture."""
     means = cells(spark, sf_dir).where(F.col("metric").isNotNull()).groupBy("dataset", "cluster", "arch").agg(F.avg("metric").alias("m"))
-    return means.groupBy("dataset", "arch").agg(F.round(F.avg("m"), 6).alias("mean"), F.round(F.median("m"), 6).alias("median"), F.round(F.stddev_pop("m"), 6).alias("sd"))
+    return means.groupBy("dataset", "arch").agg(rounded(F.avg("m")).alias("mean"), rounded(F.median("m")).alias("median"), rounded(F.stddev_pop("m")).alias("sd"))
 
 
 def quality_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per paper, the architectures that no other beats in both mean tokens and mean metric."""
     tokens = table(spark, sf_dir, "ledger", "paper_id", "architecture", "uncached_input_tokens", "failed").where(~F.col("failed") & F.col("paper_id").isNotNull())
     use = tokens.groupBy(F.col("paper_id").alias("cluster"), F.col("architecture").alias("arch")).agg(F.round(F.avg("uncached_input_tokens"), 3).alias("tokens"))
-    quality = cells(spark, sf_dir).where(F.col("metric").isNotNull()).groupBy("cluster", "arch").agg(F.round(F.avg("metric"), 6).alias("quality"))
+    quality = cells(spark, sf_dir).where(F.col("metric").isNotNull()).groupBy("cluster", "arch").agg(rounded(F.avg("metric")).alias("quality"))
     cheaper = Window.partitionBy("cluster").orderBy("tokens", F.desc("quality"), "arch").rowsBetween(Window.unboundedPreceding, -1)
     best_before = F.max("quality").over(cheaper)
     return use.join(quality, ["cluster", "arch"]).where(F.col("tokens").isNotNull()).withColumn("before", best_before).where(F.col("before").isNull() | (F.col("quality") > F.col("before"))).drop("before")
@@ -174,7 +175,7 @@ def closed_book_lift(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean metric of each architecture over that of the least one of its dataset."""
     means = cells(spark, sf_dir).where(F.col("metric").isNotNull()).groupBy("dataset", "arch").agg(F.avg("metric").alias("m"))
     floors = means.groupBy("dataset").agg(F.min("m").alias("floor"))
-    return means.join(floors, "dataset").select("dataset", "arch", F.round("floor", 6).alias("floor"), F.round(F.col("m") - F.col("floor"), 6).alias("lift"))
+    return means.join(floors, "dataset").select("dataset", "arch", rounded("floor").alias("floor"), rounded(F.col("m") - F.col("floor")).alias("lift"))
 
 
 QUERIES = {
@@ -196,42 +197,42 @@ _OTHERS = f"""(SELECT question_id, left_out, letter, n AS support, CAST(sum(n) O
     QUALIFY row_number() OVER (PARTITION BY question_id, left_out ORDER BY n DESC, letter) = 1)"""
 
 SQL = {
-    "macro_by_arch": f"SELECT dataset, arch, round(avg(m), 6) AS mean_metric, count(*) AS n_rows FROM {_M} WHERE m IS NOT NULL GROUP BY dataset, arch",
-    "repeat_collapse": f"SELECT dataset, paper_id, question_id, arch, round(avg(m), 6) AS metric, count(DISTINCT run_index) AS n_repeats FROM {_M} WHERE m IS NOT NULL GROUP BY ALL",
+    "macro_by_arch": f"SELECT dataset, arch, round(avg(m) + 1e-9, 6) AS mean_metric, count(*) AS n_rows FROM {_M} WHERE m IS NOT NULL GROUP BY dataset, arch",
+    "repeat_collapse": f"SELECT dataset, paper_id, question_id, arch, round(avg(m) + 1e-9, 6) AS metric, count(DISTINCT run_index) AS n_repeats FROM {_M} WHERE m IS NOT NULL GROUP BY ALL",
     "letter_distribution": """SELECT arch, count(*) FILTER (l = 'A') AS n_a, count(*) FILTER (l = 'B') AS n_b, count(*) FILTER (l = 'C') AS n_c, count(*) FILTER (l = 'D') AS n_d, count(*) FILTER (l IS NULL OR l NOT IN ('A', 'B', 'C', 'D')) AS n_other
         FROM (SELECT DISTINCT arch, paper_id, question_id, run_index, predicted_letter AS l FROM predictions WHERE dataset = 'novelqa') GROUP BY arch""",
     "variance_across_runs": f"""WITH m AS (SELECT * FROM {_M} WHERE m IS NOT NULL),
         r AS (SELECT dataset, arch, count(*) AS n, avg(m) AS mean, coalesce(stddev_samp(m), 0) AS sd FROM (SELECT dataset, arch, run_index, avg(m) AS m FROM m GROUP BY ALL) GROUP BY dataset, arch),
         q AS (SELECT dataset, arch, avg(sd) AS a, quantile_disc(sd, 0.95) AS p, max(sd) AS x FROM (SELECT dataset, arch, question_id, coalesce(stddev_samp(m), 0) AS sd FROM m GROUP BY ALL) GROUP BY dataset, arch)
-        SELECT dataset, arch, n AS n_runs, round(mean, 6) AS mean, round(sd, 6) AS sd, round(sd / sqrt(n), 6) AS sem, round(1.96 * sd / sqrt(n), 6) AS half_width, round(a, 6) AS question_sd_mean, round(p, 6) AS question_sd_p95, round(x, 6) AS question_sd_max
+        SELECT dataset, arch, n AS n_runs, round(mean + 1e-9, 6) AS mean, round(sd + 1e-9, 6) AS sd, round(sd / sqrt(n) + 1e-9, 6) AS sem, round(1.96 * sd / sqrt(n) + 1e-9, 6) AS half_width, round(a + 1e-9, 6) AS question_sd_mean, round(p + 1e-9, 6) AS question_sd_p95, round(x + 1e-9, 6) AS question_sd_max
         FROM r JOIN q USING (dataset, arch)""",
     "consensus_vote": f"SELECT * FROM {_CONSENSUS}",
     "consensus_without_self": f"SELECT * FROM {_OTHERS}",
-    "consensus_accuracy": f"""SELECT v.arch, count(*) AS n_votes, count(*) FILTER (v.letter = o.letter) AS n_correct, round(count(*) FILTER (v.letter = o.letter) / count(*), 6) AS accuracy
+    "consensus_accuracy": f"""SELECT v.arch, count(*) AS n_votes, count(*) FILTER (v.letter = o.letter) AS n_correct, round(count(*) FILTER (v.letter = o.letter) / count(*) + 1e-9, 6) AS accuracy
         FROM {_VOTES} v JOIN {_OTHERS} o ON v.question_id = o.question_id AND v.arch = o.left_out GROUP BY v.arch""",
     "support_buckets": f"SELECT CASE WHEN support / n_votes >= 0.8 THEN 'strong' WHEN support / n_votes >= 0.5 THEN 'middling' ELSE 'weak' END AS bucket, count(*) AS n_questions FROM {_CONSENSUS} GROUP BY bucket",
     "letter_counters": """SELECT dataset, arch, CAST(GROUPING(dataset, arch) AS INT) AS level, count(*) AS n_rows, count(*) FILTER (predicted_letter IN ('A', 'B', 'C', 'D')) AS n_read,
         count(*) FILTER (predicted_letter NOT IN ('A', 'B', 'C', 'D')) AS n_unread, count(*) FILTER (build_failed) AS n_failed
         FROM (SELECT DISTINCT arch, paper_id, question_id, run_index, dataset, predicted_letter, build_failed FROM predictions) GROUP BY CUBE (dataset, arch)""",
     "study_size": "SELECT dataset, count(DISTINCT (cluster, qid)) AS n_questions, count(DISTINCT cluster) AS n_papers FROM scored_cells GROUP BY dataset",
-    "rank_architectures": f"SELECT cluster, arch, score, CAST(row_number() OVER (PARTITION BY cluster ORDER BY score DESC, arch) AS INT) AS rank FROM (SELECT cluster, arch, round(avg(metric), 6) AS score FROM {_CELLS} WHERE metric IS NOT NULL GROUP BY ALL)",
-    "paired_differences": f"""SELECT dataset, other, count(*) AS n_pairs, round(avg(flat - metric), 6) AS mean_difference FROM (
+    "rank_architectures": f"SELECT cluster, arch, score, CAST(row_number() OVER (PARTITION BY cluster ORDER BY score DESC, arch) AS INT) AS rank FROM (SELECT cluster, arch, round(avg(metric) + 1e-9, 6) AS score FROM {_CELLS} WHERE metric IS NOT NULL GROUP BY ALL)",
+    "paired_differences": f"""SELECT dataset, other, count(*) AS n_pairs, round(avg(flat - metric) + 1e-9, 6) AS mean_difference FROM (
         SELECT dataset, flat, 'naive_rag' AS other, naive_rag AS metric FROM {_WIDE} UNION ALL SELECT dataset, flat, 'raptor', raptor FROM {_WIDE} UNION ALL SELECT dataset, flat, 'graphrag', graphrag FROM {_WIDE})
         WHERE flat IS NOT NULL AND metric IS NOT NULL GROUP BY dataset, other""",
     "losing_slice": f"""SELECT dataset, count(*) AS n_questions, count(*) FILTER (CASE WHEN dataset = 'novelqa' THEN flat = 1 AND raptor = 0 AND graphrag = 0 ELSE flat >= 0.5 AND raptor <= 0.15 AND graphrag <= 0.15 END) AS n_losing
         FROM {_WIDE} WHERE flat IS NOT NULL AND naive_rag IS NOT NULL AND raptor IS NOT NULL AND graphrag IS NOT NULL GROUP BY dataset""",
     "slice_means": f"""WITH s AS (SELECT c.*, CASE WHEN tokenlen IS NULL THEN 'unknown' WHEN tokenlen < 5000 THEN 'short' WHEN tokenlen < 50000 THEN 'medium' ELSE 'long' END AS size FROM {_CELLS} c JOIN papers ON cluster = paper_id),
         w AS (SELECT dataset, size, avg(metric) FILTER (arch = 'flat') AS flat, avg(metric) FILTER (arch = 'naive_rag') AS naive_rag, avg(metric) FILTER (arch = 'raptor') AS raptor, avg(metric) FILTER (arch = 'graphrag') AS graphrag FROM s GROUP BY ALL)
-        SELECT dataset, size, round(flat, 6) AS flat, round(naive_rag, 6) AS naive_rag, round(raptor, 6) AS raptor, round(graphrag, 6) AS graphrag, round(flat - least(naive_rag, raptor, graphrag), 6) AS gap FROM w""",
+        SELECT dataset, size, round(flat + 1e-9, 6) AS flat, round(naive_rag + 1e-9, 6) AS naive_rag, round(raptor + 1e-9, 6) AS raptor, round(graphrag + 1e-9, 6) AS graphrag, round(flat - least(naive_rag, raptor, graphrag) + 1e-9, 6) AS gap FROM w""",
     "hedge_tells": f"""WITH g AS (SELECT DISTINCT qid FROM {_CELLS} WHERE arch = 'flat' AND metric >= 0.5)
         SELECT architecture, count(*) AS n_answers, count(*) FILTER (len(list_filter(['not stated', 'not mentioned', 'not specified', 'does not', 'no information', 'unclear', 'cannot be determined', 'not provided', 'unknown', 'not explicitly', 'insufficient', 'no mention', 'unanswerable', 'not discussed', 'not given'],
             lambda h: contains(lower(coalesce(predicted_answer, '')), h))) > 0) AS n_hedged
         FROM (SELECT DISTINCT result_id, architecture, question_id, predicted_answer FROM architecture_results) WHERE question_id IN (SELECT qid FROM g) GROUP BY architecture""",
     "build_failures": "SELECT arch, failure_reason, count(*) AS n_cells FROM (SELECT DISTINCT arch, paper_id, question_id, run_index, build_failed, failure_reason FROM predictions) WHERE build_failed GROUP BY ALL",
-    "spread_over_papers": f"SELECT dataset, arch, round(avg(m), 6) AS mean, round(median(m), 6) AS median, round(stddev_pop(m), 6) AS sd FROM (SELECT dataset, cluster, arch, avg(metric) AS m FROM {_CELLS} WHERE metric IS NOT NULL GROUP BY ALL) GROUP BY dataset, arch",
+    "spread_over_papers": f"SELECT dataset, arch, round(avg(m) + 1e-9, 6) AS mean, round(median(m) + 1e-9, 6) AS median, round(stddev_pop(m) + 1e-9, 6) AS sd FROM (SELECT dataset, cluster, arch, avg(metric) AS m FROM {_CELLS} WHERE metric IS NOT NULL GROUP BY ALL) GROUP BY dataset, arch",
     "quality_frontier": f"""WITH u AS (SELECT paper_id AS cluster, architecture AS arch, round(avg(uncached_input_tokens), 3) AS tokens FROM ledger WHERE NOT failed AND paper_id IS NOT NULL GROUP BY ALL),
-        q AS (SELECT cluster, arch, round(avg(metric), 6) AS quality FROM {_CELLS} WHERE metric IS NOT NULL GROUP BY ALL),
+        q AS (SELECT cluster, arch, round(avg(metric) + 1e-9, 6) AS quality FROM {_CELLS} WHERE metric IS NOT NULL GROUP BY ALL),
         j AS (SELECT cluster, arch, tokens, quality, max(quality) OVER (PARTITION BY cluster ORDER BY tokens, quality DESC, arch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM u JOIN q USING (cluster, arch) WHERE tokens IS NOT NULL)
         SELECT cluster, arch, tokens, quality FROM j WHERE b IS NULL OR quality > b""",
-    "closed_book_lift": f"WITH m AS (SELECT dataset, arch, avg(metric) AS m FROM {_CELLS} WHERE metric IS NOT NULL GROUP BY ALL), f AS (SELECT dataset, min(m) AS floor FROM m GROUP BY dataset) SELECT dataset, arch, round(floor, 6) AS floor, round(m - floor, 6) AS lift FROM m JOIN f USING (dataset)",
+    "closed_book_lift": f"WITH m AS (SELECT dataset, arch, avg(metric) AS m FROM {_CELLS} WHERE metric IS NOT NULL GROUP BY ALL), f AS (SELECT dataset, min(m) AS floor FROM m GROUP BY dataset) SELECT dataset, arch, round(floor + 1e-9, 6) AS floor, round(m - floor + 1e-9, 6) AS lift FROM m JOIN f USING (dataset)",
 }

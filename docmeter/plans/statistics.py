@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from docmeter.operators.resampling import concordance, draws, hash_draw, indexed, resampled_means
+from docmeter.functions.metrics import rounded
 from docmeter.session import table
 
 RESAMPLES = 200
@@ -34,13 +35,13 @@ def _means(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bootstrap_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mean metric of each architecture in each clustered resample; halves of the last digit round up on any engine."""
-    return _means(spark, sf_dir).select("dataset", "arch", "r", F.round(F.col("mean") + 1e-9, 6).alias("mean"))
+    return _means(spark, sf_dir).select("dataset", "arch", "r", rounded("mean").alias("mean"))
 
 
 def bootstrap_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The percentile interval (95 %) of each architecture's mean over the resamples."""
     low, high = F.percentile("mean", 0.025), F.percentile("mean", 0.975)
-    return _means(spark, sf_dir).groupBy("dataset", "arch").agg(F.round(low, 6).alias("low"), F.round(high, 6).alias("high"), F.round(F.avg("mean"), 6).alias("mean"))
+    return _means(spark, sf_dir).groupBy("dataset", "arch").agg(rounded(low).alias("low"), rounded(high).alias("high"), rounded(F.avg("mean")).alias("mean"))
 
 
 def paired_significance(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,13 +55,13 @@ def paired_significance(spark: SparkSession, sf_dir: str) -> DataFrame:
     resampled = resampled_means(sums, drawn, index, "dataset", "cluster", "arch").where(F.col("mean").isNotNull())
     share = [F.avg((F.col("mean") > 1e-12).cast("double")), F.avg((F.col("mean") < -1e-12).cast("double"))]
     p = F.least(F.lit(1.0), 2 * F.least(*share))
-    return resampled.groupBy("dataset", "arch").agg(F.round(F.avg("mean"), 6).alias("difference"), F.round(F.percentile("mean", 0.025), 6).alias("low"), F.round(F.percentile("mean", 0.975), 6).alias("high"), F.round(p, 6).alias("p"), (p < 0.05).alias("significant"))
+    return resampled.groupBy("dataset", "arch").agg(rounded(F.avg("mean")).alias("difference"), rounded(F.percentile("mean", 0.025)).alias("low"), rounded(F.percentile("mean", 0.975)).alias("high"), rounded(p).alias("p"), (p < 0.05).alias("significant"))
 
 
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """rater, arch and score: the mean metric of each architecture in each group of papers that has all four."""
     group = hash_draw(F.col("cluster")) % GROUPS
-    means = cells(spark, sf_dir).groupBy(F.concat_ws("-", "dataset", F.lpad(group.cast("string"), 2, "0")).alias("rater"), "arch").agg(F.round(F.avg("metric"), 6).alias("score"))
+    means = cells(spark, sf_dir).groupBy(F.concat_ws("-", "dataset", F.lpad(group.cast("string"), 2, "0")).alias("rater"), "arch").agg(rounded(F.avg("metric")).alias("score"))
     return means.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("rater"))).where("n = 4").drop("n")
 
 
@@ -70,14 +71,14 @@ def _ranks(scores: DataFrame, *keys: str) -> DataFrame:
 
 def kendall_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Concordant and discordant pairs and tau of each pair of groups."""
-    return concordance(_ranks(_scores(spark, sf_dir), "rater"), "rater", "arch", "rank").withColumn("tau", F.round("tau", 6))
+    return concordance(_ranks(_scores(spark, sf_dir), "rater"), "rater", "arch", "rank").withColumn("tau", rounded("tau"))
 
 
 def kendall_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Median and mean tau, the share of stable pairs, and the verdict."""
     stable = F.avg((F.col("tau") >= 0.67).cast("double"))
     verdict = F.when(stable >= 0.8, "YES").when(stable <= 0.4, "NO").otherwise("MIXED")
-    return kendall_pairs(spark, sf_dir).agg(F.count(F.lit(1)).alias("n_pairs"), F.round(F.median("tau"), 6).alias("median_tau"), F.round(F.avg("tau"), 6).alias("mean_tau"), F.round(stable, 6).alias("stable_share"), verdict.alias("verdict"))
+    return kendall_pairs(spark, sf_dir).agg(F.count(F.lit(1)).alias("n_pairs"), rounded(F.median("tau")).alias("median_tau"), rounded(F.avg("tau")).alias("mean_tau"), rounded(stable).alias("stable_share"), verdict.alias("verdict"))
 
 
 def tau_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,8 +94,8 @@ def median_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = taus.join(index, ["g", "pair"]).join(drawn, ["g", "i"]).select("r", "tau", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("copy"))
     medians = rows.groupBy("r").agg(F.median("tau").alias("m"))
     ordered = F.array_sort(F.collect_list("m"))
-    at = [F.round(F.element_at(ordered, F.lit(1) + F.floor(F.lit(q) * F.size(ordered)).cast("int")), 6) for q in (0.025, 0.975)]
-    return medians.agg(at[0].alias("low"), at[1].alias("high"), F.round(F.avg("m"), 6).alias("mean"))
+    at = [rounded(F.element_at(ordered, F.lit(1) + F.floor(F.lit(q) * F.size(ordered)).cast("int"))) for q in (0.025, 0.975)]
+    return medians.agg(at[0].alias("low"), at[1].alias("high"), rounded(F.avg("m")).alias("mean"))
 
 
 def permutation_test(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,7 +116,7 @@ def permutation_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     medians = taus.groupBy("k").agg(F.round(F.median("tau"), 9).alias("m"))
     observed = medians.where("k = 0").select(F.col("m").alias("observed"), F.lit(1).alias("one"))
     rest = medians.where("k > 0").withColumn("one", F.lit(1)).join(observed, "one")
-    return rest.groupBy("observed").agg(((F.count_if(F.col("m") >= F.col("observed")) + 1) / (F.count(F.lit(1)) + 1)).alias("p")).select(F.round("observed", 6).alias("median_tau"), F.round("p", 6).alias("p"))
+    return rest.groupBy("observed").agg(((F.count_if(F.col("m") >= F.col("observed")) + 1) / (F.count(F.lit(1)) + 1)).alias("p")).select(rounded("observed").alias("median_tau"), rounded("p").alias("p"))
 
 
 def jackknife(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,7 +125,7 @@ def jackknife(spark: SparkSession, sf_dir: str) -> DataFrame:
     sums = cells(spark, sf_dir).groupBy("dataset", "arch", "cluster").agg(F.sum("metric").alias("s"), F.count(F.lit(1)).alias("c"))
     every = sums.groupBy("dataset", "arch").agg(F.sum("s").alias("all_s"), F.sum("c").alias("all_c"))
     without = sums.join(every, ["dataset", "arch"]).where("all_c > c").withColumn("m", (F.col("all_s") - F.col("s")) / (F.col("all_c") - F.col("c")))
-    return without.groupBy("dataset", "arch").agg(F.round(F.min("m"), 6).alias("least"), F.round(F.median("m"), 6).alias("middle"), F.round(F.max("m"), 6).alias("greatest"))
+    return without.groupBy("dataset", "arch").agg(rounded(F.min("m")).alias("least"), rounded(F.median("m")).alias("middle"), rounded(F.max("m")).alias("greatest"))
 
 
 QUERIES = {
@@ -149,31 +150,31 @@ def _resampled(sums: str) -> str:
 
 _MEANS = _resampled(f"(SELECT dataset, cluster, arch, sum(metric) AS s, count(*) AS c FROM {_CELLS} GROUP BY ALL)")
 _DIFFERENCES = _resampled(f"(SELECT a.dataset, a.cluster, a.arch, sum(f.metric - a.metric) AS s, count(*) AS c FROM {_CELLS} a JOIN {_CELLS} f ON a.dataset = f.dataset AND a.qid = f.qid AND f.arch = 'flat' WHERE a.arch <> 'flat' GROUP BY ALL)")
-_SCORES = f"""(SELECT rater, arch, score FROM (SELECT dataset || '-' || lpad(CAST({_hash('cluster')} % {GROUPS} AS VARCHAR), 2, '0') AS rater, arch, round(avg(metric), 6) AS score FROM {_CELLS} GROUP BY ALL)
+_SCORES = f"""(SELECT rater, arch, score FROM (SELECT dataset || '-' || lpad(CAST({_hash('cluster')} % {GROUPS} AS VARCHAR), 2, '0') AS rater, arch, round(avg(metric) + 1e-9, 6) AS score FROM {_CELLS} GROUP BY ALL)
     QUALIFY count(*) OVER (PARTITION BY rater) = 4)"""
 _RANKS = f"(SELECT rater, arch, row_number() OVER (PARTITION BY rater ORDER BY score DESC, arch) AS rank FROM {_SCORES})"
 _SIGNS = f"(SELECT x.rater, x.arch || '|' || y.arch AS pair, sign(x.rank - y.rank) AS sign FROM {_RANKS} x JOIN {_RANKS} y ON x.rater = y.rater AND x.arch < y.arch)"
-_TAUS = f"""(SELECT a, b, n_concordant, n_discordant, round(CASE WHEN n_concordant + n_discordant > 0 THEN (n_concordant - n_discordant) / (n_concordant + n_discordant) ELSE 0 END, 6) AS tau FROM (
+_TAUS = f"""(SELECT a, b, n_concordant, n_discordant, round(CASE WHEN n_concordant + n_discordant > 0 THEN (n_concordant - n_discordant) / (n_concordant + n_discordant) ELSE 0 END + 1e-9, 6) AS tau FROM (
     SELECT p.rater AS a, q.rater AS b, count(*) FILTER (p.sign * q.sign > 0) AS n_concordant, count(*) FILTER (p.sign * q.sign < 0) AS n_discordant FROM {_SIGNS} p JOIN {_SIGNS} q ON p.pair = q.pair AND p.rater < q.rater GROUP BY ALL))"""
 
 SQL = {
     "question_index": """SELECT dataset, cluster, CAST(row_number() OVER (PARTITION BY dataset ORDER BY cluster) - 1 AS INT) AS i, count(*) OVER (PARTITION BY dataset) AS n, n_questions
         FROM (SELECT dataset, cluster, count(DISTINCT qid) AS n_questions FROM scored_cells GROUP BY ALL)""",
     "bootstrap_means": f"SELECT dataset, arch, CAST(r AS INT) AS r, round(mean + 1e-9, 6) AS mean FROM {_MEANS}",
-    "bootstrap_intervals": f"SELECT dataset, arch, round(quantile_cont(mean, 0.025), 6) AS low, round(quantile_cont(mean, 0.975), 6) AS high, round(avg(mean), 6) AS mean FROM {_MEANS} GROUP BY dataset, arch",
-    "paired_significance": f"""SELECT dataset, arch, round(avg(mean), 6) AS difference, round(quantile_cont(mean, 0.025), 6) AS low, round(quantile_cont(mean, 0.975), 6) AS high,
-        round(least(1.0, 2 * least(avg(CASE WHEN mean > 1e-12 THEN 1.0 ELSE 0.0 END), avg(CASE WHEN mean < -1e-12 THEN 1.0 ELSE 0.0 END))), 6) AS p,
+    "bootstrap_intervals": f"SELECT dataset, arch, round(quantile_cont(mean, 0.025) + 1e-9, 6) AS low, round(quantile_cont(mean, 0.975) + 1e-9, 6) AS high, round(avg(mean) + 1e-9, 6) AS mean FROM {_MEANS} GROUP BY dataset, arch",
+    "paired_significance": f"""SELECT dataset, arch, round(avg(mean) + 1e-9, 6) AS difference, round(quantile_cont(mean, 0.025) + 1e-9, 6) AS low, round(quantile_cont(mean, 0.975) + 1e-9, 6) AS high,
+        round(least(1.0, 2 * least(avg(CASE WHEN mean > 1e-12 THEN 1.0 ELSE 0.0 END), avg(CASE WHEN mean < -1e-12 THEN 1.0 ELSE 0.0 END))) + 1e-9, 6) AS p,
         least(1.0, 2 * least(avg(CASE WHEN mean > 1e-12 THEN 1.0 ELSE 0.0 END), avg(CASE WHEN mean < -1e-12 THEN 1.0 ELSE 0.0 END))) < 0.05 AS significant
         FROM {_DIFFERENCES} WHERE mean IS NOT NULL GROUP BY dataset, arch""",
     "kendall_pairs": f"SELECT * FROM {_TAUS}",
-    "kendall_summary": f"""SELECT count(*) AS n_pairs, round(median(tau), 6) AS median_tau, round(avg(tau), 6) AS mean_tau, round(avg(CASE WHEN tau >= 0.67 THEN 1.0 ELSE 0.0 END), 6) AS stable_share,
+    "kendall_summary": f"""SELECT count(*) AS n_pairs, round(median(tau) + 1e-9, 6) AS median_tau, round(avg(tau) + 1e-9, 6) AS mean_tau, round(avg(CASE WHEN tau >= 0.67 THEN 1.0 ELSE 0.0 END) + 1e-9, 6) AS stable_share,
         CASE WHEN avg(CASE WHEN tau >= 0.67 THEN 1.0 ELSE 0.0 END) >= 0.8 THEN 'YES' WHEN avg(CASE WHEN tau >= 0.67 THEN 1.0 ELSE 0.0 END) <= 0.4 THEN 'NO' ELSE 'MIXED' END AS verdict FROM {_TAUS}""",
     "tau_bands": f"SELECT CASE WHEN tau >= 0.67 THEN 'stable' WHEN tau >= 0.33 THEN 'partly' ELSE 'unstable' END AS band, count(*) AS n_pairs FROM {_TAUS} GROUP BY band",
     "median_bootstrap": f"""WITH t AS (SELECT tau, row_number() OVER (ORDER BY a || '|' || b) - 1 AS i, count(*) OVER () AS n FROM {_TAUS}),
         d AS (SELECT r, {_hash("'all'", 'r', 'slot')} % n AS i FROM (SELECT n, unnest(range(n)) AS slot FROM (SELECT DISTINCT n FROM t)) CROSS JOIN range({RESAMPLES}) x(r)),
         m AS (SELECT r, median(tau) AS m FROM d JOIN t USING (i) GROUP BY r), o AS (SELECT list(m ORDER BY m) AS ms, avg(m) AS mean FROM m)
-        SELECT round(ms[1 + CAST(floor(0.025 * len(ms)) AS INT)], 6) AS low, round(ms[1 + CAST(floor(0.975 * len(ms)) AS INT)], 6) AS high, round(mean, 6) AS mean FROM o""",
+        SELECT round(ms[1 + CAST(floor(0.025 * len(ms)) AS INT)] + 1e-9, 6) AS low, round(ms[1 + CAST(floor(0.975 * len(ms)) AS INT)] + 1e-9, 6) AS high, round(mean + 1e-9, 6) AS mean FROM o""",
     "jackknife": f"""WITH s AS (SELECT dataset, arch, cluster, sum(metric) AS s, count(*) AS c FROM {_CELLS} GROUP BY ALL), e AS (SELECT dataset, arch, sum(s) AS all_s, sum(c) AS all_c FROM s GROUP BY ALL),
         w AS (SELECT dataset, arch, (all_s - s) / (all_c - c) AS m FROM s JOIN e USING (dataset, arch) WHERE all_c > c)
-        SELECT dataset, arch, round(min(m), 6) AS least, round(median(m), 6) AS middle, round(max(m), 6) AS greatest FROM w GROUP BY dataset, arch""",
+        SELECT dataset, arch, round(min(m) + 1e-9, 6) AS least, round(median(m) + 1e-9, 6) AS middle, round(max(m) + 1e-9, 6) AS greatest FROM w GROUP BY dataset, arch""",
 }
