@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from docmeter.llm.pairs import is_cut, open_ends
+from docmeter.llm.pairs import OPENING, is_copy, is_cut, open_ends, plain_words
 from docmeter.llm.rules import shown
 from docmeter.session import stored, table
 
@@ -217,14 +217,17 @@ def cut_answers(results: DataFrame, ledger: DataFrame) -> DataFrame:
     """result_id, model and cut of each answer with a text; a result's copies come out once.
 
     Besides the ends and spikes of open_ends(), an answer with an open end whose call billed as many tokens as its limit
-    allows is cut. Null calls, counts and limits give no such evidence; null, empty and blank answers are left out.
+    allows is cut. One that gives back its question to the end is complete, whatever mark is missing. Null calls, counts and limits give no such evidence; null, empty and blank answers are left out.
     """
-    one = results.select("result_id", "call_id", F.col("architecture").alias("source"), F.col("response_token_count").alias("length"), shown(F.col("predicted_answer")).alias("text")).where(F.col("text").rlike(r"[\p{L}\p{N}]"))
+    q, a = [F.regexp_replace(plain_words(F.col(c)), OPENING, "") for c in ("question", "predicted_answer")]
+    one = results.select("result_id", "call_id", F.col("architecture").alias("source"), F.col("response_token_count").alias("length"), shown(F.col("predicted_answer")).alias("text"), q.alias("q"), a.alias("a")).where(F.col("text").rlike(r"[\p{L}\p{N}]"))
+    last = [F.element_at(F.split(c, " "), -1) for c in ("q", "a")]
+    one = one.withColumn("asked", is_copy(F.col("q"), F.col("a")) & (F.levenshtein(*last) <= 1)).drop("q", "a")
     calls = ledger.where(F.col("call_id").isNotNull()).groupBy("call_id").agg(F.first("model", True).alias("model"), F.max(F.coalesce(F.col("output_tokens") >= F.col("max_tokens"), F.lit(False))).alias("at_limit"))
     ends = open_ends(stored(one, "answers"))
     limit = F.coalesce("at_limit", F.lit(False)) & F.col("open") & (F.col("n_words") >= 3)
     joined = ends.withColumn("cut", is_cut(ends)).join(calls, "call_id", "left")
-    return joined.select("result_id", "model", (F.col("cut") | limit).alias("cut")).dropDuplicates(["result_id"])
+    return joined.select("result_id", "model", ((F.col("cut") | limit) & ~F.coalesce("asked", F.lit(False))).alias("cut")).dropDuplicates(["result_id"])
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:

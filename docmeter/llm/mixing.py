@@ -10,8 +10,6 @@ documents.
 
 from __future__ import annotations
 
-import base64
-import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,13 +17,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from docmeter.llm.encode import TOKENIZERS, WORDS, vocabulary
 from docmeter.session import stored, table
 
-TOKENIZERS = os.environ.get("DOCMETER_TOKENIZERS", "/opt/tokenizers")
-
-# Fixed value: the pattern that splits text into words before the merges.
-WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-
 BLOCK_TOKENS, SHARD_TOKENS = 20_000, 2_000_000
 #: Blocks of a source at most: beyond this many, blocks grow instead, so that ordering the blocks of a source stays small.
 BLOCKS = 65_536
@@ -34,8 +28,8 @@ SEED = 7
 
 def token_sizes(documents: DataFrame, root: str = TOKENIZERS, name: str = "byte_bpe_50k") -> DataFrame:
     """doc_id, source and tokens (of a public tokenizer) of each document; a null or empty text has 0."""
-    with open(os.path.join(root, f"{name}.tiktoken"), "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+    known = vocabulary(name, root)
+    ranks = dict(zip(known["bytes"].to_pylist(), known["id"].to_pylist()))
     sent = documents.sparkSession.sparkContext.broadcast(ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

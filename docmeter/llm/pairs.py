@@ -76,7 +76,7 @@ def language(texts: pd.Series) -> pd.Series:
     return texts.map(language_of)
 
 
-def _plain(text: Column) -> Column:
+def plain_words(text: Column) -> Column:
     """Lower case, letters and digits only, one space between words."""
     return F.trim(F.regexp_replace(F.lower(text), r"(?U)[^\p{L}\p{N}]+", " "))
 
@@ -86,12 +86,12 @@ def is_empty(bare: Column) -> Column:
     return ~bare.rlike(r"[\p{L}\p{N}]") | F.lower(bare).isin(EMPTY_WORDS)
 
 
-_OPENING = rf"^(?:(?:{'|'.join(re.escape(x) for x in sorted(OPENINGS, key=len, reverse=True))}) )+"
+OPENING = rf"^(?:(?:{'|'.join(re.escape(x) for x in sorted(OPENINGS, key=len, reverse=True))}) )+"
 
 
 def is_copy(q: Column, a: Column) -> Column:
     """Whether an answer gives back the question, perhaps with a slip or without its beginning, and no more; both come as
-    _plain() leaves them, without an opening."""
+    plain_words() leaves them, without an opening."""
     slips = F.greatest(F.lit(2), F.floor(F.length(q) * 0.12))
     near = F.abs(F.length(a) - F.length(q)) <= slips
     part = (F.length(a) >= 0.5 * F.length(q)) & (q.endswith(a) | q.startswith(a))
@@ -159,7 +159,7 @@ def defects(pairs: DataFrame) -> DataFrame:
     counts.
     """
     texts = pairs.select("result_id", "question", F.col("architecture").alias("source"), F.col("response_token_count").alias("length"), without_label(F.col("predicted_answer")).alias("text"))
-    plain = texts.withColumns({"q": F.regexp_replace(_plain(F.col("question")), _OPENING, ""), "a": F.regexp_replace(_plain(F.col("text")), _OPENING, ""), "said": F.regexp_replace("text", QUOTED, " ")})
+    plain = texts.withColumns({"q": F.regexp_replace(plain_words(F.col("question")), OPENING, ""), "a": F.regexp_replace(plain_words(F.col("text")), OPENING, ""), "said": F.regexp_replace("text", QUOTED, " ")})
     rule = F.when(is_empty(F.col("text")), "empty").when(is_copy(F.col("q"), F.col("a")), "copied_question").when(is_refusal(F.col("said")), "refusal")
     ruled = stored(plain.withColumn("rule", rule).drop("q", "a", "said"), "pairs")
     rest = open_ends(ruled.where(F.col("rule").isNull()).drop("rule"))

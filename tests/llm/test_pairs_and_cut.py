@@ -91,8 +91,9 @@ def test_cut_documents_copies_and_empty(spark):
 
 def test_cut_answers(spark):
     rows = [(i, i, "flat", 20, f"{GOOD[i % 2]} This holds for all {i} settings.") for i in range(40)] + [(100, 100, "flat", 5, "Anna Torvel leaves Lorwick because Ka"), (101, None, "flat", None, "Karl Benno"), (102, 102, "flat", None, None), (100, 100, "flat", 5, "Anna Torvel leaves Lorwick because Ka")]
-    results = spark.createDataFrame(rows, "result_id bigint, call_id bigint, architecture string, response_token_count int, predicted_answer string")
+    rows = [(*r, Q) for r in rows] + [(103, None, "flat", None, "why does anna torvel leave lorwick", Q), (104, None, "flat", None, "Some answer to nothing that was asked", None)]
+    results = spark.createDataFrame(rows, "result_id bigint, call_id bigint, architecture string, response_token_count int, predicted_answer string, question string")
     ledger = spark.createDataFrame([(i, "m", 20, None) for i in range(40)] + [(100, "m", 5, 5), (100, "m", 5, 5)], "call_id bigint, model string, output_tokens bigint, max_tokens int")
     got = [tuple(r) for r in cut.cut_answers(results, ledger).where("cut").collect()]
-    assert got == [(100, "m", True)]
+    assert sorted(got) == [(100, "m", True), (104, None, True)]
     assert cut.cut_answers(results, ledger).where(F.col("result_id") == 101).first()["model"] is None
