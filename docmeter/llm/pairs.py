@@ -159,7 +159,7 @@ def defects(pairs: DataFrame) -> DataFrame:
     counts.
     """
     texts = pairs.select("result_id", "question", F.col("architecture").alias("source"), F.col("response_token_count").alias("length"), without_label(F.col("predicted_answer")).alias("text"))
-    plain = texts.withColumns({"q": F.regexp_replace(plain_words(F.col("question")), OPENING, ""), "a": F.regexp_replace(plain_words(F.col("text")), OPENING, ""), "said": F.regexp_replace("text", QUOTED, " ")})
+    plain = texts.withColumns({"q": F.regexp_replace(plain_words(F.col("question")), OPENING, ""), "a": F.regexp_replace(plain_words(F.col("text")), OPENING, ""), "said": F.regexp_replace(F.regexp_replace("text", r"(?<=\p{L})[’ʼ](?=\p{L})", "'"), QUOTED, " ")})
     rule = F.when(is_empty(F.col("text")), "empty").when(is_copy(F.col("q"), F.col("a")), "copied_question").when(is_refusal(F.col("said")), "refusal")
     ruled = stored(plain.withColumn("rule", rule).drop("q", "a", "said"), "pairs")
     rest = open_ends(ruled.where(F.col("rule").isNull()).drop("rule"))

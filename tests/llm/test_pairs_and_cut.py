@@ -28,7 +28,7 @@ def test_copies(spark):
 
 
 def test_refusals_and_sound_answers(spark):
-    no = ["I'm sorry, but I can't help with that request.", "No comment.", "My instructions prevent me from going further with this.", "I pass on this one.", "Diese Frage darf ich leider nicht beantworten.", "Lo siento, pero no puedo ayudar con esa petición."]
+    no = ["I'm sorry, but I can't help with that request.", "No comment.", "My instructions prevent me from going further with this.", "I pass on this one.", "Diese Frage darf ich leider nicht beantworten.", "Lo siento, pero no puedo ayudar con esa petición.", "Unfortunately, I can’t help with that request."]
     assert set(classify(spark, *no)) == {"refusal"}
     yes = ["The paper does not say.", "Unanswerable", '"I\'m not able to answer," says Karl Benno when the judge asks.', "Sorry is the only word that he utters before the trial.", "I am sorry, but the text does not mention this.", "B", "(A) because of the debt", "Karl Benno", "42.1 percent"]
     assert classify(spark, *yes) == [None] * len(yes)
