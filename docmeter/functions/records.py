@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 # Control tags that a broken model output shows.
-CONTROL_TAGS = ["<|im_start|>", "<|im_end|>", "<|endoftext|>", "<|eot_id|>", "[INST]", "[/INST]", "<s>", "</s>", "<unk>"]
+CONTROL_TAGS = ["<thinking>", "</thinking>", "<reasoning>", "</reasoning>", "<scratchpad>"]
+
+# Names of models that reason before they answer.
+REASONING = r"deepseek-v4-pro|deepseek-v4-flash|deepseek-r1|(?<!non)-reasoning|grok-4\.3"
 
 
 def filled(text: Column) -> Column:
@@ -59,7 +62,7 @@ def rendered_options(options: Column) -> Column:
 def absent_letters(options: Column) -> Column:
     """Letters of options that say that something is not there."""
     low = lambda v: F.lower(F.trim(v))
-    return F.array_sort(F.map_keys(F.map_filter(options, lambda k, v: low(v).rlike(r"^no\b") | F.contains(low(v), F.lit("never")) | F.contains(low(v), F.lit("does not appear")))))
+    return F.array_sort(F.map_keys(F.map_filter(options, lambda k, v: low(v).startswith("no") | F.contains(low(v), F.lit("never")) | F.contains(low(v), F.lit("does not appear")))))
 
 
 def options_literal(text: Column) -> Column:
@@ -70,9 +73,9 @@ def options_literal(text: Column) -> Column:
 
 
 def malformed(output: Column) -> Column:
-    """Why a model output is broken: empty, or the first control tag that it shows; null if it is not."""
-    tags = F.filter(F.array(*[F.lit(t) for t in CONTROL_TAGS]), lambda t: F.contains(output, t))
-    return F.when(~filled(output), "empty").when(F.size(tags) > 0, F.concat(F.lit("control tag "), F.get(tags, F.lit(0))))
+    """Why a model output is broken: no text, or the first control tag that it shows; null if it is not."""
+    tags = F.filter(F.array(*[F.lit(t) for t in CONTROL_TAGS]), lambda t: F.contains(F.lower(output), t))
+    return F.when(~filled(output), "empty_response").when(F.size(tags) > 0, F.concat(F.lit("leaked_control_tag:"), F.get(tags, F.lit(0))))
 
 
 def json_block(output: Column, schema: str) -> Column:
@@ -108,4 +111,4 @@ def shortened(text: Column, n: int) -> Column:
 
 def reasoning_model(model: Column) -> Column:
     """Whether the name of a model says that it reasons before it answers."""
-    return model.rlike(r"(?i)(?<!non)-(?:reasoning|think(?:ing)?)\b")
+    return F.lower(model).rlike(REASONING)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from docmeter.functions.text import approx_tokens
 from docmeter.functions.vectors import dot, unit
@@ -66,39 +68,49 @@ def chunked(documents: DataFrame, key: str, text: str, size: int, overlap: int =
 def hashed_vectors(texts: DataFrame, text: str, name: str = "vector", dimension: int = 64) -> DataFrame:
     """texts with a vector of unit length: words fall into signed buckets by their hash. The offline stand-in for an
     embedding service; a text without words has the zero vector."""
-    words = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    hashed = F.transform(words, lambda w: F.xxhash64(w))
-    buckets = F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: F.aggregate(
-        F.filter(hashed, lambda h: F.pmod(h, F.lit(dimension)) == i), F.lit(0.0), lambda s, h: s + F.when(F.shiftright(h, 62) % 2 == 0, 1.0).otherwise(-1.0)
-    ))
-    return texts.withColumn(name, unit(buckets))
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def vector(values: pd.Series) -> pd.Series:
+        known: dict[str, int] = {}
+        out = []
+        for value in values:
+            hashes = np.array([known.setdefault(w, zlib.crc32(w.encode())) for w in re.findall(r"[^\W_]+", (value or "").lower())], np.int64)
+            v = np.bincount(hashes % dimension, np.where(hashes >> 31 & 1, -1.0, 1.0), dimension) if len(hashes) else np.zeros(dimension)
+            out.append(v / (np.linalg.norm(v) or 1.0))
+        return pd.Series(out)
+
+    return texts.withColumn(name, vector(F.col(text)))
 
 
-def nearest(queries: DataFrame, corpus: DataFrame, k: int, blocks: int = 32) -> DataFrame:
+def nearest(queries: DataFrame, corpus: DataFrame, k: int, queries_at_once: int = 2_000, vectors_at_once: int = 50_000) -> DataFrame:
     """query_id, id, score and rank of the k vectors of corpus (id, vector) most like each query (query_id, vector).
 
-    Exact: the stated queries meet all vectors, in blocks of the corpus. Each block keeps its own k best per query before
-    they are merged, so what is shuffled is k rows per query and block. Vectors are arrays of doubles; ties go to the
-    smaller id.
+    Exact: the stated queries meet all vectors, in blocks of both; the numbers of blocks follow the numbers of rows, so that
+    a task holds one block of each. A block keeps its own k best per query before they are merged, so what is shuffled
+    last is k rows per query and block. Vectors are arrays of doubles; ties go to the smaller id.
     """
-    asked = queries.select("query_id", unit(F.col("vector")).alias("q"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    held = corpus.select("id", unit(F.col("vector")).alias("v"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
-
-    def best(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "id": [], "score": []})
-        ids, vectors = right["id"].to_numpy(), np.stack(right["v"].to_numpy())
-        out = []
-        names = left["query_id"].to_numpy()
-        for start in range(0, len(left), 256):
-            scores = np.round(np.stack(left["q"].to_numpy()[start : start + 256]) @ vectors.T, 9)
-            for row, name in zip(scores, names[start : start + 256]):
-                top = np.lexsort((ids, -row))[:k]
-                out.append(pd.DataFrame({"query_id": name, "id": ids[top], "score": row[top]}))
+    rows, columns = (max(1, -(-n // most)) for n, most in ((queries.count(), queries_at_once), (corpus.count(), vectors_at_once)))
+
+    def blocks(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    asked = queries.select("query_id", unit(F.col("vector")).alias("q"), F.pmod(F.xxhash64("query_id"), F.lit(rows)).cast("int").alias("row"), blocks(columns).alias("column"))
+    held = corpus.select("id", unit(F.col("vector")).alias("v"), F.pmod(F.xxhash64("id"), F.lit(columns)).cast("int").alias("column"), blocks(rows).alias("row"))
+
+    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"query_id": left["query_id"][:0], "id": right["id"][:0], "score": np.zeros(0)})]
+        if len(left) and len(right):
+            ids, vectors, names = right["id"].to_numpy(), np.stack(right["v"].to_numpy()), left["query_id"].to_numpy()
+            for start in range(0, len(left), 64):
+                scores = np.round(np.stack(left["q"].to_numpy()[start : start + 64]) @ vectors.T, 9)
+                for score, name in zip(scores, names[start : start + 64]):
+                    near = np.flatnonzero(score >= np.partition(score, -k)[-k]) if len(score) > k else np.arange(len(score))
+                    top = near[np.lexsort((ids[near], -score[near]))[:k]]
+                    out.append(pd.DataFrame({"query_id": name, "id": ids[top], "score": score[top]}))
         return pd.concat(out)
 
     kinds = queries.schema["query_id"].dataType.simpleString(), corpus.schema["id"].dataType.simpleString()
-    partial = asked.groupBy("block").cogroup(held.groupBy("block")).applyInPandas(best, f"query_id {kinds[0]}, id {kinds[1]}, score double")
+    partial = asked.groupBy("row", "column").cogroup(held.groupBy("row", "column")).applyInPandas(best, f"query_id {kinds[0]}, id {kinds[1]}, score double")
     rank = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return partial.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
 

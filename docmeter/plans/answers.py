@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from docmeter.functions import text as T
-from docmeter.functions.metrics import accuracy, best_f1, evidence_f1, evidence_hit, rounded
+from docmeter.functions.metrics import accuracy, best_f1, evidence_f1, rounded
 from docmeter.session import table
 
+ARCHITECTURES = ["flat", "naive_rag", "raptor", "graphrag"]
+#: Sentences meet documents on the hash of so many first words.
+WORDS = 6
+
 
 def answers(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """Each result once (copies agree but for received_at)."""
@@ -50,7 +54,7 @@ def answer_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
 def gold_rescoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean and median best F1 per architecture over all questions with gold answers; one without an answer counts 0."""
     pool = gold(spark, sf_dir).withColumnRenamed("qid", "question_id")
-    asked = pool.select("question_id").join(table(spark, sf_dir, "architecture_results", "architecture").distinct(), how="cross")
+    asked = pool.select("question_id", F.explode(F.array(*[F.lit(a) for a in ARCHITECTURES])).alias("architecture"))
     rows = answers(spark, sf_dir, "architecture", "question_id", "predicted_answer").join(pool, "question_id")
     best = rows.select("architecture", "question_id", best_f1(F.col("predicted_answer"), F.col("gold_answers")).alias("f1")).groupBy("architecture", "question_id").agg(F.max("f1").alias("f1"))
     filled = asked.join(best, ["architecture", "question_id"], "left")
@@ -67,16 +71,21 @@ def evidence_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def evidence_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Evidence sentences of each architecture that the documents of their paper hold."""
-    sentences = answers(spark, sf_dir, "architecture", "paper_id", "retrieved_evidence_sentences").where(F.col("paper_id").isNotNull()).select("architecture", "paper_id", F.explode(F.array_distinct("retrieved_evidence_sentences")).alias("sentence")).where(F.col("sentence").isNotNull()).distinct()
-    chunks = table(spark, sf_dir, "documents", "paper_id", "text", "source").where((F.col("source") == "paper_section") & F.col("text").isNotNull()).drop("source").distinct()
-    # sentences and chunks meet on a shared word pair of the sentence's beginning, not on the paper alone
-    first = F.concat_ws(" ", F.slice(T.tokens(F.col("sentence")), 1, 6))
-    chunk_words = T.tokens(F.col("text"))
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - 5)), lambda i: F.concat_ws(" ", F.slice("w", i, 6))))
-    keyed = chunks.withColumn("w", chunk_words).select("paper_id", "text", F.explode(grams).alias("key"))
-    hits = sentences.withColumn("key", first).join(keyed, ["paper_id", "key"]).where(evidence_hit(F.col("sentence"), F.col("text"))).select("architecture", "paper_id", "sentence").distinct().withColumn("hit", F.lit(1))
-    return sentences.join(hits, ["architecture", "paper_id", "sentence"], "left").groupBy("architecture").agg(F.count(F.lit(1)).alias("n_sentences"), F.count("hit").alias("n_hits"))
+    """Evidence sentences of each architecture (of six words or more) that a document of their paper holds word for word.
+
+    A sentence meets the documents of its paper that have its first six words in a row, by their hash; the texts come in
+    only for those pairs.
+    """
+    rows = answers(spark, sf_dir, "architecture", "paper_id", "retrieved_evidence_sentences").where(F.col("paper_id").isNotNull())
+    stated = rows.select("architecture", "paper_id", F.explode(F.array_distinct("retrieved_evidence_sentences")).alias("s")).select("architecture", "paper_id", T.tokens(F.col("s")).alias("w")).where(F.size("w") >= WORDS)
+    sentences = stated.select("architecture", "paper_id", F.array_join("w", " ").alias("sentence"), F.xxhash64(F.slice("w", 1, WORDS)).alias("key")).distinct()
+    documents = table(spark, sf_dir, "documents", "doc_id", "paper_id", "text").where(F.col("paper_id").isNotNull() & F.col("text").isNotNull()).withColumn("w", T.tokens(F.col("text")))
+    grams = F.transform(F.sequence(F.lit(1), F.size("w") - (WORDS - 1)), lambda i: F.xxhash64(F.slice("w", i, WORDS)))
+    keyed = documents.where(F.size("w") >= WORDS).select("doc_id", "paper_id", F.explode(F.array_distinct(grams)).alias("key"))
+    met = sentences.select("paper_id", "sentence", "key").distinct().join(keyed, ["paper_id", "key"]).select("paper_id", "sentence", "doc_id")
+    held = F.contains(F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" ")), F.concat(F.lit(" "), F.col("sentence"), F.lit(" ")))
+    hits = met.join(documents.select("doc_id", "w"), "doc_id").where(held).select("paper_id", "sentence").distinct().withColumn("hit", F.lit(1))
+    return sentences.join(hits, ["paper_id", "sentence"], "left").groupBy("architecture").agg(F.count(F.lit(1)).alias("n_sentences"), F.count("hit").alias("n_hits"))
 
 
 def choice_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,7 +156,7 @@ _BEST = f"""(SELECT result_id, architecture, question_id, coalesce(max(f1), 0) A
     SELECT result_id, architecture, question_id, CASE WHEN r IS NOT NULL THEN {_f1('p', 'g')} END AS f1 FROM (
         SELECT result_id, architecture, question_id, r, {_toks('predicted_answer')} AS p, {_toks('r')} AS g FROM (
             SELECT a.result_id, a.architecture, a.question_id, a.predicted_answer, unnest(gold_answers) AS r FROM {_ANSWERS} a JOIN {_GOLD} ON question_id = qid))) GROUP BY ALL)"""
-_HEDGES = "['not stated', 'not mentioned', 'not specified', 'does not', 'no information', 'unclear', 'cannot be determined', 'not provided', 'unknown', 'not explicitly', 'insufficient', 'no mention', 'unanswerable', 'not discussed', 'not given']"
+_HEDGES = "[" + ", ".join(f"'{h}'" for h in T.HEDGES) + "]"
 _SETS = f"list_distinct(list_filter(list_transform(X, lambda s: {_norm('s')}), lambda s: s <> ''))"
 
 
@@ -171,8 +180,11 @@ SQL = {
     "evidence_overlap": f"""WITH r AS (SELECT result_id, architecture, question_id, run_index, {_SETS.replace('X', 'retrieved_evidence_sentences')} AS s FROM {_ANSWERS} WHERE len(retrieved_evidence_sentences) > 0)
         SELECT r.architecture, count(*) AS n_pairs, round(avg(CASE WHEN len(r.s) + len(f.s) = 0 THEN 0.0 ELSE 2.0 * len(list_intersect(r.s, f.s)) / (len(r.s) + len(f.s)) END) + 1e-9, 6) AS evidence_f1
         FROM r JOIN r f ON r.question_id = f.question_id AND r.run_index = f.run_index AND f.architecture = 'flat' WHERE r.architecture <> 'flat' GROUP BY r.architecture""",
-    "choice_letters": f"""SELECT result_id, upper(coalesce({_form('^\\(([A-Z])\\)[.:)]?$')}, {_form('^([A-Z])[.:)]\\s+\\S')}, {_form('^([A-Z])[.!?:)]?$')}, {_form('^([A-Z])\\s*\\n')},
-        {_form('(?i)\\b(?:option|answer|choice)\\b\\s*(?:is\\b|:)?\\s*\\b([a-z])\\b')}, {_form('(?i)\\((?:option )?([a-z])\\)')})) AS letter
+    "evidence_hits": f"""WITH s AS (SELECT DISTINCT architecture, paper_id, array_to_string(w, ' ') AS sentence FROM (
+            SELECT architecture, paper_id, {_toks('s')} AS w FROM (SELECT architecture, paper_id, unnest(retrieved_evidence_sentences) AS s FROM {_ANSWERS} WHERE paper_id IS NOT NULL)) WHERE len(w) >= 6),
+        d AS (SELECT paper_id, ' ' || {_norm('text')} || ' ' AS t FROM documents WHERE paper_id IS NOT NULL AND text IS NOT NULL)
+        SELECT architecture, count(*) AS n_sentences, count(*) FILTER (EXISTS (SELECT 1 FROM d WHERE d.paper_id = s.paper_id AND contains(d.t, ' ' || s.sentence || ' '))) AS n_hits FROM s GROUP BY architecture""",
+    "choice_letters": f"""SELECT result_id, upper(coalesce({', '.join(_form(p) for p in T.LETTER_FORMS)})) AS letter
         FROM (SELECT result_id, regexp_replace(trim(predicted_answer, ' '), '^(?i:answer)\\s*:?\\s*', '') AS t FROM {_ANSWERS} WHERE dataset = 'novelqa')""",
     "choice_accuracy": """WITH v AS (SELECT question_id, upper(regexp_extract(predicted_letter_rescored, '([A-Da-d])', 1)) AS letter FROM (SELECT DISTINCT question_id, annotator, predicted_letter_rescored FROM letter_votes)),
         m AS (SELECT question_id, letter AS gold FROM (SELECT question_id, letter, count(*) AS n FROM v WHERE letter <> '' GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY n DESC, letter) = 1)

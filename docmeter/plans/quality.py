@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from docmeter.functions.text import is_hedge
+from docmeter.functions.text import HEDGES, is_hedge
 from docmeter.functions.metrics import rounded
 from docmeter.session import table
 
@@ -178,7 +178,23 @@ def closed_book_lift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return means.join(floors, "dataset").select("dataset", "arch", rounded("floor").alias("floor"), rounded(F.col("m") - F.col("floor")).alias("lift"))
 
 
+def run_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the metric of a cell moves from the first to the last run: cells in both, mean, median and how many moved."""
+    rows = predictions(spark, sf_dir, "dataset", "answer_f1", "accuracy").withColumn("m", _metric()).where(F.col("m").isNotNull())
+    cell = rows.groupBy("dataset", "arch", "paper_id", "question_id").agg(F.max(F.when(F.col("run_index") == 0, F.col("m"))).alias("a"), F.max(F.when(F.col("run_index") == 4, F.col("m"))).alias("b"))
+    both = cell.where(F.col("a").isNotNull() & F.col("b").isNotNull()).withColumn("d", F.col("b") - F.col("a"))
+    return both.groupBy("dataset", "arch").agg(F.count(F.lit(1)).alias("n_cells"), rounded(F.avg("d")).alias("mean_delta"), rounded(F.median("d")).alias("median_delta"), F.count_if(F.abs("d") > 0.05).alias("n_moved"))
+
+
+def run_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean metric by architecture and run, a column for each run."""
+    rows = predictions(spark, sf_dir, "dataset", "answer_f1", "accuracy").withColumn("m", _metric())
+    wide = rows.groupBy("dataset", "arch").pivot("run_index", [0, 1, 2, 3, 4]).agg(F.avg("m"))
+    return wide.select("dataset", "arch", *[rounded(F.col(str(i))).alias(f"run_{i}") for i in range(5)])
+
+
 QUERIES = {
+    "run_deltas": run_deltas, "run_table": run_table,
     "macro_by_arch": macro_by_arch, "repeat_collapse": repeat_collapse, "letter_distribution": letter_distribution, "variance_across_runs": variance_across_runs, "consensus_vote": consensus_vote,
     "consensus_without_self": consensus_without_self, "consensus_accuracy": consensus_accuracy, "support_buckets": support_buckets, "letter_counters": letter_counters, "study_size": study_size,
     "rank_architectures": rank_architectures, "paired_differences": paired_differences, "losing_slice": losing_slice, "slice_means": slice_means, "hedge_tells": hedge_tells, "build_failures": build_failures,
@@ -190,6 +206,7 @@ _CELLS = "(SELECT DISTINCT dataset, cluster, qid, arch, metric FROM scored_cells
 _VOTES = "(SELECT DISTINCT question_id, arch, run_index, predicted_letter AS letter FROM predictions WHERE dataset = 'novelqa' AND predicted_letter IN ('A', 'B', 'C', 'D'))"
 _WIDE = f"""(SELECT dataset, cluster, qid, max(metric) FILTER (arch = 'flat') AS flat, max(metric) FILTER (arch = 'naive_rag') AS naive_rag,
     max(metric) FILTER (arch = 'raptor') AS raptor, max(metric) FILTER (arch = 'graphrag') AS graphrag FROM {_CELLS} GROUP BY ALL)"""
+_HEDGES = "[" + ", ".join(f"'{h}'" for h in HEDGES) + "]"
 _CONSENSUS = f"""(SELECT question_id, letter, n AS support, CAST(sum(n) OVER (PARTITION BY question_id) AS BIGINT) AS n_votes FROM (SELECT question_id, letter, count(*) AS n FROM {_VOTES} GROUP BY ALL)
     QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY n DESC, letter) = 1)"""
 _OTHERS = f"""(SELECT question_id, left_out, letter, n AS support, CAST(sum(n) OVER (PARTITION BY question_id, left_out) AS BIGINT) AS n_votes FROM (
@@ -197,6 +214,9 @@ _OTHERS = f"""(SELECT question_id, left_out, letter, n AS support, CAST(sum(n) O
     QUALIFY row_number() OVER (PARTITION BY question_id, left_out ORDER BY n DESC, letter) = 1)"""
 
 SQL = {
+    "run_deltas": f"""WITH c AS (SELECT dataset, arch, paper_id, question_id, max(m) FILTER (run_index = 0) AS a, max(m) FILTER (run_index = 4) AS b FROM {_M} WHERE m IS NOT NULL GROUP BY ALL)
+        SELECT dataset, arch, count(*) AS n_cells, round(avg(b - a) + 1e-9, 6) AS mean_delta, round(median(b - a) + 1e-9, 6) AS median_delta, count(*) FILTER (abs(b - a) > 0.05::DOUBLE) AS n_moved FROM c WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY dataset, arch""",
+    "run_table": f"SELECT dataset, arch, {', '.join(f'round(avg(m) FILTER (run_index = {i}) + 1e-9, 6) AS run_{i}' for i in range(5))} FROM {_M} GROUP BY dataset, arch",
     "macro_by_arch": f"SELECT dataset, arch, round(avg(m) + 1e-9, 6) AS mean_metric, count(*) AS n_rows FROM {_M} WHERE m IS NOT NULL GROUP BY dataset, arch",
     "repeat_collapse": f"SELECT dataset, paper_id, question_id, arch, round(avg(m) + 1e-9, 6) AS metric, count(DISTINCT run_index) AS n_repeats FROM {_M} WHERE m IS NOT NULL GROUP BY ALL",
     "letter_distribution": """SELECT arch, count(*) FILTER (l = 'A') AS n_a, count(*) FILTER (l = 'B') AS n_b, count(*) FILTER (l = 'C') AS n_c, count(*) FILTER (l = 'D') AS n_d, count(*) FILTER (l IS NULL OR l NOT IN ('A', 'B', 'C', 'D')) AS n_other
@@ -225,7 +245,7 @@ SQL = {
         w AS (SELECT dataset, size, avg(metric) FILTER (arch = 'flat') AS flat, avg(metric) FILTER (arch = 'naive_rag') AS naive_rag, avg(metric) FILTER (arch = 'raptor') AS raptor, avg(metric) FILTER (arch = 'graphrag') AS graphrag FROM s GROUP BY ALL)
         SELECT dataset, size, round(flat + 1e-9, 6) AS flat, round(naive_rag + 1e-9, 6) AS naive_rag, round(raptor + 1e-9, 6) AS raptor, round(graphrag + 1e-9, 6) AS graphrag, round(flat - least(naive_rag, raptor, graphrag) + 1e-9, 6) AS gap FROM w""",
     "hedge_tells": f"""WITH g AS (SELECT DISTINCT qid FROM {_CELLS} WHERE arch = 'flat' AND metric >= 0.5)
-        SELECT architecture, count(*) AS n_answers, count(*) FILTER (len(list_filter(['not stated', 'not mentioned', 'not specified', 'does not', 'no information', 'unclear', 'cannot be determined', 'not provided', 'unknown', 'not explicitly', 'insufficient', 'no mention', 'unanswerable', 'not discussed', 'not given'],
+        SELECT architecture, count(*) AS n_answers, count(*) FILTER (len(list_filter({_HEDGES},
             lambda h: contains(lower(coalesce(predicted_answer, '')), h))) > 0) AS n_hedged
         FROM (SELECT DISTINCT result_id, architecture, question_id, predicted_answer FROM architecture_results) WHERE question_id IN (SELECT qid FROM g) GROUP BY architecture""",
     "build_failures": "SELECT arch, failure_reason, count(*) AS n_cells FROM (SELECT DISTINCT arch, paper_id, question_id, run_index, build_failed, failure_reason FROM predictions) WHERE build_failed GROUP BY ALL",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from docmeter.operators.ordered import next_known, numbered, running_total
 from docmeter.session import table
@@ -134,7 +134,24 @@ def replayed_builds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return built.join(missing, ["architecture", "paper_id"]).groupBy("architecture", "run_index").agg(F.count(F.lit(1)).alias("n_replayed"), F.count_distinct("paper_id").alias("n_papers"))
 
 
+def prompt_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls that repeat the prompt of an earlier call of the same model: how many there are, how many took at most 0.4 of the
+    time of the one before, and how many had 0.9 of its input from the cache."""
+    rows = calls(spark, sf_dir, "model", "prompt_hash", "uncached_input_tokens", "cached_input_tokens", "wallclock_s").where(F.col("prompt_hash").isNotNull())
+    before = Window.partitionBy("model", "prompt_hash").orderBy("call_id")
+    pairs = rows.withColumns({"w": F.lag("wallclock_s").over(before), "i": F.lag("uncached_input_tokens").over(before), "n": F.row_number().over(before)}).where("n > 1")
+    return pairs.groupBy("model").agg(F.count(F.lit(1)).alias("n_repeats"), F.count_if(F.col("wallclock_s") <= 0.4 * F.col("w")).alias("n_fast"), F.count_if((F.col("i") > 0) & (F.col("cached_input_tokens") >= 0.9 * F.col("i"))).alias("n_cached"))
+
+
+def speed_by_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens a second of sound calls by model and size of the input (powers of ten)."""
+    total = F.coalesce("uncached_input_tokens", F.lit(0)) + F.coalesce("cached_input_tokens", F.lit(0))
+    rows = calls(spark, sf_dir, "model", "uncached_input_tokens", "cached_input_tokens", "wallclock_s", "failed").where(~F.col("failed")).select("model", total.alias("tokens"), "wallclock_s").where("tokens > 0 AND wallclock_s > 0")
+    return rows.groupBy("model", F.length(F.col("tokens").cast("string")).alias("digits")).agg(F.count(F.lit(1)).alias("n_calls"), F.round(F.sum("tokens") / F.sum("wallclock_s"), 3).alias("tokens_per_s"))
+
+
 QUERIES = {
+    "prompt_reuse": prompt_reuse, "speed_by_size": speed_by_size,
     "tokens_by_arch_stage": tokens_by_arch_stage, "tokens_rollup": tokens_rollup, "calls_stage_pivot": calls_stage_pivot, "failure_kinds": failure_kinds,
     "embedding_volume": embedding_volume, "build_totals": build_totals, "longest_context": longest_context, "calls_per_day": calls_per_day, "late_calls": late_calls,
     "latest_rows": latest_rows, "ordinal_attribution": ordinal_attribution, "forward_attribution": forward_attribution, "failure_streaks": failure_streaks, "replayed_builds": replayed_builds,
@@ -148,6 +165,12 @@ _RUN0 = "(SELECT DISTINCT call_id, architecture, paper_id, stage, model, failed,
 _TIME = "coalesce(try_cast(CASE WHEN timestamp LIKE '%-%' THEN timestamp END AS TIMESTAMPTZ) AT TIME ZONE 'UTC', try_strptime(timestamp, '%Y%m%dT%H%M%SZ'))"
 
 SQL = {
+    "prompt_reuse": """WITH p AS (SELECT *, lag(wallclock_s) OVER w AS lw, lag(uncached_input_tokens) OVER w AS li, row_number() OVER w AS n FROM (
+            SELECT DISTINCT call_id, model, prompt_hash, uncached_input_tokens, cached_input_tokens, wallclock_s FROM ledger WHERE prompt_hash IS NOT NULL) WINDOW w AS (PARTITION BY model, prompt_hash ORDER BY call_id))
+        SELECT model, count(*) AS n_repeats, count(*) FILTER (wallclock_s <= 0.4::DOUBLE * lw) AS n_fast, count(*) FILTER (li > 0 AND cached_input_tokens >= 0.9::DOUBLE * li) AS n_cached FROM p WHERE n > 1 GROUP BY model""",
+    "speed_by_size": """SELECT model, length(CAST(tokens AS VARCHAR)) AS digits, count(*) AS n_calls, round(sum(tokens) / sum(wallclock_s), 3) AS tokens_per_s FROM (
+            SELECT model, coalesce(uncached_input_tokens, 0) + coalesce(cached_input_tokens, 0) AS tokens, wallclock_s FROM (SELECT DISTINCT call_id, model, uncached_input_tokens, cached_input_tokens, wallclock_s, failed FROM ledger) WHERE NOT failed)
+        WHERE tokens > 0 AND wallclock_s > 0 GROUP BY ALL""",
     "tokens_by_arch_stage": f"SELECT architecture, stage, {_SUMS} FROM {_RUN0} GROUP BY architecture, stage",
     "tokens_rollup": f"SELECT architecture, stage, CAST(GROUPING(architecture, stage) AS INT) AS level, {_SUMS} FROM {_RUN0} GROUP BY ROLLUP (architecture, stage)",
     "calls_stage_pivot": f"""SELECT architecture, count(*) FILTER (stage = 'preprocess') AS preprocess, count(*) FILTER (stage = 'retrieval') AS retrieval, count(*) FILTER (stage = 'generate') AS generate

@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 
+def _place() -> Column:
+    """The place of a line in its file: the block of the file, then the line within the task that reads the block in order."""
+    return F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+
+
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """One object per line; blank lines are left out, any bad line fails the query."""
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
@@ -18,7 +23,7 @@ def json_lines_tolerant(spark: SparkSession, path: str, schema: str) -> DataFram
 def json_lines_resumable(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The same for files whose last line a crash may have torn: that line alone may be bad. A bad line that is not the last
     of its file fails the query. The place of a line is its offset in the file, so no order of rows is relied on."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at")).where(F.trim("value") != "")
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), _place().alias("at")).where(F.trim("value") != "")
     parsed = lines.withColumn("row", F.from_json("value", T._parse_datatype_string(schema).add("_bad", "string"), {"columnNameOfCorruptRecord": "_bad", "mode": "PERMISSIVE"}))
     ends = lines.groupBy("file").agg(F.max("at").alias("last"))
     torn = F.col("row._bad").isNotNull()
@@ -47,7 +52,7 @@ def whole_files(spark: SparkSession, path: str) -> DataFrame:
 
 def log_ids(spark: SparkSession, path: str, pattern: str, first: bool = False) -> DataFrame:
     """name and id: what the first group of pattern says in the last (or first) line of each log that has it."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"))
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), _place().alias("at"))
     found = lines.withColumn("id", F.regexp_extract("value", pattern, 1)).where(F.col("id") != "")
     pick = F.min_by if first else F.max_by
     return found.groupBy(F.regexp_extract("file", r"([^/]+?)(?:\.[^./]*)?$", 1).alias("name")).agg(pick("id", "at").alias("id"))

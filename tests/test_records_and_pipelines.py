@@ -56,7 +56,7 @@ def test_gold_answer_order(spark):
 
 def test_options(spark):
     assert one(spark, R.rendered_options(F.col("o")), "o map<string,string>", {"B": "two", "A": "one"}) == "A. one\nB. two"
-    assert one(spark, R.absent_letters(F.col("o")), "o map<string,string>", {"A": "No one", "B": "nothing", "C": "He never did", "D": "x"}) == ["A", "C"]
+    assert one(spark, R.absent_letters(F.col("o")), "o map<string,string>", {"A": "No one", "B": "something", "C": "He never did", "D": "x"}) == ["A", "C"]
     assert one(spark, R.options_literal(F.col("t")), "t string", "{'A': 'it''s', 'B': 'x'}".replace("''", "’")) == {"A": "it’s", "B": "x"}
     assert one(spark, R.options_literal(F.col("t")), "t string", "oops") == {}
 
@@ -66,8 +66,8 @@ def test_outputs(spark):
     for text, found in [('{"entities": ["a"]}', ["a"]), ('```json\n{"entities": ["b"]}\n```', ["b"]), ('Sure: {"x": 1} and {"entities": ["c", "d"]}', ["c", "d"])]:
         assert one(spark, R.json_block(F.col("t"), schema)["entities"], "t string", text) == found
     assert one(spark, R.json_block(F.col("t"), schema), "t string", "garbage") is None
-    assert one(spark, R.malformed(F.col("t")), "t string", " ") == "empty" and one(spark, R.malformed(F.col("t")), "t string", "fine") is None
-    assert one(spark, R.malformed(F.col("t")), "t string", "x <|im_end|>") == "control tag <|im_end|>"
+    assert one(spark, R.malformed(F.col("t")), "t string", " ") == "empty_response" and one(spark, R.malformed(F.col("t")), "t string", "fine") is None
+    assert one(spark, R.malformed(F.col("t")), "t string", "x <Thinking>") == "leaked_control_tag:<thinking>"
     for value, strength in [("7", 7), ("0", 1), ("99", 10), ("2.5", 2), ("3.5", 4), ("x", None), (None, None)]:
         assert one(spark, R.clamped_strength(F.col("t")), "t string", value) == strength
     assert one(spark, R.evidence_parts(F.col("t")), "t string", "a\n\n \n\n b") == ["a", "b"]

@@ -30,7 +30,7 @@ def test_nearest_is_exact(spark):
     queries = corpus.where("id < 7").withColumnRenamed("id", "query_id")
     unit = vectors / np.linalg.norm(vectors, axis=1)[:, None]
     got = {}
-    for r in retrieval.nearest(queries, corpus, 5, blocks=4).orderBy("query_id", "rank").collect():
+    for r in retrieval.nearest(queries, corpus, 5, queries_at_once=3, vectors_at_once=40).orderBy("query_id", "rank").collect():
         got.setdefault(r["query_id"], []).append(r["id"])
     for q in range(7):
         assert got[q] == np.argsort(-np.round(unit @ unit[q], 9), kind="stable")[:5].tolist()

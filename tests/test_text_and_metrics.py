@@ -46,6 +46,11 @@ def test_choice_letter(spark, raw, letter):
     assert one(spark, T.choice_letter(F.col("t")), "t string", raw) == letter
 
 
+@pytest.mark.parametrize("raw, letter", [("Spanish necklace", "B"), ("it is the spanish necklace.", "B"), ("not at all", None), ("No", "A"), ("", None)])
+def test_choice_by_text(spark, raw, letter):
+    assert one(spark, T.choice_by_text(F.col("t"), F.array(F.lit("No"), F.lit("Spanish necklace"))), "t string", raw) == letter
+
+
 def test_keys(spark):
     assert one(spark, T.title_key(F.col("t")), "t string", "Mrs. Dalloway") == "mrsdalloway"
     assert one(spark, T.title_key(F.col("t")), "t string", "À la recherche") == "alarecherche"
