@@ -29,11 +29,13 @@ WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: New words that one DuckDB query encodes, and encoded words that a task keeps; both bound memory only.
 WORDS_PER_QUERY, WORDS_KEPT = 20_000, 400_000
 
-MERGE_WORDS = """
-WITH RECURSIVE step AS (
-    SELECT word, pos, token, FALSE AS done FROM bytes_of
-    UNION ALL
-    (WITH pairs AS (
+#: Words of more bytes than this are merged apart: the recursive query keeps the rows of all its rounds, and a long word has
+#: many of both.
+LONG_WORD = 1_000
+
+#: One round: the pair of the least rank of each word of a table is contracted, wherever the word has it.
+ROUND = """
+    WITH pairs AS (
         SELECT s.word, s.pos, s.token, m.rank, m.merged,
                min(m.rank) OVER (PARTITION BY s.word) AS least
         FROM (SELECT word, pos, token, lead(token) OVER (PARTITION BY word ORDER BY pos) AS following FROM step WHERE NOT done) s
@@ -44,7 +46,14 @@ WITH RECURSIVE step AS (
     taken AS (SELECT *, hit AND row_number() OVER (PARTITION BY word, hit, run ORDER BY pos) % 2 = 1 AS take FROM runs),
     shifted AS (SELECT *, coalesce(lag(take) OVER (PARTITION BY word ORDER BY pos), FALSE) AS swallowed FROM taken)
     SELECT word, pos, CASE WHEN take THEN merged ELSE token END AS token, least IS NULL AS done
-    FROM shifted WHERE NOT swallowed)
+    FROM shifted WHERE NOT swallowed
+"""
+
+MERGE_WORDS = f"""
+WITH RECURSIVE step AS (
+    SELECT word, pos, token, FALSE AS done FROM bytes_of
+    UNION ALL
+    ({ROUND})
 )
 SELECT word, list(token ORDER BY pos) AS ids FROM step WHERE done GROUP BY word
 """
@@ -92,16 +101,36 @@ def connect(**tables: pa.Table) -> duckdb.DuckDBPyConnection:
     return con
 
 
-def encode_words(con: duckdb.DuckDBPyConnection, single: list[int], words: list[str]) -> dict[str, list[int]]:
-    """The ids of distinct words. Words of one byte, or that no merge changes, come out as their bytes."""
+def _bytes_of(single: list[int], words: list[str]) -> pd.DataFrame:
+    """word (its place in words), pos and token of each byte."""
     raw = [w.encode("utf-8", "surrogatepass") for w in words]
     lengths = [len(b) for b in raw]
     word = pd.Series(range(len(raw))).repeat(lengths).to_numpy()
-    given = pd.DataFrame({"word": word, "pos": [i for n in lengths for i in range(n)], "token": [single[b] for x in raw for b in x]}).astype("int32")
-    con.register("bytes_of", given)
+    return pd.DataFrame({"word": word, "pos": [i for n in lengths for i in range(n)], "token": [single[b] for x in raw for b in x]}).astype("int32")
+
+
+def encode_words(con: duckdb.DuckDBPyConnection, single: list[int], words: list[str]) -> dict[str, list[int]]:
+    """The ids of distinct words, in no order. Words of one byte, or that no merge changes, come out as their bytes."""
+    short = [w for w in words if len(w) * 4 <= LONG_WORD or len(w.encode("utf-8", "surrogatepass")) <= LONG_WORD]
+    con.register("bytes_of", _bytes_of(single, short))
     rows = con.sql(MERGE_WORDS).to_arrow_table()
     con.unregister("bytes_of")
-    return dict(zip([words[i] for i in rows["word"].to_pylist()], rows["ids"].to_pylist()))
+    known = dict(zip([short[i] for i in rows["word"].to_pylist()], rows["ids"].to_pylist()))
+    return known | {w: encode_long_word(con, single, w) for w in words if w not in known}
+
+
+def encode_long_word(con: duckdb.DuckDBPyConnection, single: list[int], word: str) -> list[int]:
+    """The ids of one word by the same rounds, each in place of the one before."""
+    con.register("bytes_of", _bytes_of(single, [word]))
+    con.execute("CREATE OR REPLACE TEMP TABLE step AS SELECT *, FALSE AS done FROM bytes_of")
+    con.unregister("bytes_of")
+    while con.execute("SELECT count(*) FROM step WHERE NOT done").fetchone()[0]:
+        con.execute(f"CREATE OR REPLACE TEMP TABLE following AS {ROUND}")
+        con.execute("DROP TABLE step")
+        con.execute("ALTER TABLE following RENAME TO step")
+    ids = con.execute("SELECT list(token ORDER BY pos) FROM step").fetchone()[0]
+    con.execute("DROP TABLE step")
+    return ids
 
 
 def encode(texts: DataFrame, key: str, text: str, name: str = "byte_bpe_50k", root: str = TOKENIZERS) -> DataFrame:

@@ -29,6 +29,15 @@ def test_words(con, word):
     assert E.encode_words(con, E.merge_table()[1], [word])[word] == [i for i in by_bytes(word)]
 
 
+def test_long_words(con):
+    import random
+
+    rng = random.Random(4)
+    words = ["".join(rng.choice("etaoinshr") for _ in range(n)) for n in (999, 1001, 3000)] + ["的" * 800, "a" * 5001]
+    got = E.encode_words(con, E.merge_table()[1], words)
+    assert all(got[w] == LIBRARY.encode(w, add_special_tokens=False).ids for w in words)
+
+
 def by_bytes(word):
     """The merges one by one: leftmost pair of the least rank until none is left."""
     merges, single = MERGES
