@@ -49,10 +49,11 @@ def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str
 def next_known(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, name: str) -> DataFrame:
     """df with the first value that is not null at this row or after it, among rows of the same keys; null after the last."""
     placed = _placed(df.withColumn("value__", value), keys, order)
-    onward = Window.partitionBy("part__", *keys).orderBy(*order).rowsBetween(0, Window.unboundedFollowing)
-    later = Window.partitionBy(*keys).orderBy("part__").rowsBetween(1, Window.unboundedFollowing)
+    # backwards, with frames that only grow: a frame that shrinks from the front is evaluated anew for every row
+    onward = Window.partitionBy("part__", *keys).orderBy(*[F.col(o).desc() for o in order]).rowsBetween(Window.unboundedPreceding, 0)
+    later = Window.partitionBy(*keys).orderBy(F.col("part__").desc()).rowsBetween(Window.unboundedPreceding, -1)
     position = F.struct(*order)
     firsts = placed.groupBy("part__", *keys).agg(F.min_by("value__", F.when(F.col("value__").isNotNull(), position)).alias("first__"))
-    after = firsts.select("part__", *keys, F.first("first__", True).over(later).alias("after__"))
-    filled = _by_part(placed.withColumn("within__", F.first("value__", True).over(onward)), after, keys)
+    after = firsts.select("part__", *keys, F.last("first__", True).over(later).alias("after__"))
+    filled = _by_part(placed.withColumn("within__", F.last("value__", True).over(onward)), after, keys)
     return filled.withColumn(name, F.coalesce("within__", "after__")).drop("part__", "value__", "within__", "after__")
