@@ -19,9 +19,14 @@ def token_f1(prediction: Column, gold: Column) -> Column:
 
 
 def best_f1(prediction: Column, references: Column) -> Column:
-    """The best token F1 of a text against an array of reference texts; null references are left out, none give 0."""
-    known = F.filter(references, lambda r: r.isNotNull())
-    return F.coalesce(F.array_max(F.transform(known, lambda r: token_f1(tokens(prediction), tokens(r)))), F.lit(0.0))
+    """The best token F1 of a token array against an array of them; none give 0. Both should be columns of a projection of
+    their own (tokens() and reference_tokens()), as every word of one meets the other."""
+    return F.coalesce(F.array_max(F.transform(references, lambda r: token_f1(prediction, r))), F.lit(0.0))
+
+
+def reference_tokens(references: Column) -> Column:
+    """The token arrays of an array of texts without its nulls."""
+    return F.transform(F.filter(references, lambda r: r.isNotNull()), tokens)
 
 
 def evidence_f1(retrieved: Column, gold: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from docmeter.functions import text as T
-from docmeter.functions.metrics import accuracy, best_f1, evidence_f1, rounded
+from docmeter.functions.metrics import accuracy, best_f1, evidence_f1, reference_tokens, rounded
 from docmeter.session import table
 
 ARCHITECTURES = ["flat", "naive_rag", "raptor", "graphrag"]
@@ -45,18 +45,24 @@ def call_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("n_calls")).where("n_calls > 1")
 
 
+def _best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """result_id, architecture, question_id and best token F1 of each answer against the gold answers of its question; the
+    tokens of a question's gold answers are worked out once."""
+    pool = gold(spark, sf_dir).select(F.col("qid").alias("question_id"), reference_tokens(F.col("gold_answers")).alias("g"))
+    rows = answers(spark, sf_dir, "architecture", "question_id", "predicted_answer").withColumn("p", T.tokens(F.col("predicted_answer")))
+    return rows.join(pool, "question_id").select("result_id", "architecture", "question_id", best_f1(F.col("p"), F.col("g")).alias("f1"))
+
+
 def answer_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best token F1 of each answer against the gold answers of its question."""
-    rows = answers(spark, sf_dir, "question_id", "predicted_answer").join(gold(spark, sf_dir).withColumnRenamed("qid", "question_id"), "question_id")
-    return rows.select("result_id", rounded(best_f1(F.col("predicted_answer"), F.col("gold_answers"))).alias("f1"))
+    return _best(spark, sf_dir).select("result_id", rounded("f1").alias("f1"))
 
 
 def gold_rescoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean and median best F1 per architecture over all questions with gold answers; one without an answer counts 0."""
-    pool = gold(spark, sf_dir).withColumnRenamed("qid", "question_id")
+    pool = gold(spark, sf_dir).select(F.col("qid").alias("question_id"))
     asked = pool.select("question_id", F.explode(F.array(*[F.lit(a) for a in ARCHITECTURES])).alias("architecture"))
-    rows = answers(spark, sf_dir, "architecture", "question_id", "predicted_answer").join(pool, "question_id")
-    best = rows.select("architecture", "question_id", best_f1(F.col("predicted_answer"), F.col("gold_answers")).alias("f1")).groupBy("architecture", "question_id").agg(F.max("f1").alias("f1"))
+    best = _best(spark, sf_dir).groupBy("architecture", "question_id").agg(F.max("f1").alias("f1"))
     filled = asked.join(best, ["architecture", "question_id"], "left")
     f1 = F.coalesce("f1", F.lit(0.0))
     return filled.groupBy("architecture").agg(F.count(F.lit(1)).alias("n_questions"), F.count_if(F.col("f1").isNull()).alias("n_missing"), rounded(F.avg(f1)).alias("mean_f1"), rounded(F.median(f1)).alias("median_f1"))

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docmeter.functions import text as T
-from docmeter.functions.metrics import accuracy, best_f1, evidence_f1, evidence_hit, token_f1
+from docmeter.functions.metrics import accuracy, best_f1, evidence_f1, evidence_hit, reference_tokens, token_f1
 
 
 def one(spark, column, schema, *values):
@@ -20,8 +20,8 @@ def test_token_f1(spark, p, g, expected):
 
 
 def test_best_f1(spark):
-    assert one(spark, best_f1(F.col("p"), F.col("g")), "p string, g array<string>", "the quick brown fox", ["quick brown", "the cat", None]) == pytest.approx(0.8)
-    assert one(spark, best_f1(F.col("p"), F.col("g")), "p string, g array<string>", "x", []) == 0
+    assert one(spark, best_f1(T.tokens(F.col("p")), reference_tokens(F.col("g"))), "p string, g array<string>", "the quick brown fox", ["quick brown", "the cat", None]) == pytest.approx(0.8)
+    assert one(spark, best_f1(T.tokens(F.col("p")), reference_tokens(F.col("g"))), "p string, g array<string>", "x", []) == 0
 
 
 @pytest.mark.parametrize("a, b, expected", [(["One.", "Two."], ["one", "three"], 0.5), (["x", "x"], ["x", "y"], 2 / 3), ([], [], 0.0), (None, ["x"], 0.0)])
