@@ -197,17 +197,24 @@ def usual_endings(seen: DataFrame) -> DataFrame:
     return joined.where(known & follows & (closed >= SEEN) & (closed >= SHARE * (closed + full)) & (mid <= GOES_ON * closed)).select("source", "key", (~F.col("key").rlike("(^| )N$") & (full + line >= SEEN)).alias("sure"))
 
 
+def distinct_texts(documents: DataFrame) -> DataFrame:
+    """source and text of each distinct text of a source: copies, under whatever ids, are one witness of how texts end."""
+    return documents.select(F.coalesce("source", F.lit("")).alias("source"), "text", F.sha2("text", 256).alias("hash")).dropDuplicates(["source", "hash"]).drop("hash")
+
+
 def cut_documents(documents: DataFrame) -> DataFrame:
     """doc_id and cut of each document with a text; documents has doc_id, source and text.
 
     Null, empty and blank texts are left out. A null source is one source. Repeated rows come out as often as they are
-    there, an empty table gives no rows, other columns are not read. Whole texts are read, very long ones too.
+    there, but a text counts once in what is usual in its source. An empty table gives no rows, other columns are not read.
+    Whole texts are read, very long ones too.
     """
     written = documents.select("doc_id", "source", "text").where(F.length(shown(F.col("text"))) > 0)
     common = common_words(written)
-    usual = usual_endings(stored(endings(written, common), "endings")).withColumn("usual", F.lit(True))
+    once = stored(distinct_texts(written), "texts")
+    usual = usual_endings(stored(endings(once, common), "endings")).withColumn("usual", F.lit(True))
     ends = stored(tails(written, common), "tails")
-    begun = beginnings(written).withColumn("begun", F.lit(True))
+    begun = beginnings(once).withColumn("begun", F.lit(True))
     judged = ends.join(usual, ["source", "key"], "left").join(begun, "word", "left")
     within, ending = F.coalesce("begun", F.lit(False)) & ~F.coalesce("sure", F.lit(False)), F.coalesce("usual", F.lit(False))
     return judged.select("doc_id", (F.col("structure") | (~F.col("ended") & (within | ~ending))).alias("cut"))

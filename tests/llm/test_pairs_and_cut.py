@@ -89,6 +89,13 @@ def test_cut_documents_copies_and_empty(spark):
     assert cut.cut_documents(df.limit(0)).count() == 0
 
 
+def test_copies_of_a_cut_document_do_not_make_its_ending_usual(spark):
+    extra = [("report", "Members travel between Lor1 and the")] * 40 + [("report", "The strongest tie concerns the silv")] * 30 + [("report", f"The silver of Lor{i} lies at the coast.") for i in range(20)]
+    extra += [("report", "They came by the old road and the"), ("report", "Members travel between Lor7 and the coast.")]
+    got = {r["doc_id"]: r["cut"] for r in cut.cut_documents(documents(spark, extra)).collect()}
+    assert [got[i] for i in range(len(extra))] == [True] * 70 + [False] * 20 + [True, False]
+
+
 def test_cut_answers(spark):
     rows = [(i, i, "flat", 20, f"{GOOD[i % 2]} This holds for all {i} settings.") for i in range(40)] + [(100, 100, "flat", 5, "Anna Torvel leaves Lorwick because Ka"), (101, None, "flat", None, "Karl Benno"), (102, 102, "flat", None, None), (100, 100, "flat", 5, "Anna Torvel leaves Lorwick because Ka")]
     rows = [(*r, Q) for r in rows] + [(103, None, "flat", None, "why does anna torvel leave lorwick", Q), (104, None, "flat", None, "Some answer to nothing that was asked", None)]
