@@ -220,6 +220,33 @@ def cut_documents(documents: DataFrame) -> DataFrame:
     return judged.select("doc_id", (F.col("structure") | (~F.col("ended") & (within | ~ending))).alias("cut"))
 
 
+def going_endings(seen: DataFrame) -> DataFrame:
+    """source and key of the three words, the last one known, after which texts nearly always go on: in the source or, if
+    it has them less than ENOUGH times, the last two of them in all sources."""
+    rows = seen.withColumns({"two": F.concat_ws(" ", F.slice(F.split("key", " "), 2, 2)), "ends": F.col("full") + F.col("line") + F.col("bare")})
+    pairs = rows.groupBy("two").agg(F.sum("mid").alias("mid_2"), F.sum("ends").alias("ends_2"))
+    few = F.col("mid") + F.col("ends") < ENOUGH
+    mid, ends = [F.when(few, F.col(f"{c}_2")).otherwise(F.col(c)) for c in ("mid", "ends")]
+    return rows.where("bare > 0").join(pairs, "two").where(~F.col("key").rlike("(^| )[N0U]$") & (mid >= ENOUGH) & (mid > GOES_ON * ends)).select("source", "key")
+
+
+def own_evidence(answers: DataFrame) -> DataFrame:
+    """source (null: empty), text and what each distinct answer says of its end by itself: structure (something is open),
+    going (texts go on after its last words), alone (its last word is never anything but the end of an open text) and begun
+    (it also is the beginning of longer words that are BEGINNING times as frequent)."""
+    once = stored(distinct_texts(answers.where(F.length(shown(F.col("text"))) > 0)), "texts")
+    common = common_words(once)
+    going = going_endings(stored(endings(once, common), "endings")).withColumn("going", F.lit(True))
+    ends = stored(tails(once.select(F.col("text").alias("doc_id"), "source", "text"), common).withColumnRenamed("doc_id", "text"), "tails")
+    last = ends.where(F.col("word").isNotNull()).groupBy("word").agg(F.count(F.lit(1)).alias("n_last"))
+    words = once.select(F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word")).where(F.length("word") >= 1)
+    alone = words.join(last, "word").groupBy("word", "n_last").agg(F.count(F.lit(1)).alias("n")).where("n <= n_last").select("word", F.lit(True).alias("alone"))
+    begun = beginnings(once).withColumn("begun", F.lit(True))
+    judged = ends.join(going, ["source", "key"], "left").join(alone, "word", "left").join(begun, "word", "left")
+    flag = {c: F.coalesce(c, F.lit(False)) for c in ("going", "alone", "begun")}
+    return judged.select("source", "text", "structure", (flag["going"] & ~F.col("ended")).alias("going"), flag["alone"].alias("alone"), (flag["alone"] & flag["begun"]).alias("begun"))
+
+
 def cut_answers(results: DataFrame, ledger: DataFrame) -> DataFrame:
     """result_id, model and cut of each answer with a text; a result's copies come out once.
 

@@ -113,8 +113,11 @@ def open_ends(answers: DataFrame) -> DataFrame:
 
     open: no sentence ends the text; n_words: its words; shortened: its last sentence is a strict prefix of its neighbour
     in the sorted order of all sentences; spike: texts with an open end pile up at its length; baseline: the rate of open
-    ends of its source. A null or blank text has no open end.
+    ends among the distinct texts of its source; structure, going, alone and begun: see own_evidence(). A null or blank
+    text has no open end.
     """
+    from docmeter.llm.cut import own_evidence  # which imports this module
+
     marked = (
         answers.withColumn("n_words", words(F.coalesce("text", F.lit(""))))
         .withColumn("open", (F.col("n_words") > 0) & ~F.coalesce(F.col("text").rlike(TERMINATED), F.lit(False)) & ~F.trim("text").rlike(LETTER_OPTION))
@@ -129,12 +132,16 @@ def open_ends(answers: DataFrame) -> DataFrame:
     lengths = marked.groupBy("source", "length").agg(F.count_if(long).alias("n_open"))
     around = Window.partitionBy("source").orderBy("length").rangeBetween(-3, 3)
     spikes = lengths.withColumn("others", (F.sum("n_open").over(around) - F.col("n_open")) / 6).where((F.col("n_open") >= 5) & (F.col("n_open") >= SPIKE_RATIO * F.col("others")) & F.col("length").isNotNull())
-    rates = marked.where(F.col("n_words") >= LEAST_WORDS).groupBy("source").agg(F.avg(F.col("open").cast("int")).alias("baseline"))
+    once = marked.where(F.col("n_words") >= LEAST_WORDS).select("source", "open", F.sha2("text", 256).alias("hash")).distinct()
+    rates = once.groupBy("source").agg(F.avg(F.col("open").cast("int")).alias("baseline"))
+    own = own_evidence(answers.select("source", "text")).withColumnRenamed("source", "source__")
     return (
         marked.join(shortened, "tail", "left")
         .join(spikes.select("source", "length", F.lit(True).alias("spike")), ["source", "length"], "left")
         .withColumn("source__", F.coalesce("source", F.lit("")))
         .join(rates.select(F.coalesce("source", F.lit("")).alias("source__"), "baseline"), "source__", "left")
+        .join(own, ["source__", "text"], "left")
+        .withColumns({c: F.coalesce(c, F.lit(False)) for c in ("structure", "going", "alone", "begun")})
         .withColumns({"shortened": F.col("within_word").isNotNull(), "within_word": F.coalesce("within_word", F.lit(False)), "spike": F.coalesce("spike", F.lit(False))})
         .drop("source__")
     )
@@ -142,11 +149,11 @@ def open_ends(answers: DataFrame) -> DataFrame:
 
 def is_cut(ends: DataFrame) -> Column:
     """From the evidence of open_ends(): a longer text with an open end is cut if its source usually ends its sentences,
-    if it is a shortened version of a neighbour or lies at a spike; a short one only if a neighbour goes on within its
-    last word, and if it is no number."""
+    if it is a shortened version of a neighbour, lies at a spike or shows by itself that it goes on; a short one only if a
+    neighbour goes on within its last word, and if it is no number; a single word also must be none that is used whole."""
     odd = F.trim("text").rlike(r"(?U)�[…\s]*$")
-    long = (F.col("n_words") >= LEAST_WORDS) & (F.col("shortened") | F.col("spike") | (F.coalesce("baseline", F.lit(0.0)) < OPEN_RATE))
-    short = (F.col("n_words") == 2) & F.col("within_word")
+    long = (F.col("n_words") >= LEAST_WORDS) & (F.col("shortened") | F.col("spike") | F.col("structure") | F.col("going") | F.col("begun") | (F.coalesce("baseline", F.lit(0.0)) < OPEN_RATE))
+    short = ((F.col("n_words") == 2) | ((F.col("n_words") == 1) & F.col("alone"))) & F.col("within_word")
     return F.col("open") & (odd | long | short)
 
 

@@ -39,6 +39,26 @@ def test_truncated(spark):
     assert set(classify(spark, *bad)) == {"truncated"}
 
 
+def truncated(spark, *rows):
+    """Ids of the truncated ones of rows (source, answer)."""
+    df = spark.createDataFrame([(i, Q, a, source, None, "") for i, (source, a) in enumerate(rows)], PAIRS)
+    return [r["result_id"] for r in pairs.defects(df).where("defect = 'truncated'").orderBy("result_id").collect()]
+
+
+def test_truncated_where_many_answers_end_open(spark):
+    cut_ones = ["Anna Torvel leaves Lorwick because of the", "All of them know that (by the letter", "The house was old and nobody saw Anna Tor", "Lorw"]
+    names = ["Karl", "Anna", "Otto", "Emma", "Hugo"]
+    whole = [f"{a} and {b} in the garden" for a in names for b in names if a != b]
+    full = [f"Anna Torvel leaves Lorwick because of the letter that Karl Benno wrote in {1800 + i}." for i in range(30)]
+    assert truncated(spark, *[("terse", a) for a in cut_ones + whole + full + ["Karl", "Lorwick"]]) == [0, 1, 2, 3]
+
+
+def test_copies_of_a_truncated_answer_do_not_set_the_baseline(spark):
+    full = [f"{GOOD[i % 2]} This holds for all {i} settings that the paper describes." for i in range(40)]
+    rows = ["Nobody else in the town saw a carriage"] + ["It was sold by the elder brother of Benno"] * 40 + full
+    assert truncated(spark, *[("flat", a) for a in rows]) == list(range(41))
+
+
 def test_other_language(spark):
     other = ["Anna Torvel quitte Lorwick parce que Karl Benno a vendu la maison.", "Anna Torvel verlässt Lorwick, weil Karl Benno das Haus verkauft hat.", "安娜离开了那里,因为房子已经卖了。", "Анна покидает город, потому что дом продан."]
     assert set(classify(spark, *other)) == {"other_language"}
