@@ -250,8 +250,8 @@ def own_evidence(answers: DataFrame) -> DataFrame:
 def cut_answers(results: DataFrame, ledger: DataFrame) -> DataFrame:
     """result_id, model and cut of each answer with a text; a result's copies come out once.
 
-    Besides the ends and spikes of open_ends(), an answer with an open end whose call billed as many tokens as its limit
-    allows is cut. One that gives back its question to the end is complete, whatever mark is missing. Null calls, counts and limits give no such evidence; null, empty and blank answers are left out.
+    Besides the ends and spikes of open_ends(), an answer that the automaton leaves open or that ends in a broken character
+    is cut, whatever mark ends it, and one with an open end whose call billed as many tokens as its limit allows. One that gives back its question to the end is complete, whatever mark is missing. Null calls, counts and limits give no such evidence; null, empty and blank answers are left out.
     """
     q, a = [F.regexp_replace(plain_words(F.col(c)), OPENING, "") for c in ("question", "predicted_answer")]
     one = results.select("result_id", "call_id", F.col("architecture").alias("source"), F.col("response_token_count").alias("length"), shown(F.col("predicted_answer")).alias("text"), q.alias("q"), a.alias("a")).where(F.col("text").rlike(r"[\p{L}\p{N}]"))
@@ -261,7 +261,7 @@ def cut_answers(results: DataFrame, ledger: DataFrame) -> DataFrame:
     ends = open_ends(stored(one, "answers"))
     limit = F.coalesce("at_limit", F.lit(False)) & F.col("open") & (F.col("n_words") >= 3)
     joined = ends.withColumn("cut", is_cut(ends)).join(calls, "call_id", "left")
-    return joined.select("result_id", "model", ((F.col("cut") | limit) & ~F.coalesce("asked", F.lit(False))).alias("cut")).dropDuplicates(["result_id"])
+    return joined.select("result_id", "model", ((F.col("cut") | F.col("structure") | limit) & ~F.coalesce("asked", F.lit(False))).alias("cut")).dropDuplicates(["result_id"])
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:

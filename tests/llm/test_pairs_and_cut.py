@@ -124,3 +124,11 @@ def test_cut_answers(spark):
     got = [tuple(r) for r in cut.cut_answers(results, ledger).where("cut").collect()]
     assert sorted(got) == [(100, "m", True), (104, None, True)]
     assert cut.cut_answers(results, ledger).where(F.col("result_id") == 101).first()["model"] is None
+
+
+def test_cut_answers_with_an_open_structure(spark):
+    answers = ['He wrote "the house is sold. Nobody came.', "The list (see page 4. It ends there.", '{"answer": "the house", "page": [1', "```\nx = 1.", 'He wrote "the house is sold." Nobody came.', "The list (see page 4) ends there."]
+    rows = [(i, None, "flat", None, a, Q) for i, a in enumerate(answers)] + [(100 + i, None, "flat", None, f"{GOOD[i % 2]} This holds for all {i} settings.", Q) for i in range(40)]
+    results = spark.createDataFrame(rows, "result_id bigint, call_id bigint, architecture string, response_token_count int, predicted_answer string, question string")
+    ledger = spark.createDataFrame([], "call_id bigint, model string, output_tokens bigint, max_tokens int")
+    assert sorted(r["result_id"] for r in cut.cut_answers(results, ledger).where("cut").collect()) == [0, 1, 2, 3]
