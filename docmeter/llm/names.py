@@ -1,24 +1,31 @@
 """Problem 5: spellings of the same person or organisation.
 
-Names are reduced to tokens. Distinctive tokens (those that few graphs use) get MinHash signatures over padded q-grams;
-banding, with the number of bands taken from the collision curve, finds similar tokens of a graph, and through them the
-candidate pairs of names. Monge-Elkan similarity over all tokens verifies the pairs, star clustering groups the names.
+Names are reduced to tokens, which get MinHash signatures over padded 2-grams; banding, with the number of bands taken from
+the collision curve, finds what is similar within a graph. Distinctive tokens (those that few graphs use) are banded one by
+one: names that share one, or have similar ones, are candidates if another token of theirs begins or ends alike. Names
+without a distinctive token (frequent given name and surname, short words) are banded whole, over the 2-grams of all their
+tokens, against all names of the graph. Monge-Elkan similarity over all tokens verifies the candidates, star clustering
+groups the names.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from docmeter.session import cut, stored, table
 
-Q = 2
 ROWS = 3
-#: Tokens of this Jaccard similarity over padded q-grams (two letters swapped in a word of six) are found with RECALL.
+#: Tokens of this Jaccard similarity over padded 2-grams (two letters swapped in a word of six) are found with RECALL.
 SIMILARITY, RECALL = 0.4, 0.95
-#: A token is common if more graphs use it than both of these say.
+#: The same for whole names (a given name of six letters with an initial for a surname of eight).
+WHOLE_SIMILARITY = 0.45
+#: A token is distinctive if it has four letters or more, unless more graphs use it than both of these say.
 COMMON_GRAPHS, COMMON_SHARE = 3, 0.01
+SEED = 20_260_617
 #: Least mean similarity of the tokens of the shorter and of the longer name, for organisations and for other names.
 SHORTER, LONGER_ORGANISATION, LONGER_OTHER = 0.82, 0.8, 0.6
 #: The same for a spelling that stands alone and is used less than RARE times the mean of its kind.
@@ -91,11 +98,38 @@ def spellings(entities: DataFrame, relationships: DataFrame) -> DataFrame:
     return names.where(F.col("graph_id").isNotNull() & F.col("name").rlike(r"(?U)[^\s\p{Z}]")).groupBy("graph_id", "name").agg(F.count(F.lit(1)).alias("uses"))
 
 
-def _signature(token: Column, n: int) -> Column:
-    """MinHash values of the padded q-grams of a token."""
-    padded = F.concat(F.lit("#" * (Q - 1)), token, F.lit("#" * (Q - 1)))
-    grams = F.transform(F.sequence(F.lit(1), F.length(padded) - (Q - 1)), lambda i: F.substring(padded, i, F.lit(Q)))
-    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.array_min(F.transform(grams, lambda g: F.xxhash64(g, i))))
+def signatures(texts: list[str], n: int) -> np.ndarray:
+    """n MinHash values (columns) of the padded 2-grams of each text (rows); the words of a text are padded one by one.
+
+    A 2-gram is hashed once, and each of the n functions multiplies that hash by an odd number and adds another."""
+    codes = np.frombuffer("".join(f"#{t.replace(' ', '#')}#" for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    ends = np.cumsum([len(t) + 2 for t in texts])
+    grams = codes[:-1] << np.uint64(21) | codes[1:]
+    grams[ends[:-1] - 1] = grams[ends[:-1] - 2]  # the mark between two texts is no gram: one of its text stands in
+    grams = (grams + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    grams = (grams ^ grams >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+    grams ^= grams >> np.uint64(32)
+    begins = np.concatenate([[0], ends[:-1]])
+    rng = np.random.default_rng(SEED)
+    factors, offsets = rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 63, n, dtype=np.uint64)
+    return np.stack([np.minimum.reduceat(grams * f + o, begins) for f, o in zip(factors, offsets)], axis=1)
+
+
+def band_keys(n: int):
+    """A column function: the n band keys of a text, each a hash of ROWS MinHash values."""
+
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def keys(texts: pd.Series) -> pd.Series:
+        if not len(texts):
+            return pd.Series([], dtype=object)
+        parts = signatures(texts.tolist(), n * ROWS).reshape(len(texts), n, ROWS)
+        key = np.arange(n, dtype=np.uint64)[None, :] * np.uint64(0xD6E8FEB86659FD93)
+        for i in range(ROWS):
+            key = (key ^ parts[:, :, i]) * np.uint64(0xE7037ED1A0B428DB)
+            key ^= key >> np.uint64(31)
+        return pd.Series(list(key.astype(np.int64)))
+
+    return keys
 
 
 def _alike(a: Column, b: Column) -> Column:
@@ -112,18 +146,31 @@ def _nearly(a: Column, b: Column) -> Column:
     return (slips <= 3) & (slips * 3 <= F.greatest(F.length(a), F.length(b))) & (F.least(F.length(a), F.length(b)) >= 5)
 
 
+def _spread(rows: DataFrame) -> DataFrame:
+    """rows in a given number of partitions: signatures are work, however few bytes the names are."""
+    spark = rows.sparkSession
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism))
+
+
 def similar_tokens(tokens: DataFrame) -> DataFrame:
     """graph_id, a and b (a < b): pairs of nearly equal tokens of a graph, found by MinHash banding."""
-    n = bands()
-    keys = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.xxhash64(F.slice("signature", i * ROWS + 1, ROWS), i))
-    # signatures are work, however few bytes the tokens are: a number of partitions that is given stays as it is
-    spark = tokens.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
-    banded = stored(tokens.select("graph_id", "token").repartition(parts).withColumn("signature", _signature(F.col("token"), n * ROWS)).select("graph_id", "token", F.explode(keys).alias("key")), "bands")
+    keys = band_keys(bands())
+    banded = stored(_spread(tokens.select("graph_id", "token")).withColumn("key", F.explode(keys("token"))), "bands")
     pairs = banded.withColumnRenamed("token", "a").join(banded.withColumnRenamed("token", "b"), ["graph_id", "key"]).where(F.col("a") < F.col("b"))
     return pairs.where(_alike(F.col("a"), F.col("b")) | _nearly(F.col("a"), F.col("b"))).select("graph_id", "a", "b").distinct()
 
 
+def similar_names(nodes: DataFrame, bare: DataFrame) -> DataFrame:
+    """graph_id, ca and cb (ca < cb): nodes of bare (graph_id, canon) and the nodes of their graph whose whole names are
+    similar, found by MinHash banding; names with different numbers are not."""
+    keys = band_keys(bands(WHOLE_SIMILARITY))
+    named = nodes.where(F.size("tokens") > 0).join(bare.select("graph_id").distinct(), "graph_id", "left_semi").select("graph_id", "canon", F.array_join(F.filter("tokens", lambda t: t.rlike(r"\d")), " ").alias("numbers"))
+    banded = stored(_spread(named).withColumn("key", F.explode(keys("canon"))), "whole")
+    left = banded.join(bare.select("graph_id", "canon"), ["graph_id", "canon"], "left_semi").withColumnRenamed("canon", "a")
+    pairs = left.join(banded.withColumnRenamed("canon", "b"), ["graph_id", "key", "numbers"]).where("a <> b")
+    return pairs.select("graph_id", F.least("a", "b").alias("ca"), F.greatest("a", "b").alias("cb")).distinct()
+
+
 def _token_similarity(a: Column, b: Column) -> Column:
     initial = (F.length(a) == 1) | (F.length(b) == 1)
     return (
@@ -155,53 +202,81 @@ def nodes_of(names: DataFrame) -> DataFrame:
     })
 
 
-def links(nodes: DataFrame) -> DataFrame:
-    """graph_id, a, b, similarity and strict (both directions) of the pairs of nodes that Monge-Elkan similarity verifies;
-    pairs that are not strict only count for rare spellings."""
+def _distinctive(nodes: DataFrame) -> DataFrame:
+    """graph_id, canon and token: the distinctive tokens of each node."""
     tokens = nodes.select("graph_id", "canon", F.explode(F.array_distinct("tokens")).alias("token")).where(F.length("token") >= 4)
-    graphs = nodes.agg(F.count_distinct("graph_id").alias("n_graphs"))
-    used = tokens.select("graph_id", "token").distinct()
-    counted = used.groupBy("token").agg(F.count(F.lit(1)).alias("n")).withColumn("one", F.lit(1)).join(graphs.withColumn("one", F.lit(1)), "one")
-    common = counted.where((F.col("n") > COMMON_GRAPHS) & (F.col("n") > COMMON_SHARE * F.col("n_graphs"))).select("token")
-    rare = stored(tokens.join(common, "token", "left_anti"), "tokens")
+    counted = tokens.groupBy("token").agg(F.count_distinct("graph_id").alias("n"))
+    n_graphs = nodes.agg(F.count_distinct("graph_id")).scalar()
+    common = counted.where((F.col("n") > COMMON_GRAPHS) & (F.col("n") > COMMON_SHARE * n_graphs)).select("token")
+    return tokens.join(common, "token", "left_anti")
+
+
+def _ends(others: Column) -> Column:
+    """How the other tokens of a name begin and end. Of two tokens that differ by a slip, or of which one is the initial or
+    the beginning of the other, the first or the last letters are the same."""
+    return F.array_distinct(F.concat(F.transform(others, lambda t: F.concat(F.lit("^"), F.substring(t, 1, 1))), F.transform(F.filter(others, lambda t: F.length(t) >= 3), lambda t: F.concat(F.lit("$"), F.substring(t, -1, 1)))))
+
+
+def candidates(nodes: DataFrame) -> DataFrame:
+    """graph_id, ca and cb (ca < cb): the pairs of nodes to verify.
+
+    Names meet on a distinctive token and an end of another one, so that a surname that a large share of a graph bears is
+    split by the names beside it; a name without another token meets all that have its own."""
+    rare = stored(_distinctive(nodes), "tokens")
     own = rare.select("graph_id", "token").distinct()
     near = similar_tokens(own)
     both = own.select("graph_id", F.col("token").alias("a"), F.col("token").alias("b")).unionByName(near).unionByName(near.select("graph_id", F.col("b").alias("a"), F.col("a").alias("b")))
-
-    sides = rare.join(nodes.select("graph_id", "canon", "tokens", "organisation", "rank"), ["graph_id", "canon"])
-    initials = F.transform(F.filter("tokens", lambda t: t != F.col("token")), lambda t: F.substring(t, 1, 1))
-    sides = stored(sides.withColumn("initials", F.array_distinct(initials)), "sides")
-    columns = ["canon", "tokens", "organisation", "initials", "rank"]
-    left = sides.select("graph_id", F.col("token").alias("a"), *[F.col(c).alias(f"{c}_a") for c in columns])
-    right = sides.select("graph_id", F.col("token").alias("b"), *[F.col(c).alias(f"{c}_b") for c in columns])
-    fits = (F.col("organisation_a") == F.col("organisation_b")) & (F.arrays_overlap("initials_a", "initials_b") | (F.size("initials_a") == 0) | (F.size("initials_b") == 0))
-    pairs = left.join(both, ["graph_id", "a"]).join(right, ["graph_id", "b"]).where((F.col("canon_a") < F.col("canon_b")) & fits)
-    pairs = pairs.select("graph_id", "organisation_a", F.col("canon_a").alias("ca"), F.col("canon_b").alias("cb"), F.col("tokens_a").alias("ta"), F.col("tokens_b").alias("tb")).dropDuplicates(["graph_id", "ca", "cb"])
+    both = stored(both, "similar")
+    others = F.filter("tokens", lambda t: t != F.col("token"))
+    sides = stored(rare.join(nodes.select("graph_id", "canon", "tokens", "organisation"), ["graph_id", "canon"]).withColumn("others", others).select("graph_id", "canon", "token", "organisation", "others"), "sides")
+    several = sides.where(F.size("others") > 0).select("graph_id", "token", "organisation", "canon", F.explode(_ends(F.col("others"))).alias("end"))
+    alone = sides.where(F.size("others") == 0).select("graph_id", F.col("token").alias("a"), "organisation", F.col("canon").alias("x"))
+    every = sides.select("graph_id", F.col("token").alias("b"), "organisation", F.col("canon").alias("y"))
+    left, right = several.withColumnRenamed("token", "a").withColumnRenamed("canon", "x"), several.withColumnRenamed("token", "b").withColumnRenamed("canon", "y")
+    met = left.join(both, ["graph_id", "a"]).join(right, ["graph_id", "b", "organisation", "end"]).where("x < y").select("graph_id", "x", "y")
+    single = alone.join(both, ["graph_id", "a"]).join(every, ["graph_id", "b", "organisation"]).where("x <> y").select("graph_id", "x", "y")
+    pairs = met.unionByName(single).select("graph_id", F.least("x", "y").alias("ca"), F.greatest("x", "y").alias("cb"))
+    bare = nodes.join(rare.select("graph_id", "canon").distinct(), ["graph_id", "canon"], "left_anti")
+    return pairs.unionByName(similar_names(nodes, bare)).distinct()
+
+
+def verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """graph_id, a, b, similarity and strict of the pairs (graph_id, ca, cb) that Monge-Elkan similarity of their tokens
+    verifies; they must have more than initials in common, and an organisation is never a person. Pairs that are not strict
+    only count for rare spellings."""
+    columns = nodes.select("graph_id", "canon", "tokens", "organisation")
+    a, b = [columns.select("graph_id", F.col("canon").alias(f"c{x}"), F.col("tokens").alias(f"t{x}"), F.col("organisation").alias(f"o{x}")) for x in "ab"]
+    word = lambda x, y: (F.length(x) >= 2) & (F.length(y) >= 2) & (_token_similarity(x, y) >= 0.6)
+    shared = F.exists("ta", lambda x: F.exists("tb", lambda y: word(x, y)))
+    known = pairs.join(a, ["graph_id", "ca"]).join(b, ["graph_id", "cb"]).where("oa = ob").where(shared)
     swap = F.size("ta") > F.size("tb")
     short, long = F.when(swap, F.col("tb")).otherwise(F.col("ta")), F.when(swap, F.col("ta")).otherwise(F.col("tb"))
-    scored = pairs.withColumns({"short": short, "long": long}).withColumns({"s": monge_elkan(F.col("short"), F.col("long")), "l": monge_elkan(F.col("long"), F.col("short"))})
-    least = F.when(F.col("organisation_a"), LONGER_ORGANISATION).otherwise(F.when(F.size("short") == 1, 0.0).otherwise(LONGER_OTHER))
+    scored = known.withColumns({"short": short, "long": long}).withColumn("s", monge_elkan(F.col("short"), F.col("long"))).where(F.col("s") >= LOOSE).withColumn("l", monge_elkan(F.col("long"), F.col("short")))
+    least = F.when(F.col("oa"), LONGER_ORGANISATION).otherwise(F.when(F.size("short") == 1, 0.0).otherwise(LONGER_OTHER))
     strict = (F.col("s") >= SHORTER) & (F.col("l") >= least)
-    verified = scored.where((F.col("s") >= LOOSE) & (F.col("l") >= F.least(least, F.lit(LOOSE)))).select("graph_id", F.col("ca").alias("a"), F.col("cb").alias("b"), ((F.col("s") * 2 + F.col("l")) / 3).alias("similarity"), strict.alias("strict"))
-    verified = stored(verified, "links")
-    return verified.unionByName(verified.select("graph_id", F.col("b").alias("a"), F.col("a").alias("b"), "similarity", "strict"))
+    return scored.where(F.col("l") >= F.least(least, F.lit(LOOSE))).select("graph_id", F.col("ca").alias("a"), F.col("cb").alias("b"), ((F.col("s") * 2 + F.col("l")) / 3).alias("similarity"), strict.alias("strict"))
+
+
+def links(nodes: DataFrame) -> DataFrame:
+    """The verified pairs of nodes, in both directions."""
+    found = stored(verified(candidates(nodes), nodes), "links")
+    return found.unionByName(found.select("graph_id", F.col("b").alias("a"), F.col("a").alias("b"), "similarity", "strict"))
 
 
-def stars(nodes: DataFrame, edges: DataFrame, rounds: int = 30) -> DataFrame:
+def stars(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """graph_id, canon and center of each node: star clustering.
 
     A node is a center if none of its free neighbours has more neighbours (ties: more uses, then the smaller name); its
-    free neighbours join the most similar center. This repeats until no free node has a free neighbour; each round takes
-    away at least one star of every connected part, and parts are the spellings of a few names, so few rounds are needed.
+    free neighbours join the most similar center. This repeats until no free node has a free neighbour. It ends: in every
+    round the greatest free node of each connected part is a center. Parts are the spellings of a few names, so few rounds
+    are needed.
     """
     degree = edges.groupBy("graph_id", "a").agg(F.count(F.lit(1)).alias("degree")).withColumnRenamed("a", "canon")
     order = F.struct(F.coalesce("degree", F.lit(0)).alias("degree"), F.col("uses"), F.xxhash64("canon").alias("h"), F.col("canon"))
     ranked = nodes.join(degree, ["graph_id", "canon"], "left").select("graph_id", "canon", order.alias("o"))
     free = cut(edges.join(ranked.withColumnRenamed("canon", "a").withColumnRenamed("o", "oa"), ["graph_id", "a"]).join(ranked.withColumnRenamed("canon", "b").withColumnRenamed("o", "ob"), ["graph_id", "b"]))
     members = None
-    for _ in range(rounds):
-        if free.isEmpty():
-            break
+    while not free.isEmpty():
         centers = free.groupBy("graph_id", "a", "oa").agg(F.max("ob").alias("top")).where(F.col("oa") > F.col("top")).select("graph_id", F.col("a").alias("center"))
         best = F.max(F.struct("similarity", F.col("ob").alias("o"), F.col("b").alias("center"))).alias("best")
         joined = free.join(centers.withColumnRenamed("center", "b"), ["graph_id", "b"], "left_semi").groupBy("graph_id", "a").agg(best).select("graph_id", F.col("a").alias("canon"), F.col("best.center").alias("center"))
@@ -218,9 +293,9 @@ def with_rare(grouped: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFra
     resembles them less than strictly: the most similar one, if it has more spellings or more uses."""
     sized = grouped.join(nodes.select("graph_id", "canon", "uses", "spellings"), ["graph_id", "canon"])
     sizes = sized.groupBy("graph_id", "center").agg(F.sum("uses").alias("uses"), F.sum("spellings").alias("spellings"))
-    mean = sizes.agg(F.avg("uses").alias("mean"))
+    mean = sizes.agg(F.avg("uses")).scalar()
     order = F.struct("spellings", "uses", "center")
-    sizes = sizes.withColumn("one", F.lit(1)).join(mean.withColumn("one", F.lit(1)), "one").select("graph_id", "center", order.alias("o"), ((F.col("spellings") == 1) & (F.col("uses") < RARE * F.col("mean"))).alias("rare"))
+    sizes = sizes.select("graph_id", "center", order.alias("o"), ((F.col("spellings") == 1) & (F.col("uses") < RARE * mean)).alias("rare"))
     placed = edges.where(~F.col("strict"))
     for side in ("a", "b"):
         star = grouped.join(sizes, ["graph_id", "center"]).select("graph_id", F.col("canon").alias(side), F.col("center").alias(f"center_{side}"), F.col("o").alias(f"o_{side}"), F.col("rare").alias(f"rare_{side}"))

@@ -63,6 +63,51 @@ def test_banding_recall_against_brute_force(spark):
     assert found <= every and len(found) >= 0.9 * len(every) and math.isfinite(len(found))
 
 
+def nodes_of(spark, rows):
+    forms = spark.createDataFrame(rows, "graph_id bigint, name string").withColumn("uses", F.lit(1)).withColumn("tokens", F.array_sort(N.tokens_of(F.col("name"))))
+    return N.nodes_of(forms.withColumn("canon", F.concat_ws(" ", "tokens"))).persist()
+
+
+def recall(nodes):
+    """Strict links found and those that brute force finds."""
+    a, b = [nodes.select("graph_id", F.col("canon").alias(c)) for c in ("ca", "cb")]
+    every = {tuple(r)[:3] for r in N.verified(a.join(b, "graph_id").where("ca < cb"), nodes).where("strict").collect()}
+    found = {tuple(r)[:3] for r in N.links(nodes).where("strict AND a < b").collect()}
+    assert found <= every
+    return len(found), len(every)
+
+
+def test_recall_of_names_against_brute_force(spark):
+    """Names of common and short words, in one graph of many names and many of few."""
+    import random
+
+    rng = random.Random(11)
+    given = ["Robert", "Anna", "Margaret", "William", "Li", "Ann", "Rosa", "Hugo"]
+    last = ["Torv", "Lee", "Wu", "Smith", "Benn", "Harker", "Norden", "Castellan"]
+    organised = ["National Library of {}", "{} Institute of Soil Chemistry", "{} Historical Society"]
+
+    def slip(name):
+        i = rng.randrange(1, len(name) - 1)
+        return rng.choice([name[:i] + name[i + 1] + name[i] + name[i + 2 :], name[:i] + name[i + 1 :], name[:i] + name[i] + name[i:], " ".join(reversed(name.split())), f"{name[0]}. {name.split()[-1]}"])
+
+    plain = [f"{g} {x}" for g in given for x in last] + [o.format(x) for o in organised for x in last]
+    rows = [(graph, n) for graph in range(1, 12) for n in rng.sample(plain, 20)] + [(99, n) for n in plain] + [(99, f"{g} {x}ington{i}") for g in given for i, x in enumerate(last)]
+    nodes = nodes_of(spark, sorted(set(rows) | {(g, slip(n)) for g, n in rows}))
+    found, every = recall(nodes)
+    assert every > 200 and found >= 0.95 * every
+
+
+def test_a_surname_that_a_graph_is_full_of(spark):
+    """One surname holds a third of a graph: the slips of each name are found, other given names are no candidates."""
+    given = ["Robert", "Anna", "Margaret", "William", "Rosa", "Hugo", "Petra", "Kenji", "Ursula", "Viggo", "Olga", "Edith"]
+    rows = [(1, f"{g} Yaronham") for g in given] + [(1, f"{g[0]}{g[2]}{g[1]}{g[3:]} Yaronham") for g in given] + [(1, "Yaronham")] + [(1, f"{g} {x}") for g in given for x in ("Pelonach", "Ilanlund")]
+    nodes = nodes_of(spark, rows)
+    found, every = recall(nodes)
+    assert found == every
+    many = nodes.where(F.array_contains("tokens", "yaronham")).count()
+    assert N.candidates(nodes).where("ca LIKE '%yaronham%' AND cb LIKE '%yaronham%'").count() < many * (many - 1) / 3
+
+
 def test_stars_take_the_best_center(spark):
     nodes = spark.createDataFrame([(1, x, 1) for x in "abcde"], "graph_id bigint, canon string, uses bigint")
     pairs = [("a", "b", 0.9), ("a", "c", 0.9), ("c", "d", 0.8)]
