@@ -1,7 +1,7 @@
 """Problem 2: texts that lost their end.
 
-A stack automaton reads each text: brackets, quotations, fences, log lines of JSON, escapes and characters cut to pieces
-leave something open where the text breaks off. Texts without a sentence end are then held against the endings that are
+A stack automaton reads each text: brackets, quotations, elements of markup, fences, log lines of JSON, escapes and
+characters cut to pieces leave something open where the text breaks off. Texts without a sentence end are then held against the endings that are
 usual in their source: counts over the whole corpus say how often the last words of a text end a text or a line there, and
 how often they go on; a last word that mostly occurs as the beginning of others was cut within.
 """
@@ -13,10 +13,11 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from docmeter.llm.pairs import OPENING, is_copy, is_cut, open_ends, plain_words
+from docmeter.llm.pairs import OPENING, is_copy, is_cut, marked, open_ends, plain_words
 from docmeter.llm.rules import shown
+from docmeter.llm.segments import looked_up
 from docmeter.session import stored, table
 
 #: A word is common if at least this share of the documents has it (so at most words per document / COMMON words are).
@@ -31,7 +32,10 @@ ENOUGH = 5
 #: A word is a beginning if longer words that begin with it are so many times as frequent.
 BEGINNING = 5
 
-_MARKS = re.compile(r'''[:;=]-?[()DPp]|\\.?|["“”„«»()\[\]{}「」『』]|```|\n\s*\n''', re.S)
+# Elements of markup that must be closed (others, such as p and li, need not be).
+ELEMENTS = "a article b blockquote body code div em h1 h2 h3 h4 h5 h6 html i main ol pre script section span strong style sub sup table tbody thead title u ul".split()
+
+_MARKS = re.compile(r'''[:;=]-?[()DPp]|\\.?|</?[A-Za-z][A-Za-z0-9]{0,11}(?:\s[^<>]*)?>|["“”„«»()\[\]{}「」『』]|```|\n\s*\n''', re.S)
 _CLOSES = {")": "(", "]": "[", "}": "{", "»": "«", "」": "「", "』": "『"}
 _BROKEN = re.compile(r"""(?:�[\s…]*|[\ud800-\udfff]|\\(?:u[0-9a-fA-F]{0,3}|x[0-9a-fA-F]?)?|&(?:#?\w{0,7})|%[0-9A-Fa-f]?(?<=[\w/]%)|%[0-9A-Fa-f](?<=[\w/]%.)|</?[A-Za-z][^<>\s]{0,30}|<)$""")
 _PIECES = re.compile(r"""(?<=[.!?。！？])(["”»'’)\]]*)\s+(?!\d)|(?<=[:;=][()])\s+|(?<=[。！？])|\n+""")
@@ -42,12 +46,13 @@ _LAST_MARKS = re.compile(r"""[\s.!?。！？"”»'’)\]*_`]+$""")
 
 def open_marks(text: str) -> bool:
     """Whether the automaton still has an open mark after the text. Straight quotation marks, which look alike on both
-    sides, and curved ones must close within their paragraph, brackets too, as smileys and list marks may stand alone; a log
-    line must close its braces and strings."""
+    sides, and curved ones must close within their paragraph, brackets too, as smileys and list marks may stand alone; an
+    element of markup must close before the end; a log line must close its braces and strings."""
     last_line = text.rstrip("\n").rpartition("\n")[2]
     if last_line.lstrip().startswith(("{", "[{")):
         return _open_json(last_line)
     stack: list[str] = []
+    elements: list[str] = []
     fence = False
     for mark in _MARKS.findall(text):
         if mark == "```":
@@ -56,6 +61,12 @@ def open_marks(text: str) -> bool:
             continue
         elif mark[0] == "\n":
             stack.clear()
+        elif mark[0] == "<":
+            name = mark.strip("</>").split()[0].lower()
+            if mark[1] == "/":  # closes all that was opened within it
+                del elements[len(elements) - elements[::-1].index(name) - 1 if name in elements else len(elements) :]
+            elif name in ELEMENTS and not mark.endswith("/>"):
+                elements.append(name)
         elif mark in ("“", "„", "«", "(", "[", "{", "「", "『"):
             stack.append(mark)
         elif mark == '"':
@@ -65,7 +76,7 @@ def open_marks(text: str) -> bool:
                 stack.pop()
         elif stack and stack[-1] == _CLOSES.get(mark):
             stack.pop()
-    return fence or bool(stack)
+    return fence or bool(stack) or bool(elements)
 
 
 def _open_json(line: str) -> bool:
@@ -149,32 +160,44 @@ def _split(text: str) -> list[tuple[str, bool]]:
     return out
 
 
-def tails(documents: DataFrame, common: list[str]) -> DataFrame:
-    """doc_id, source, text's end: structure (something is open), ended (a sentence ends it), key and word (the last one, in
-    lower case; null if a mark or a number ends the text)."""
-    sent = documents.sparkSession.sparkContext.broadcast(frozenset(common))
-    kind = documents.schema["doc_id"].dataType.simpleString()
+def _end(text: str | None, known: frozenset[str]) -> tuple[bool, bool, str, str | None]:
+    pieces = _split(text) if text else []
+    if not pieces:
+        return False, True, "", None
+    piece = pieces[-1][0].rstrip()
+    tokens = _tokens(piece, known)
+    ended = bool(_ENDED.search(piece))
+    found = re.search(r"[^\W\d_]+(?=[…�\s]*$)", piece)
+    return bool(_BROKEN.search(piece)) or open_marks(text), ended, _key(tokens, len(tokens) - 1) if tokens else "", found.group().lower() if found and not ended else None
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = sent.value
-        for batch in batches:
-            rows = []
-            for doc, source, text in zip(batch["doc_id"], batch["source"], batch["text"]):
-                pieces = _split(text)
-                piece = pieces[-1][0].rstrip()
-                tokens = _tokens(piece, known)
-                ended = bool(_ENDED.search(piece))
-                found = re.search(r"[^\W\d_]+(?=[…�\s]*$)", piece)
-                rows.append((doc, source, bool(_BROKEN.search(piece)) or open_marks(text), ended, _key(tokens, len(tokens) - 1) if tokens else "", found.group().lower() if found and not ended else None))
-            yield pd.DataFrame(rows, columns=["doc_id", "source", "structure", "ended", "key", "word"])
 
-    return documents.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), "text").mapInPandas(run, f"doc_id {kind}, source string, structure boolean, ended boolean, key string, word string")
+def with_ends(rows: DataFrame, common: list[str]) -> DataFrame:
+    """rows with what the end of their text shows: structure (something is open), ended (a sentence ends it), key (the last
+    three words) and word (the last one, in lower case; null if a mark or a number ends the text)."""
+    sent = rows.sparkSession.sparkContext.broadcast(frozenset(common))
+
+    @F.pandas_udf("structure boolean, ended boolean, key string, word string")
+    def ends(texts: pd.Series) -> pd.DataFrame:
+        seen = {text: _end(text, sent.value) for text in texts.unique()}
+        return pd.DataFrame([seen[text] for text in texts], columns=["structure", "ended", "key", "word"])
+
+    return rows.withColumn("end__", ends("text")).select(*rows.columns, "end__.*")
 
 
-def beginnings(documents: DataFrame, text: str = "text") -> DataFrame:
-    """word: those for which longer words that begin with them are at least BEGINNING times as frequent."""
-    words = documents.select(F.explode(F.split(F.lower(text), r"[^\p{L}]+")).alias("word")).where(F.length("word") >= 1)
-    counts = stored(words.groupBy("word").agg(F.count(F.lit(1)).alias("n")), "words")
+@F.pandas_udf(T.BooleanType())
+def is_open(texts: pd.Series) -> pd.Series:
+    """Whether the automaton has something open after a text, or a character or an escape is cut to pieces at its end."""
+    return texts.map(lambda t: bool(t) and (bool(_BROKEN.search(t.rstrip())) or open_marks(t))).astype(bool)
+
+
+def word_counts(documents: DataFrame) -> DataFrame:
+    """word, in lower case, and n: how often it occurs."""
+    words = documents.select(F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word")).where(F.length("word") >= 1)
+    return stored(words.groupBy("word").agg(F.count(F.lit(1)).alias("n")), "words")
+
+
+def beginnings(counts: DataFrame) -> DataFrame:
+    """word: those of word_counts() for which longer words that begin with them are at least BEGINNING times as frequent."""
     shorter = F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.substring("word", F.lit(1), i))
     longer = counts.where(F.length("word") > 1).select(F.explode(shorter).alias("word"), "n").groupBy("word").agg(F.sum("n").alias("n_longer"))
     return counts.join(longer, "word").where(F.col("n_longer") >= BEGINNING * F.col("n")).select("word")
@@ -197,27 +220,32 @@ def usual_endings(seen: DataFrame) -> DataFrame:
     return joined.where(known & follows & (closed >= SEEN) & (closed >= SHARE * (closed + full)) & (mid <= GOES_ON * closed)).select("source", "key", (~F.col("key").rlike("(^| )N$") & (full + line >= SEEN)).alias("sure"))
 
 
-def distinct_texts(documents: DataFrame) -> DataFrame:
-    """source and text of each distinct text of a source: copies, under whatever ids, are one witness of how texts end."""
-    return documents.select(F.coalesce("source", F.lit("")).alias("source"), "text", F.sha2("text", 256).alias("hash")).dropDuplicates(["source", "hash"]).drop("hash")
+def distinct_texts(documents: DataFrame, *columns: str) -> DataFrame:
+    """source and text (and columns that depend on them) of each distinct text of a source: copies, under whatever ids, are
+    one witness of how texts end."""
+    return documents.select(F.coalesce("source", F.lit("")).alias("source"), "text", *columns, F.sha2("text", 256).alias("hash")).dropDuplicates(["source", "hash"]).drop("hash")
 
 
 def cut_documents(documents: DataFrame) -> DataFrame:
-    """doc_id and cut of each document with a text; documents has doc_id, source and text.
+    """doc_id, cut and evidence of each document with a text; documents has doc_id, source and text.
 
-    Null, empty and blank texts are left out. A null source is one source. Repeated rows come out as often as they are
-    there, but a text counts once in what is usual in its source. An empty table gives no rows, other columns are not read.
-    Whole texts are read, very long ones too.
+    evidence says what told: structure (something is open), within_word (the last word is the beginning of others) or
+    unusual_ending; it is null for complete texts. Null, empty and blank texts are left out. A null source is one source.
+    Repeated rows come out as often as they are there, but a text counts once in what is usual in its source. An empty table
+    gives no rows, other columns are not read. Whole texts are read, very long ones too.
     """
     written = documents.select("doc_id", "source", "text").where(F.length(shown(F.col("text"))) > 0)
     common = common_words(written)
     once = stored(distinct_texts(written), "texts")
     usual = usual_endings(stored(endings(once, common), "endings")).withColumn("usual", F.lit(True))
-    ends = stored(tails(written, common), "tails")
-    begun = beginnings(once).withColumn("begun", F.lit(True))
-    judged = ends.join(usual, ["source", "key"], "left").join(begun, "word", "left")
+    ends = stored(with_ends(written.withColumn("source", F.coalesce("source", F.lit(""))), common).drop("text"), "ends")
+    begun = beginnings(word_counts(once)).withColumn("begun", F.lit(True))
+    complete = F.col("structure") | F.col("ended")  # the end alone tells
+    judged = looked_up(looked_up(ends.where(~complete), usual, ["source", "key"], "doc_id"), begun, ["word"], "doc_id")
     within, ending = F.coalesce("begun", F.lit(False)) & ~F.coalesce("sure", F.lit(False)), F.coalesce("usual", F.lit(False))
-    return judged.select("doc_id", (F.col("structure") | (~F.col("ended") & (within | ~ending))).alias("cut"))
+    told = judged.select("doc_id", F.when(within, "within_word").when(~ending, "unusual_ending").alias("evidence"))
+    told = told.unionByName(ends.where(complete).select("doc_id", F.when(F.col("structure"), "structure").alias("evidence")))
+    return told.select("doc_id", F.col("evidence").isNotNull().alias("cut"), "evidence")
 
 
 def going_endings(seen: DataFrame) -> DataFrame:
@@ -230,38 +258,47 @@ def going_endings(seen: DataFrame) -> DataFrame:
     return rows.where("bare > 0").join(pairs, "two").where(~F.col("key").rlike("(^| )[N0U]$") & (mid >= ENOUGH) & (mid > GOES_ON * ends)).select("source", "key")
 
 
-def own_evidence(answers: DataFrame) -> DataFrame:
-    """source (null: empty), text and what each distinct answer says of its end by itself: structure (something is open),
-    going (texts go on after its last words), alone (its last word is never anything but the end of an open text) and begun
-    (it also is the beginning of longer words that are BEGINNING times as frequent)."""
-    once = stored(distinct_texts(answers.where(F.length(shown(F.col("text"))) > 0)), "texts")
+def with_own_evidence(rows: DataFrame, once: DataFrame, key: str) -> DataFrame:
+    """rows (key, source, text) and what each says of its end by itself: structure (something is open), going (texts go on
+    after its last words), alone (its last word is never anything but the end of an open text) and begun (it also is the
+    beginning of longer words that are BEGINNING times as frequent). once has the distinct texts of each source."""
     common = common_words(once)
     going = going_endings(stored(endings(once, common), "endings")).withColumn("going", F.lit(True))
-    ends = stored(tails(once.select(F.col("text").alias("doc_id"), "source", "text"), common).withColumnRenamed("doc_id", "text"), "tails")
-    last = ends.where(F.col("word").isNotNull()).groupBy("word").agg(F.count(F.lit(1)).alias("n_last"))
-    words = once.select(F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word")).where(F.length("word") >= 1)
-    alone = words.join(last, "word").groupBy("word", "n_last").agg(F.count(F.lit(1)).alias("n")).where("n <= n_last").select("word", F.lit(True).alias("alone"))
-    begun = beginnings(once).withColumn("begun", F.lit(True))
-    judged = ends.join(going, ["source", "key"], "left").join(alone, "word", "left").join(begun, "word", "left")
+    counts = word_counts(once)
+    last = with_ends(once.where("open"), common).where(F.col("word").isNotNull()).groupBy("word").agg(F.count(F.lit(1)).alias("n_last"))
+    words = counts.join(last, "word").select("word", (F.col("n") <= F.col("n_last")).alias("alone"))
+    words = stored(words.join(beginnings(counts).withColumn("begun", F.lit(True)), "word", "left"), "last")
+    ends = stored(with_ends(rows, common).withColumnRenamed("key", "key__"), "ends")
+    judged = looked_up(looked_up(ends, going.withColumnRenamed("key", "key__"), ["source", "key__"], key), words, ["word"], key)
     flag = {c: F.coalesce(c, F.lit(False)) for c in ("going", "alone", "begun")}
-    return judged.select("source", "text", "structure", (flag["going"] & ~F.col("ended")).alias("going"), flag["alone"].alias("alone"), (flag["alone"] & flag["begun"]).alias("begun"))
+    return judged.select(*rows.columns, "structure", (flag["going"] & ~F.col("ended")).alias("going"), flag["alone"].alias("alone"), (flag["alone"] & flag["begun"]).alias("begun"))
 
 
 def cut_answers(results: DataFrame, ledger: DataFrame) -> DataFrame:
-    """result_id, model and cut of each answer with a text; a result's copies come out once.
-
-    Besides the ends and spikes of open_ends(), an answer that the automaton leaves open or that ends in a broken character
-    is cut, whatever mark ends it, and one with an open end whose call billed as many tokens as its limit allows. One that gives back its question to the end is complete, whatever mark is missing. Null calls, counts and limits give no such evidence; null, empty and blank answers are left out.
+    """result_id, model, cut and evidence of each answer with a text; a result's copies come out once.
+
+    An answer that the automaton leaves open or that ends in a broken character is cut, whatever mark ends it (evidence
+    structure); one with an open end also if its call billed as many tokens as its limit allows (limit), or by the evidence
+    of open_ends(): a neighbour that goes on (neighbour), a spike (spike), last words that go on (going), a last word that is
+    the beginning of others (within_word), or a source that usually ends its sentences (baseline). One that gives back its
+    question to the end is complete, whatever mark is missing. Null calls, counts and limits give no such evidence; null,
+    empty and blank answers are left out.
     """
     q, a = [F.regexp_replace(plain_words(F.col(c)), OPENING, "") for c in ("question", "predicted_answer")]
     one = results.select("result_id", "call_id", F.col("architecture").alias("source"), F.col("response_token_count").alias("length"), shown(F.col("predicted_answer")).alias("text"), q.alias("q"), a.alias("a")).where(F.col("text").rlike(r"[\p{L}\p{N}]"))
     last = [F.element_at(F.split(c, " "), -1) for c in ("q", "a")]
-    one = one.withColumn("asked", is_copy(F.col("q"), F.col("a")) & (F.levenshtein(*last) <= 1)).drop("q", "a")
+    one = one.withColumn("asked", F.coalesce(is_copy(F.col("q"), F.col("a")) & (F.levenshtein(*last) <= 1), F.lit(False))).drop("q", "a")
+    answers = stored(marked(one), "answers")
+    ends = open_ends(answers)
+    kind = F.when(F.col("structure"), "structure").when(is_cut(ends), F.when(F.col("shortened"), "neighbour").when(F.col("spike"), "spike").when(F.col("going"), "going").when(F.col("begun"), "within_word").otherwise("baseline"))
+    opened = ends.select("result_id", "call_id", "asked", (F.col("n_words") >= 3).alias("long"), kind.alias("kind"))
+    closed = answers.where(~F.col("open")).select("result_id", "call_id", "asked", F.lit(False).alias("long"), F.when(is_open("text"), "structure").alias("kind"))
+    rows = opened.unionByName(closed)
     calls = ledger.where(F.col("call_id").isNotNull()).groupBy("call_id").agg(F.first("model", True).alias("model"), F.max(F.coalesce(F.col("output_tokens") >= F.col("max_tokens"), F.lit(False))).alias("at_limit"))
-    ends = open_ends(stored(one, "answers"))
-    limit = F.coalesce("at_limit", F.lit(False)) & F.col("open") & (F.col("n_words") >= 3)
-    joined = ends.withColumn("cut", is_cut(ends)).join(calls, "call_id", "left")
-    return joined.select("result_id", "model", ((F.col("cut") | F.col("structure") | limit) & ~F.coalesce("asked", F.lit(False))).alias("cut")).dropDuplicates(["result_id"])
+    unknown = rows.where(F.col("call_id").isNull()).withColumns({"model": F.lit(None).cast("string"), "at_limit": F.lit(False)})
+    joined = rows.where(F.col("call_id").isNotNull()).join(calls, "call_id", "left").unionByName(unknown)
+    evidence = F.when(~F.col("asked"), F.coalesce(F.col("kind"), F.when(F.coalesce("at_limit", F.lit(False)) & F.col("long"), "limit")))
+    return joined.select("result_id", "model", evidence.isNotNull().alias("cut"), evidence.alias("evidence")).dropDuplicates(["result_id"])
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -273,10 +310,16 @@ def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut_answers(results, table(spark, sf_dir, "ledger", "call_id", "model", "output_tokens", "max_tokens"))
 
 
+def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """table_name, record_id and evidence: what told that the record was cut, one row per cut record."""
+    answers = _answers(spark, sf_dir).where("cut").select(F.lit("architecture_results").alias("table_name"), F.col("result_id").alias("record_id"), "evidence")
+    documents = cut_documents(_documents(spark, sf_dir)).where("cut").dropDuplicates(["doc_id"])
+    return answers.unionByName(documents.select(F.lit("documents").alias("table_name"), F.col("doc_id").alias("record_id"), "evidence"))
+
+
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """table_name, record_id: one row per cut record."""
-    answers = _answers(spark, sf_dir).where("cut").select(F.lit("architecture_results").alias("table_name"), F.col("result_id").alias("record_id"))
-    return answers.unionByName(cut_documents(_documents(spark, sf_dir)).where("cut").select(F.lit("documents").alias("table_name"), F.col("doc_id").alias("record_id")).distinct())
+    return evidence(spark, sf_dir).select("table_name", "record_id")
 
 
 def _rates(flagged: DataFrame, by: str) -> DataFrame:
@@ -295,4 +338,4 @@ def source_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rates(documents.select("doc_id", "source").join(cut_documents(documents), "doc_id"), "source")
 
 
-QUERIES = {"p2_found": found, "p2_model_rates": model_rates, "p2_source_rates": source_rates}
+QUERIES = {"p2_found": found, "p2_model_rates": model_rates, "p2_source_rates": source_rates, "p2_evidence": evidence}

@@ -8,13 +8,13 @@ empty answers, copies of the question, refusals and other languages apply.
 from __future__ import annotations
 
 import re
-from functools import reduce
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from docmeter.llm.rules import EMPTY_WORDS, FUNCTION_WORDS, OWN_LETTERS, REFUSAL, UNSTATED, any_of, shown, without_label
-from docmeter.llm.segments import TERMINATED, next_in_order, sentences, words
+from docmeter.llm.segments import TERMINATED, looked_up, next_in_order, sentences, words
 from docmeter.session import stored, table
 
 # Openings that add nothing to a repeated question.
@@ -45,6 +45,7 @@ _QUOTED = re.compile(r'"[^"]*"|“[^”]*”|„[^“”]*[“”]|«[^»]*»|
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+@lru_cache(maxsize=20_000)  # questions recur for every architecture and run
 def language_of(text: str | None) -> str | None:
     """The language a text is written in, or None if too little of it tells. Quotations and names do not count."""
     if not text:
@@ -108,43 +109,38 @@ def _after_question(question: Column, answer: Column) -> Column:
     return F.when(F.lower(answer).startswith(F.lower(F.trim(question))), F.substring(answer, F.length(F.trim(question)) + 1, F.lit(1 << 30))).otherwise(answer)
 
 
-def open_ends(answers: DataFrame) -> DataFrame:
-    """answers (with text, source and length) and the evidence that the end of a text is missing.
+def marked(answers: DataFrame) -> DataFrame:
+    """answers (with text) and n_words and open: whether no sentence ends the text. A null or blank text has no open end."""
+    return answers.withColumn("n_words", words(F.coalesce("text", F.lit("")))).withColumn("open", (F.col("n_words") > 0) & ~F.coalesce(F.col("text").rlike(TERMINATED), F.lit(False)) & ~F.trim("text").rlike(LETTER_OPTION))
 
-    open: no sentence ends the text; n_words: its words; shortened: its last sentence is a strict prefix of its neighbour
-    in the sorted order of all sentences; spike: texts with an open end pile up at its length; baseline: the rate of open
-    ends among the distinct texts of its source; structure, going, alone and begun: see own_evidence(). A null or blank
-    text has no open end.
+
+def open_ends(answers: DataFrame, key: str = "result_id") -> DataFrame:
+    """The rows of answers (marked(), with source and length) that have an open end, and the evidence that the end is missing.
+
+    shortened: the last sentence is a strict prefix of its neighbour in the sorted order of all sentences; spike: texts with
+    an open end pile up at its length; baseline: the rate of open ends among the distinct texts of its source; structure,
+    going, alone and begun: see with_own_evidence(). key is a column that tells rows apart, so that the rows of one text or
+    word are spread over tasks.
     """
-    from docmeter.llm.cut import own_evidence  # which imports this module
+    from docmeter.llm.cut import distinct_texts, with_own_evidence  # which imports this module
 
-    marked = (
-        answers.withColumn("n_words", words(F.coalesce("text", F.lit(""))))
-        .withColumn("open", (F.col("n_words") > 0) & ~F.coalesce(F.col("text").rlike(TERMINATED), F.lit(False)) & ~F.trim("text").rlike(LETTER_OPTION))
-        .withColumn("tail", F.when(F.col("open"), F.element_at(sentences("text"), -1)))
-    )
-    order = next_in_order(marked.select(F.explode(sentences("text")).alias("segment")), "segment")
+    long = F.col("open") & (F.col("n_words") >= LEAST_WORDS)
+    order = next_in_order(answers.select(F.explode(sentences("text")).alias("segment")), "segment")
     shortened = order.where(F.col("next").startswith(F.col("segment"))).select(
         F.col("segment").alias("tail"),
         F.concat(F.substring("segment", -1, 1), F.substring(F.col("next"), F.length("segment") + 1, F.lit(1))).rlike(r"(?U)^\p{L}\p{L}$").alias("within_word"),
     )
-    long = F.col("open") & (F.col("n_words") >= LEAST_WORDS)
-    lengths = marked.groupBy("source", "length").agg(F.count_if(long).alias("n_open"))
+    lengths = answers.groupBy("source", "length").agg(F.count_if(long).alias("n_open"))
     around = Window.partitionBy("source").orderBy("length").rangeBetween(-3, 3)
     spikes = lengths.withColumn("others", (F.sum("n_open").over(around) - F.col("n_open")) / 6).where((F.col("n_open") >= 5) & (F.col("n_open") >= SPIKE_RATIO * F.col("others")) & F.col("length").isNotNull())
-    once = marked.where(F.col("n_words") >= LEAST_WORDS).select("source", "open", F.sha2("text", 256).alias("hash")).distinct()
-    rates = once.groupBy("source").agg(F.avg(F.col("open").cast("int")).alias("baseline"))
-    own = own_evidence(answers.select("source", "text")).withColumnRenamed("source", "source__")
-    return (
-        marked.join(shortened, "tail", "left")
-        .join(spikes.select("source", "length", F.lit(True).alias("spike")), ["source", "length"], "left")
-        .withColumn("source__", F.coalesce("source", F.lit("")))
-        .join(rates.select(F.coalesce("source", F.lit("")).alias("source__"), "baseline"), "source__", "left")
-        .join(own, ["source__", "text"], "left")
-        .withColumns({c: F.coalesce(c, F.lit(False)) for c in ("structure", "going", "alone", "begun")})
-        .withColumns({"shortened": F.col("within_word").isNotNull(), "within_word": F.coalesce("within_word", F.lit(False)), "spike": F.coalesce("spike", F.lit(False))})
-        .drop("source__")
-    )
+    once = stored(distinct_texts(answers, "n_words", "open"), "texts")
+    rates = once.where(F.col("n_words") >= LEAST_WORDS).groupBy("source").agg(F.avg(F.col("open").cast("int")).alias("baseline"))
+    rows = answers.where("open").withColumn("source", F.coalesce("source", F.lit(""))).withColumn("tail", F.element_at(sentences("text"), -1))
+    rows = looked_up(rows, stored(shortened, "shortened"), ["tail"], key).drop("tail")
+    rows = looked_up(rows, spikes.select(F.coalesce("source", F.lit("")).alias("source"), "length", F.lit(True).alias("spike")), ["source", "length"], key)
+    rows = looked_up(rows, rates, ["source"], key)
+    rows = rows.withColumns({"shortened": F.col("within_word").isNotNull(), "within_word": F.coalesce("within_word", F.lit(False)), "spike": F.coalesce("spike", F.lit(False))})
+    return with_own_evidence(rows, once, key)
 
 
 def is_cut(ends: DataFrame) -> Column:
@@ -169,10 +165,13 @@ def defects(pairs: DataFrame) -> DataFrame:
     plain = texts.withColumns({"q": F.regexp_replace(plain_words(F.col("question")), OPENING, ""), "a": F.regexp_replace(plain_words(F.col("text")), OPENING, ""), "said": F.regexp_replace(F.regexp_replace("text", r"(?<=\p{L})[’ʼ](?=\p{L})", "'"), QUOTED, " ")})
     rule = F.when(is_empty(F.col("text")), "empty").when(is_copy(F.col("q"), F.col("a")), "copied_question").when(is_refusal(F.col("said")), "refusal")
     ruled = stored(plain.withColumn("rule", rule).drop("q", "a", "said"), "pairs")
-    rest = open_ends(ruled.where(F.col("rule").isNull()).drop("rule"))
-    checked = rest.withColumn("cut", is_cut(rest)).withColumns({"asked_in": language(F.col("question")), "told_in": language(_after_question(F.col("question"), F.col("text")))})
-    told = checked.select("result_id", F.when(F.col("cut"), "truncated").when(F.col("asked_in") != F.col("told_in"), "other_language").alias("defect"))
-    return ruled.where(F.col("rule").isNotNull()).select("result_id", F.col("rule").alias("defect")).unionByName(told).distinct()
+    rest = stored(marked(ruled.where(F.col("rule").isNull()).drop("rule")), "marked")
+    ends = open_ends(rest)
+    kept = ends.withColumn("cut", is_cut(ends)).select("result_id", "question", "text", "cut").unionByName(rest.where(~F.col("open")).select("result_id", "question", "text", F.lit(False).alias("cut")))
+    foreign = language(F.col("question")) != language(_after_question(F.col("question"), F.col("text")))
+    told = kept.where(~F.col("cut")).select("result_id", F.when(foreign, "other_language").alias("defect"))
+    shortened = kept.where("cut").select("result_id", F.lit("truncated").alias("defect"))
+    return ruled.where(F.col("rule").isNotNull()).select("result_id", F.col("rule").alias("defect")).unionByName(told).unionByName(shortened).distinct()
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -185,11 +184,17 @@ def found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Results and defects by kind, for each architecture."""
+    """Results and defects by kind, for each architecture, beside what the runs say of themselves: results marked failed,
+    marked failed for a stated reason, marked failed though sound, and defective though not marked."""
     kinds = ["empty", "truncated", "refusal", "copied_question", "other_language"]
-    pairs = _pairs(spark, sf_dir).select("result_id", "architecture").distinct()
-    counts = [F.count_if(F.col("defect") == k).alias(k) for k in kinds]
-    return pairs.join(found(spark, sf_dir), "result_id", "left").groupBy("architecture").agg(F.count(F.lit(1)).alias("n_results"), *counts, (reduce(lambda a, b: a + b, [F.count_if(F.col("defect") == k) for k in kinds]) / F.count(F.lit(1))).alias("defect_rate"))
+    results = table(spark, sf_dir, "architecture_results", "result_id", "architecture", "failed", "failure_reason")
+    pairs = results.groupBy("result_id", "architecture").agg(F.max(F.coalesce("failed", F.lit(False))).alias("failed"), F.max("failure_reason").alias("reason"))
+    n, counts = F.count(F.lit(1)), [F.count_if(F.col("defect") == k).alias(k) for k in kinds]
+    broken = F.col("defect").isNotNull()
+    return pairs.join(found(spark, sf_dir), "result_id", "left").groupBy("architecture").agg(
+        n.alias("n_results"), *counts, (F.count_if(broken) / n).alias("defect_rate"), F.count_if("failed").alias("n_failed"), F.count_if(F.col("failed") & F.col("reason").isNotNull()).alias("n_with_reason"),
+        F.count_if(F.col("failed") & ~broken).alias("n_failed_sound"), F.count_if(~F.col("failed") & broken).alias("n_unmarked"),
+    )
 
 
 QUERIES = {"p1_found": found, "p1_rates": rates}

@@ -70,5 +70,10 @@ def without_label(text: Column) -> Column:
 
 
 def any_of(text: Column, patterns: list[str]) -> Column:
-    """Whether one of the patterns is in text, case aside; one alternation, so that a text is passed once."""
-    return text.rlike("(?iu)" + "|".join(f"(?:{p})" for p in patterns))
+    """Whether one of the patterns (without escapes in capitals) is in text, case aside. All are one alternation, over the
+    text in lower case; those that begin at the edge of a word stand behind one test for such an edge, so that most places
+    of a text are passed at once."""
+    low = [p.lower() for p in patterns]
+    edge = [p.removeprefix(r"\b") for p in low if p.startswith(r"\b")]
+    parts = [f"(?:{p})" for p in low if not p.startswith(r"\b")] + ([rf"\b(?:{'|'.join(edge)})"] if edge else [])
+    return F.lower(text).rlike("(?U)" + "|".join(parts))

@@ -21,6 +21,19 @@ def words(text: Column) -> Column:
     return F.size(F.filter(F.split(F.regexp_replace(text, r"[一-鿿]", " "), r"(?U)\s+"), lambda w: w != "")) + F.floor(han / 2)
 
 
+#: Tasks over which looked_up() spreads the rows of one key.
+SALTS = 16
+
+
+def looked_up(rows: DataFrame, known: DataFrame, on: list[str], by: str) -> DataFrame:
+    """rows left joined with known, a small table that has each key once. The rows of a key, null included, are spread over
+    SALTS tasks by a hash of their column `by`, so that a key that a large share of them has holds nothing up; the rows of
+    known are repeated as often."""
+    salted = rows.withColumn("salt__", F.pmod(F.xxhash64(by), F.lit(SALTS)))
+    repeated = known.withColumn("salt__", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+    return salted.join(repeated, [*on, "salt__"], "left").drop("salt__")
+
+
 def next_in_order(texts: DataFrame, column: str) -> DataFrame:
     """Distinct texts with the one that follows each in binary order (null after the last).
 

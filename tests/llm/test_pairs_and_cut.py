@@ -79,7 +79,7 @@ def test_language(text, language):
 
 @pytest.mark.parametrize("text, state", [
     ('He said "yes" (twice).', False), ('He said "yes', True), ("a (b [c] d", True), ("smile :) and :(", False), ('{"a": [1, 2], "b": "x"}', False), ('{"a": [1, 2], "b": "x', True),
-    ('{"a": 1}\n{"b": [1', True), ("```\ncode", True), ("```\n(code\n```", False), ("“So it is” she said", False), ("“So it is", True), ("a) first b) second", False), ('"open in one paragraph\n\nclosed in the next', False), ("", False),
+    ('{"a": 1}\n{"b": [1', True), ("```\ncode", True), ("```\n(code\n```", False), ("“So it is” she said", False), ("“So it is", True), ("a) first b) second", False), ("<div><b>x</b>", True), ("<div>\n\n<b>x</div>", False), ("<p>one<br/>two <s> three", False), ('<table class="a">x</table>', False), ("a < b and c > d", False), ('"open in one paragraph\n\nclosed in the next', False), ("", False),
 ])
 def test_stack_automaton(text, state):
     assert cut.open_marks(text) is state
@@ -102,6 +102,23 @@ def test_cut_documents(spark):
     assert not any(got[i] for i in got if i >= 100)
 
 
+def test_evidence(spark):
+    extra = [("report", "Members travel between Lor1 and the co"), ("report", "The strongest tie concerns the letter and has a"), ("report", 'He said "the letter. And then.'), ("report", "<div>The strongest tie concerns the letter.")]
+    got = {r["doc_id"]: r["evidence"] for r in cut.cut_documents(documents(spark, extra)).collect()}
+    assert [got[i] for i in range(4)] == ["within_word", "unusual_ending", "structure", "structure"] and got[100] is None
+
+
+def test_rows_of_one_key_are_spread(spark):
+    from docmeter.llm.segments import SALTS, looked_up
+
+    rows = spark.range(3200).select("id", F.when(F.col("id") % 10 > 0, F.lit("hot")).alias("word"), F.lit(1).alias("extra"))
+    known = spark.createDataFrame([("hot", True), ("cold", True)], "word string, seen boolean")
+    joined = looked_up(rows, known, ["word"], "id")
+    assert joined.columns == ["word", "id", "extra", "seen"] and joined.count() == 3200 and joined.where("seen").count() == 2880
+    salted = rows.groupBy("word", F.pmod(F.xxhash64("id"), F.lit(SALTS))).count()
+    assert salted.where("word = 'hot'").agg(F.max("count")).first()[0] < 3200 / SALTS * 1.5
+
+
 def test_cut_documents_copies_and_empty(spark):
     df = documents(spark, [("report", "Members travel between Lor1 and the co")] * 1)
     twice = df.where("doc_id = 0").unionByName(df)
@@ -122,7 +139,7 @@ def test_cut_answers(spark):
     results = spark.createDataFrame(rows, "result_id bigint, call_id bigint, architecture string, response_token_count int, predicted_answer string, question string")
     ledger = spark.createDataFrame([(i, "m", 20, None) for i in range(40)] + [(100, "m", 5, 5), (100, "m", 5, 5)], "call_id bigint, model string, output_tokens bigint, max_tokens int")
     got = [tuple(r) for r in cut.cut_answers(results, ledger).where("cut").collect()]
-    assert sorted(got) == [(100, "m", True), (104, None, True)]
+    assert sorted(got) == [(100, "m", True, "neighbour"), (104, None, True, "baseline")]
     assert cut.cut_answers(results, ledger).where(F.col("result_id") == 101).first()["model"] is None
 
 
