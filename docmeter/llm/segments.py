@@ -22,7 +22,7 @@ def words(text: Column) -> Column:
 
 
 #: Tasks over which looked_up() spreads the rows of one key.
-SALTS = 16
+SALTS = 8
 
 
 def looked_up(rows: DataFrame, known: DataFrame, on: list[str], by: str) -> DataFrame:
