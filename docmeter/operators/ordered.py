@@ -27,18 +27,26 @@ def _by_part(df: DataFrame, parts: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.join(renamed, fits, "left").drop("p__", *[f"{k}__" for k in keys])
 
 
-def running_total(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, name: str) -> DataFrame:
-    """df with the sum of value over the rows of the same keys up to this one (in the given order, which should be unique).
+def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: dict[str, Column]) -> DataFrame:
+    """df with a column per entry of values: the sum of its expression over the rows of the same keys up to this one (in the
+    given order, which should be unique).
 
-    value must not be null. Null keys form a group. An empty table gives no rows.
+    Values must not be null. Null keys form a group. An empty table gives no rows.
     """
-    placed = _placed(df.withColumn("value__", value), keys, order)
+    names = list(values)
+    placed = _placed(df.withColumns({f"value__{i}": values[n] for i, n in enumerate(names)}), keys, order)
     upto = Window.partitionBy("part__", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     earlier = Window.partitionBy(*keys).orderBy("part__").rowsBetween(Window.unboundedPreceding, -1)
-    sums = placed.groupBy("part__", *keys).agg(F.sum("value__").alias("sum__"))
-    before = sums.select("part__", *keys, F.coalesce(F.sum("sum__").over(earlier), F.lit(0)).alias("before__"))
-    total = _by_part(placed.withColumn("within__", F.sum("value__").over(upto)), before, keys)
-    return total.withColumn(name, F.col("within__") + F.col("before__")).drop("part__", "value__", "within__", "before__")
+    sums = placed.groupBy("part__", *keys).agg(*[F.sum(f"value__{i}").alias(f"sum__{i}") for i in range(len(names))])
+    before = sums.select("part__", *keys, *[F.coalesce(F.sum(f"sum__{i}").over(earlier), F.lit(0)).alias(f"before__{i}") for i in range(len(names))])
+    total = _by_part(placed.withColumns({f"within__{i}": F.sum(f"value__{i}").over(upto) for i in range(len(names))}), before, keys)
+    found = {n: F.col(f"within__{i}") + F.col(f"before__{i}") for i, n in enumerate(names)}
+    return total.withColumns(found).drop("part__", *[f"{c}__{i}" for c in ("value", "within", "before") for i in range(len(names))])
+
+
+def running_total(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, name: str) -> DataFrame:
+    """running_totals() of one value."""
+    return running_totals(df, keys, order, {name: value})
 
 
 def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "n") -> DataFrame:
