@@ -4,8 +4,8 @@ The documents of a source fall into blocks of about equal size by a hash. Each m
 source and a part of one more pass, in a permuted order of its own, up to the tokens that its share asks for and that
 max_repeats allows. A splitting tree deals the blocks to output shards: every node draws from a multivariate
 hypergeometric distribution how many blocks of each source go to its left half, so that the quotas of the shards add up
-exactly; then each shard takes the next blocks of each source's permuted order, which no other shard has, and shuffles its
-documents.
+exactly. The nodes are rows, one per node, and the tree grows in rounds over all of them. Then each shard takes its stretch
+of each source's permuted order, which no other shard has, and shuffles its documents.
 """
 
 from __future__ import annotations
@@ -18,11 +18,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from docmeter.llm.encode import TOKENIZERS, WORDS, vocabulary
+from docmeter.operators.ordered import running_totals
 from docmeter.session import stored, table
 
 BLOCK_TOKENS, SHARD_TOKENS = 20_000, 2_000_000
-#: Blocks of a source at most: beyond this many, blocks grow instead, so that ordering the blocks of a source stays small.
-BLOCKS = 65_536
+#: Levels of the tree that a task splits a node by, before the nodes are dealt to tasks anew.
+LEVELS = 8
+#: The generator of random numbers draws from fewer items than this.
+MOST_ITEMS = 10**9
 SEED = 7
 
 
@@ -44,31 +47,66 @@ def token_sizes(documents: DataFrame, root: str = TOKENIZERS, name: str = "byte_
     return documents.select("doc_id", "source", "text").mapInArrow(run, f"doc_id {kind}, source string, tokens bigint")
 
 
-def _split(mix: str, quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
-    """Blocks of each source (columns) in each shard (rows): the leaves of the splitting tree."""
-    out = np.zeros((shards, len(quotas)), np.int64)
-    nodes = [(0, shards, quotas.astype(np.int64))]
-    key = [seed, *mix.encode()]
-    while nodes:
-        low, high, left_over = nodes.pop()
-        if high - low == 1:
-            out[low] = left_over
-            continue
-        middle = (low + high) // 2
-        rng = np.random.default_rng([*key, low, high])
-        take = int(round(left_over.sum() * (middle - low) / (high - low)))
-        drawn = rng.multivariate_hypergeometric(left_over, take, method="marginals") if take else np.zeros_like(left_over)
-        nodes += [(low, middle, drawn), (middle, high, left_over - drawn)]
+def draw(rng: np.random.Generator, items: np.ndarray, take: int) -> np.ndarray:
+    """How many of each kind are among `take` items drawn without replacement. From MOST_ITEMS items on, kind after kind comes
+    from a normal law of the same mean and variance, rounded and held within what is possible; the sum is exact too."""
+    if items.sum() < MOST_ITEMS:
+        return rng.multivariate_hypergeometric(items, take, method="marginals")
+    out, rest, need = np.zeros_like(items), int(items.sum()), take
+    for i, n in enumerate(items[:-1].tolist()):
+        mean = need * n / max(1, rest)
+        spread = (mean * (1 - n / max(1, rest)) * (rest - need) / max(1, rest - 1)) ** 0.5
+        out[i] = min(max(round(rng.normal(mean, spread)), need - (rest - n), 0), n, need)
+        rest, need = rest - n, need - int(out[i])
+    out[-1] = need
     return out
 
 
+def split(mix: str, low: int, high: int, starts: np.ndarray, counts: np.ndarray, levels: int, seed: int) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
+    """The nodes (low, high, starts, counts) `levels` below a node of the tree, or its leaves where they come before. A node
+    stands for the shards from low up to high; counts are its blocks of each source, which begin at starts in the order of
+    that source. What a node draws depends on seed, mix, low and high only."""
+    if high - low == 1 or levels == 0:
+        return [(low, high, starts, counts)]
+    middle = (low + high) // 2
+    rng = np.random.default_rng([seed, *mix.encode(), low, high])
+    left = draw(rng, counts, round(int(counts.sum()) * (middle - low) / (high - low)))
+    return split(mix, low, middle, starts, left, levels - 1, seed) + split(mix, middle, high, starts + left, counts - left, levels - 1, seed)
+
+
+def shards(counts: DataFrame, seed: int = SEED, levels: int = LEVELS) -> DataFrame:
+    """mix, source, shard, first and last: the stretch of a source's order that each shard gets; no row where it gets none.
+
+    counts has mix, source, n_blocks and n_shards. The root of a mix is one row (a mix has as many sources as mix_targets
+    states); every round replaces each node by those `levels` below it and deals them to tasks anew, so that rounds grow
+    with the logarithm of the shards and no task holds a tree.
+    """
+    sources = F.array_sort(F.collect_list(F.struct("source", "n_blocks")))
+    roots = counts.groupBy("mix").agg(F.max("n_shards").cast("bigint").alias("high"), sources.alias("s")).select(
+        "mix", F.lit(0).cast("bigint").alias("low"), "high", F.col("s.source").alias("sources"), F.transform("s", lambda x: F.lit(0).cast("bigint")).alias("starts"), F.col("s.n_blocks").alias("counts")
+    )
+    most = roots.agg(F.max("high")).first()[0] or 1
+
+    def grow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                nodes = split(r.mix, r.low, r.high, np.array(r.starts, np.int64), np.array(r.counts, np.int64), levels, seed)
+                yield pd.DataFrame([(r.mix, low, high, r.sources, starts, counts_) for low, high, starts, counts_ in nodes], columns=list(batch.columns))
+
+    nodes = roots
+    for _ in range(-(-(most - 1).bit_length() // levels)):
+        nodes = nodes.repartition("mix", "low").mapInPandas(grow, nodes.schema)
+    parts = nodes.select("mix", F.col("low").alias("shard"), F.explode(F.arrays_zip("sources", "starts", "counts")).alias("p")).where("p.counts > 0")
+    return parts.select("mix", F.col("p.sources").alias("source"), "shard", F.col("p.starts").alias("first"), (F.col("p.starts") + F.col("p.counts") - 1).alias("last"))
+
+
 def quotas(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     """A row per mix and source: available (tokens of the source), target_tokens, quota (tokens to take, at most max_repeats
     times those available), passes (whole ones) and part (tokens of a further pass). A source without documents has 0."""
     available = sizes.groupBy("source").agg(F.sum("tokens").alias("available"))
-    total = sizes.agg(F.sum("tokens").alias("all_tokens")).withColumn("one", F.lit(1))
-    asked = targets.select("mix", "source", "target_share", "max_repeats", "size_ratio").withColumn("one", F.lit(1)).join(total, "one").join(available, "source", "left").withColumn("available", F.coalesce("available", F.lit(0)))
-    wanted = asked.withColumn("target_tokens", F.coalesce(F.col("target_share") * F.col("size_ratio") * F.col("all_tokens"), F.lit(0.0)))
+    total = sizes.agg(F.sum("tokens")).scalar()
+    asked = targets.select("mix", "source", "target_share", "max_repeats", "size_ratio").join(available, "source", "left").withColumn("available", F.coalesce("available", F.lit(0)))
+    wanted = asked.withColumn("target_tokens", F.coalesce(F.col("target_share") * F.col("size_ratio") * total, F.lit(0.0)))
     quota = F.least(F.col("target_tokens"), (F.coalesce("max_repeats", F.lit(0)) * F.col("available")).cast("double"))
     passes = F.when(F.col("available") > 0, F.floor(F.col("quota") / F.col("available"))).otherwise(0)
     return (
@@ -87,32 +125,23 @@ def mixed(sizes: DataFrame, targets: DataFrame, block_tokens: int = BLOCK_TOKENS
     sizes = sizes.select("doc_id", "source", "tokens")
     usable = sizes.where(F.col("source").isNotNull() & (F.col("tokens") > 0))
     plan = stored(quotas(sizes, targets), "quotas")
-    n_blocks = F.least(F.lit(BLOCKS), F.greatest(F.lit(1), F.ceil(F.col("available") / block_tokens)))
+    n_blocks = F.greatest(F.lit(1), F.ceil(F.col("available") / block_tokens))
     per_source = plan.groupBy("source").agg(F.max(n_blocks).alias("n_blocks"))
     tagged = stored(usable.join(per_source, "source").withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("n_blocks"))).drop("n_blocks"), "blocks")
 
-    # the passes of each mix over the blocks of each source, in permuted order
-    blocks = tagged.groupBy("source", "block").agg(F.sum("tokens").alias("block_tokens"))
+    # the passes of each mix over the blocks of each source, in permuted order, and the place of each block among those dealt
+    blocks = stored(tagged.groupBy("source", "block").agg(F.sum("tokens").alias("block_tokens")), "sizes")
     passes = plan.select("mix", "source", "passes", "part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("passes"))).alias("repeat"))
-    order = Window.partitionBy("mix", "source", "repeat").orderBy(F.xxhash64("mix", "repeat", "block", F.lit(seed)), "block")
-    dealt = passes.join(blocks, "source").withColumn("before", F.sum("block_tokens").over(order.rowsBetween(Window.unboundedPreceding, -1)))
-    dealt = dealt.withColumn("before", F.coalesce("before", F.lit(0))).where((F.col("repeat") < F.col("passes")) | (F.col("before") < F.col("part")))
-    within = F.row_number().over(Window.partitionBy("mix", "source").orderBy("repeat", "before", "block")) - 1
-    dealt = stored(dealt.withColumn("place", within), "dealt")
-
-    # the splitting tree: from blocks per source to blocks per source and shard
-    tokens = plan.groupBy("mix").agg(F.sum("quota").alias("mix_tokens"))
-    counts = dealt.groupBy("mix", "source").agg(F.count(F.lit(1)).alias("n_dealt")).join(tokens, "mix")
-
-    def shards(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("source")
-        n = max(1, int(np.ceil(rows["mix_tokens"].iloc[0] / shard_tokens)))
-        leaves = _split(rows["mix"].iloc[0], rows["n_dealt"].to_numpy(), n, seed)
-        first = np.vstack([np.zeros((1, leaves.shape[1]), np.int64), np.cumsum(leaves, axis=0)[:-1]])
-        k, s = np.nonzero(leaves)
-        return pd.DataFrame({"mix": rows["mix"].iloc[0], "source": rows["source"].to_numpy()[s], "shard": k, "first": first[k, s], "last": first[k, s] + leaves[k, s] - 1})
-
-    intervals = counts.groupBy("mix").applyInPandas(shards, "mix string, source string, shard bigint, first bigint, last bigint")
+    present = blocks.groupBy("source").agg(F.count(F.lit(1)).alias("n_present"))
+    turns = passes.join(present, "source").join(blocks, "source").withColumn("turn", F.xxhash64("mix", "repeat", "block", F.lit(seed)))
+    ordered = running_totals(turns, ["mix", "source", "repeat"], ["turn", "block"], {"upto": F.col("block_tokens"), "rank": F.lit(1)})
+    dealt = ordered.withColumns({"before": F.col("upto") - F.col("block_tokens"), "place": F.col("repeat") * F.col("n_present") + F.col("rank") - 1})
+    dealt = stored(dealt.where((F.col("repeat") < F.col("passes")) | (F.col("before") < F.col("part"))).select("mix", "source", "repeat", "passes", "part", "block", "block_tokens", "before", "place"), "dealt")
+
+    # the splitting tree: from blocks per source to stretches per source and shard
+    tokens = plan.groupBy("mix").agg(F.greatest(F.lit(1), F.ceil(F.sum("quota") / shard_tokens)).alias("n_shards"))
+    counts = dealt.groupBy("mix", "source").agg(F.count(F.lit(1)).alias("n_blocks")).join(tokens, "mix")
+    intervals = shards(counts, seed)
     places = intervals.select("mix", "source", "shard", F.explode(F.sequence("first", "last")).alias("place"))
     placed = dealt.join(places, ["mix", "source", "place"]).select("mix", "source", "block", "repeat", "shard", F.when((F.col("repeat") == F.col("passes")) & (F.col("before") + F.col("block_tokens") > F.col("part")), F.col("part") - F.col("before")).alias("room"))
 

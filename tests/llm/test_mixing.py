@@ -43,10 +43,36 @@ def test_report(data):
 
 def test_tree_adds_up():
     quotas = np.array([1000, 37, 1, 0])
-    for shards in (1, 2, 7):
-        leaves = M._split("m", quotas, shards, 1)
-        assert (leaves.sum(axis=0) == quotas).all() and (leaves >= 0).all()
-        assert leaves.sum(axis=1).max() - leaves.sum(axis=1).min() <= 4
+    for n in (1, 2, 7):
+        leaves = M.split("m", 0, n, np.zeros(4, np.int64), quotas, 60, 1)
+        counts, starts = np.array([x[3] for x in leaves]), np.array([x[2] for x in leaves])
+        assert [x[:2] for x in leaves] == [(i, i + 1) for i in range(n)]
+        assert (counts.sum(axis=0) == quotas).all() and (counts >= 0).all() and (starts == counts.cumsum(axis=0) - counts).all()
+        assert counts.sum(axis=1).max() - counts.sum(axis=1).min() <= 4
+
+
+def test_rounds_over_nodes_are_the_tree(spark):
+    rows = [("m", "a", 900, 300), ("m", "b", 70, 300), ("other", "a", 5, 1)]
+    counts = spark.createDataFrame(rows, "mix string, source string, n_blocks bigint, n_shards bigint")
+    got = {(r["mix"], r["source"], r["shard"]): (r["first"], r["last"]) for r in M.shards(counts, 3, levels=2).collect()}
+    leaves = M.split("m", 0, 300, np.zeros(2, np.int64), np.array([900, 70]), 60, 3)
+    want = {("m", "ab"[s], low): (int(starts[s]), int(starts[s] + n[s] - 1)) for low, _, starts, n in leaves for s in range(2) if n[s]}
+    assert got == want | {("other", "a", 0): (0, 4)}
+
+
+def test_many_shards(spark):
+    counts = spark.createDataFrame([("m", "a", 9_000_000, 100_000), ("m", "b", 1_000_003, 100_000), ("m", "c", 17, 100_000)], "mix string, source string, n_blocks bigint, n_shards bigint")
+    rows = M.shards(counts).persist()
+    blocks = F.col("last") - F.col("first") + 1
+    assert {r[0]: r[1] for r in rows.groupBy("source").agg(F.sum(blocks)).collect()} == {"a": 9_000_000, "b": 1_000_003, "c": 17}
+    per = rows.groupBy("shard").agg(F.sum(blocks).alias("n")).agg(F.count("n"), F.min("n"), F.max("n")).first()
+    assert per[0] == 100_000 and per[2] - per[1] <= 20
+
+
+def test_draws_from_more_items_than_the_generator_takes():
+    items = np.array([3 * 10**9, 10**6, 0, 2 * 10**9])
+    drawn = M.draw(np.random.default_rng(1), items, 10**9)
+    assert drawn.sum() == 10**9 and (drawn >= 0).all() and (drawn <= items).all() and abs(drawn[0] / 10**9 - 3 / 5.001) < 1e-3
 
 
 def test_sizes_and_empty(spark, data):
