@@ -2,19 +2,27 @@
 
 A mixture of competence and spamming: with probability competence an annotator gives the true label of an item, otherwise
 a label drawn from a guess distribution of their own. Expectation-maximisation finds the labels, the competences and the
-guess distributions together. Every step is a join or an aggregation over the votes; only the parameters, one row per
-annotator and label, go from one iteration to the next.
+guess distributions together, from several starts, until the competences stay the same. Every step is a join or an
+aggregation over the votes; only the parameters, one row per annotator and label, go from one round to the next.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from docmeter.functions.text import normalize_text
 from docmeter.operators.skew import tree_aggregate
 from docmeter.session import cut, stored, table
 
-ITERATIONS = 12
+#: First competences: all equal, by agreement with the majority, or by a hash of the annotator. After WARM rounds the start
+#: under which the votes are most likely goes on, for each kind of items.
+STARTS, WARM = ("equal", "majority", "hash"), 4
+#: Rounds end when no competence moves by more than this.
+TOLERANCE = 0.001
+#: Votes of an annotator for one label that meet its parameters in one place at most; more are spread.
+TOGETHER = 10_000
 #: Beta prior of competence: as many truthful and guessed votes are added to those of each annotator.
 PRIOR_TRUE, PRIOR_GUESS = 2.0, 1.0
 #: As many guesses by the common distribution are added to those of each annotator.
@@ -48,46 +56,76 @@ def _odds(competence: Column, guess: Column) -> Column:
 
 
 def _judged(votes: DataFrame, parameters: DataFrame) -> DataFrame:
-    """votes with competence, guess and the probability of their label being the true one of the item. The labels of an item
-    meet in windows over it: an item has at most as many votes as there are annotators."""
-    item, label = Window.partitionBy("kind", "item_id"), Window.partitionBy("kind", "item_id", "label")
-    scored = votes.join(parameters, ["kind", "annotator", "label"]).withColumn("odds", _odds(F.col("competence"), F.col("guess")))
+    """votes (times starts) with competence, guess, the probability of their label being the true one of the item, and their
+    part of the log likelihood. The labels of an item meet in windows over it: an item has at most as many votes as there are
+    annotators. Votes meet the parameters spread by salts, so that a busy annotator holds nothing up."""
+    keys = ["start", "kind", "item_id"]
+    item, label = Window.partitionBy(*keys), Window.partitionBy(*keys, "label")
+    spread = parameters.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1)))
+    scored = votes.join(spread, ["kind", "annotator", "label", "salt"]).withColumn("odds", _odds(F.col("competence"), F.col("guess"))).repartition(*keys)
     scored = scored.withColumns({"score": F.sum("odds").over(label), "n": F.count(F.lit(1)).over(label)})
-    e = F.exp(F.col("score") - F.max("score").over(item))
-    return scored.withColumn("e", e).withColumn("probability", F.col("e") / F.sum(F.col("e") / F.col("n")).over(item))
-
+    e, top = F.exp(F.col("score") - F.max("score").over(item)), F.max("score").over(item)
+    scored = scored.withColumns({"e": e, "top": top}).withColumn("all_e", F.sum(F.col("e") / F.col("n")).over(item))
+    likely = F.log((1 - F.col("competence")) * F.col("guess")) + (F.col("top") + F.log("all_e")) / F.count(F.lit(1)).over(item)
+    return scored.withColumns({"probability": F.col("e") / F.col("all_e"), "likely": likely})
 
-def fit(votes: DataFrame, iterations: int = ITERATIONS) -> tuple[DataFrame, DataFrame]:
-    """Labels (kind, item_id, label, n, probability) and parameters (kind, annotator, label, competence, guess, n_votes).
 
-    votes has kind, item_id, annotator and label, one row per item and annotator (see once()); each kind of items has its
-    own competences and guesses. A null label is a label of its own. An item with one vote keeps its label. Ties go to the
-    label with more votes, then to the smaller one (best()). No votes give no rows.
-    """
-    votes = stored(votes.withColumn("label", F.coalesce("label", F.lit("\0"))), "votes")
+def _first_parameters(votes: DataFrame, starts: Sequence[str]) -> DataFrame:
+    """start, kind, annotator, label, competence, guess, and what does not change: n_pair and n_votes (of the annotator for
+    the label and in all), common (the share of the label among all votes of the kind, what everyone guesses) and salts."""
     pairs = votes.groupBy("kind", "annotator", "label").agg(F.count(F.lit(1)).alias("n_pair"))
     shares = pairs.groupBy("kind", "label").agg(F.sum("n_pair").alias("n_label"))
     sizes = shares.groupBy("kind").agg(F.sum("n_label").alias("n_all"))
-    # what everyone guesses: the share of a label among all votes of the kind
     common = shares.join(sizes, "kind").select("kind", "label", (F.col("n_label") / F.col("n_all")).alias("common"))
-    own = pairs.groupBy("kind", "annotator").agg(F.sum("n_pair").alias("n_votes"))
-    pairs = stored(pairs.join(common, ["kind", "label"]).join(own, ["kind", "annotator"]), "pairs")
-    parameters = pairs.select("kind", "annotator", "label", "n_votes", F.lit(0.7).alias("competence"), F.col("common").alias("guess"))
-    for _ in range(iterations):
-        truth = F.col("probability") * F.col("competence") / (F.col("competence") + (1 - F.col("competence")) * F.col("guess"))
-        told = _judged(votes, parameters).groupBy("kind", "annotator", "label").agg(F.sum(truth).alias("true"))
-        by_annotator = told.join(pairs, ["kind", "annotator", "label"])
-        sums = told.groupBy("kind", "annotator").agg(F.sum("true").alias("all_true"))
-        guessed = F.col("n_votes") - F.col("all_true")
-        parameters = cut(
-            by_annotator.join(sums, ["kind", "annotator"]).select(
-                "kind", "annotator", "label", "n_votes",
-                ((F.col("all_true") + PRIOR_TRUE) / (F.col("n_votes") + PRIOR_TRUE + PRIOR_GUESS)).alias("competence"),
-                ((F.col("n_pair") - F.col("true") + SMOOTHING * F.col("common")) / (guessed + SMOOTHING)).alias("guess"),
-            )
+    labels = votes.groupBy("kind", "item_id", "label").agg(F.count(F.lit(1)).alias("n"))
+    modal = labels.groupBy("kind", "item_id").agg(F.min(F.struct((-F.col("n")).alias("n"), "label")).alias("b")).select("kind", "item_id", F.col("b.label").alias("modal"))
+    own = votes.join(modal, ["kind", "item_id"]).groupBy("kind", "annotator").agg(F.count(F.lit(1)).alias("n_votes"), F.avg((F.col("label") == F.col("modal")).cast("double")).alias("agreeing"))
+    first = {"equal": F.lit(0.7), "majority": F.least(F.lit(0.95), F.greatest(F.lit(0.2), F.col("agreeing"))), "hash": 0.4 + F.pmod(F.xxhash64("annotator"), F.lit(1000)) / 2000}
+    begun = F.explode(F.array(*[F.struct(F.lit(x).alias("start"), first[x].alias("competence")) for x in starts]))
+    return pairs.join(common, ["kind", "label"]).join(own, ["kind", "annotator"]).withColumn("s", begun).select(
+        "s.start", "kind", "annotator", "label", "s.competence", F.col("common").alias("guess"), "n_pair", "n_votes", "common", F.ceil(F.col("n_pair") / TOGETHER).alias("salts")
+    )
+
+
+def _round(votes: DataFrame, parameters: DataFrame) -> DataFrame:
+    """The parameters after one round, with was (the competence before) and likely (the votes' log likelihood before)."""
+    truth = F.col("probability") * F.col("competence") / (F.col("competence") + (1 - F.col("competence")) * F.col("guess"))
+    kept = [F.first(c).alias(c) for c in ("n_pair", "n_votes", "common", "salts")]
+    told = _judged(votes, parameters).groupBy("start", "kind", "annotator", "label").agg(F.sum(truth).alias("true"), F.sum("likely").alias("likely"), F.first("competence").alias("was"), *kept)
+    sums = told.groupBy("start", "kind", "annotator").agg(F.sum("true").alias("all_true"))
+    guessed = F.col("n_votes") - F.col("all_true")
+    return cut(
+        told.join(sums, ["start", "kind", "annotator"]).select(
+            "start", "kind", "annotator", "label",
+            ((F.col("all_true") + PRIOR_TRUE) / (F.col("n_votes") + PRIOR_TRUE + PRIOR_GUESS)).alias("competence"),
+            ((F.col("n_pair") - F.col("true") + SMOOTHING * F.col("common")) / (guessed + SMOOTHING)).alias("guess"),
+            "n_pair", "n_votes", "common", "salts", "was", "likely",
         )
+    )
+
+
+def fit(votes: DataFrame, starts: Sequence[str] = STARTS, rounds: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Labels (kind, item_id, label, n, probability) and parameters (kind, annotator, label, competence, guess, n_votes).
+
+    votes has kind, item_id, annotator and label, one row per item and annotator (see once()); each kind of items has its
+    own competences and guesses. rounds is for tests: without it, rounds go on until no competence moves by more than
+    TOLERANCE. A null label is a label of its own. An item with one vote keeps its label. Ties go to the label with more
+    votes, then to the smaller one (best()). No votes give no rows.
+    """
+    votes = stored(votes.withColumn("label", F.coalesce("label", F.lit("\0"))), "votes")
+    parameters = stored(_first_parameters(votes, starts), "parameters")
+    votes = votes.join(parameters.select("kind", "annotator", "label", "salts").distinct(), ["kind", "annotator", "label"])
+    votes = stored(votes.withColumn("salt", F.pmod(F.xxhash64("item_id"), F.col("salts"))).select("kind", "item_id", "annotator", "label", "salt"), "votes")
+    done = 0
+    while rounds is None or done < rounds:
+        parameters, done = _round(votes, parameters), done + 1
+        if done == WARM and len(starts) > 1:
+            likely = parameters.groupBy("kind", "start").agg(F.sum("likely").alias("likely"))
+            parameters = cut(parameters.join(likely.groupBy("kind").agg(F.max_by("start", F.struct("likely", "start")).alias("start")), ["kind", "start"]))
+        elif rounds is None and (done > WARM or len(starts) == 1) and (parameters.agg(F.max(F.abs(F.col("competence") - F.col("was")))).first()[0] or 0.0) <= TOLERANCE:
+            break
     labels = _judged(votes, parameters).groupBy("kind", "item_id", "label").agg(F.count(F.lit(1)).alias("n"), F.max("probability").alias("probability"))
-    return labels, parameters
+    return labels, parameters.drop("start", "n_pair", "common", "salts", "was", "likely")
 
 
 def best(labels: DataFrame) -> DataFrame:
@@ -96,11 +134,11 @@ def best(labels: DataFrame) -> DataFrame:
     return labels.groupBy("kind", "item_id").agg(F.min(order).alias("b")).select("kind", "item_id", F.when(F.col("b.label") != "\0", F.col("b.label")).alias("label"), (-F.col("b.p")).alias("probability"))
 
 
-def agreement(votes: DataFrame) -> DataFrame:
-    """item_id, n_votes and agreement: the share of pairs of votes of the item with equal labels (null for one vote)."""
-    n = votes.groupBy("item_id", "label").agg(F.count(F.lit(1)).alias("n"))
-    items = n.groupBy("item_id").agg(F.sum("n").alias("n_votes"), F.sum(F.col("n") * (F.col("n") - 1)).alias("equal"))
-    return items.select("item_id", "n_votes", F.when(F.col("n_votes") > 1, F.col("equal") / (F.col("n_votes") * (F.col("n_votes") - 1))).alias("agreement"))
+def agreement(votes: DataFrame, keys: Sequence[str] = ("item_id",)) -> DataFrame:
+    """keys, n_votes and agreement: the share of pairs of votes of the item with equal labels (null for one vote)."""
+    n = votes.groupBy(*keys, "label").agg(F.count(F.lit(1)).alias("n"))
+    items = n.groupBy(*keys).agg(F.sum("n").alias("n_votes"), F.sum(F.col("n") * (F.col("n") - 1)).alias("equal"))
+    return items.select(*keys, "n_votes", F.when(F.col("n_votes") > 1, F.col("equal") / (F.col("n_votes") * (F.col("n_votes") - 1))).alias("agreement"))
 
 
 def _letters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,9 +159,9 @@ def found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Consensus, its probability, the number of votes and their agreement for each item."""
+    """kind (letter or answer), consensus, its probability, the number of votes and their agreement for each item."""
     votes = _votes(spark, sf_dir)
-    return best(fit(votes)[0]).drop("kind").join(agreement(votes), "item_id")
+    return best(fit(votes)[0]).join(agreement(votes, ("kind", "item_id")), ["kind", "item_id"])
 
 
 def annotators(spark: SparkSession, sf_dir: str) -> DataFrame:

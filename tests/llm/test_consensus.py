@@ -20,7 +20,7 @@ def simulated(spark, seed=3):
 
 def test_recovers_truth_and_competence(spark):
     votes, truth = simulated(spark)
-    labels, parameters = C.fit(votes, 8)
+    labels, parameters = C.fit(votes)
     best = {r["item_id"]: r["label"] for r in C.best(labels).collect()}
     right = sum(best[k] == v for k, v in truth.items()) / len(truth)
     majority = votes.groupBy("item_id", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("item_id").agg(F.min(F.struct(-F.col("n"), "label")).alias("b")).select("item_id", "b.label")
@@ -53,7 +53,7 @@ def test_same_labels_as_plain_em(spark):
         total = {a: sum(t for (b, _), t in true.items() if b == a) for a in n}
         comp = {a: (total[a] + C.PRIOR_TRUE) / (n[a] + C.PRIOR_TRUE + C.PRIOR_GUESS) for a in n}
         guess = {(a, l): (pair[a, l] - true[a, l] + C.SMOOTHING * common[l]) / (n[a] - total[a] + C.SMOOTHING) for a, l in pair}
-    labels, parameters = C.fit(votes, 5)
+    labels, parameters = C.fit(votes, ["equal"], 5)
     for r in parameters.collect():
         assert r["competence"] == pytest.approx(comp[r["annotator"]], abs=1e-9) and r["guess"] == pytest.approx(guess[r["annotator"], r["label"]], abs=1e-9)
     p = posterior()
@@ -61,6 +61,28 @@ def test_same_labels_as_plain_em(spark):
         assert r["probability"] == pytest.approx(p[r["item_id"]][r["label"]], abs=1e-9)
 
 
+def test_rounds_end_where_nothing_moves(spark):
+    votes, _ = simulated(spark, 7)
+    votes = votes.limit(300)
+    _, parameters = C.fit(votes)
+    again = C._round(C.stored(votes.withColumn("salt", F.lit(0).cast("bigint")), "votes"), C._first_parameters(votes, ["equal"]).drop("competence", "guess").join(parameters.drop("n_votes"), ["kind", "annotator", "label"]))
+    assert again.agg(F.max(F.abs(F.col("competence") - F.col("was")))).first()[0] <= 2 * C.TOLERANCE
+
+
+def test_busy_annotators_are_spread(spark, monkeypatch):
+    votes, _ = simulated(spark, 9)
+    plain = {(r["item_id"], r["label"]): r["probability"] for r in C.fit(votes, ["equal"], 3)[0].collect()}
+    monkeypatch.setattr(C, "TOGETHER", 10)
+    assert C._first_parameters(votes, ["equal"]).agg(F.max("salts")).first()[0] > 3
+    for r in C.fit(votes, ["equal"], 3)[0].collect():
+        assert r["probability"] == pytest.approx(plain[r["item_id"], r["label"]], abs=1e-9)
+
+
+def test_an_id_of_both_kinds(spark):
+    votes = spark.createDataFrame([("letter", "q", "a", "A"), ("answer", "q", "b", "x"), ("answer", "q", "c", "x")], "kind string, item_id string, annotator string, label string")
+    assert sorted((r["kind"], r["n_votes"]) for r in C.agreement(votes, ("kind", "item_id")).collect()) == [("answer", 2), ("letter", 1)]
+
+
 def test_votes_are_read(spark):
     rows = [("q", "a", x) for x in ["A", "(b)", " C ", "D.", "E", "?", "", None]] + [(None, "a", "A"), ("q", None, "A")]
     letters = C.letter_votes(spark.createDataFrame([(*r, "extra") for r in rows], "question_id string, annotator string, predicted_letter_rescored string, label string"))
@@ -73,8 +95,8 @@ def test_ties_repeats_and_nulls(spark):
     once = C.once(spark.createDataFrame([("q", "a", "B"), ("q", "a", "A"), ("q", "b", "B"), ("q", "b", "B"), ("q", "b", "A"), (None, "a", "A"), ("q", None, "A")], "item_id string, annotator string, label string"))
     assert sorted(tuple(r) for r in once.collect()) == [("q", "a", "A"), ("q", "b", "B")]
     tie = spark.createDataFrame([("k", "q", "a", "B"), ("k", "q", "b", "A"), ("k", "r", "c", None)], "kind string, item_id string, annotator string, label string")
-    assert {r["item_id"]: r["label"] for r in C.best(C.fit(tie, 3)[0]).collect()} == {"q": "A", "r": None}
-    assert C.best(C.fit(tie.limit(0), 2)[0]).count() == 0
+    assert {r["item_id"]: r["label"] for r in C.best(C.fit(tie, rounds=3)[0]).collect()} == {"q": "A", "r": None}
+    assert C.best(C.fit(tie.limit(0))[0]).count() == 0
 
 
 def test_agreement(spark):
