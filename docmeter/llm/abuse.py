@@ -5,34 +5,41 @@ followed by a linear softmax; both are trained together in numpy, so that misspe
 words that were. A document is as abusive as its worst sentence: reviewers label documents, so in training the worst
 sentences of a document with the label 1 carry it, and every sentence of a document with the label 0 is sound.
 
-As the mean and the scores are linear, a trained model is one number per bucket of subwords. That array (8 bytes times
-2^BITS, whatever the corpus) goes to the tasks, which score all sentences of all documents.
+As the mean and the scores are linear, a trained model is one number per bucket of subwords. That array (4 bytes times
+2^BITS, whatever the corpus) goes to the tasks, which score all sentences of all documents. The threshold comes from
+labelled documents that were held out: each part of them is scored by a model of the other parts. The models are trained in
+tasks of their own, at the same time; only they and the held-out scores come back.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from docmeter.session import table
+from docmeter.session import stored, table
 
 BITS = 18
 DIMENSION = 12
 GRAMS = (3, 4, 5)
-#: Labelled documents used at most for training, drawn by hash; all documents are scored.
-LABELLED = 10_000
+#: Labelled documents, and characters of them, used at most for training, drawn by hash; all documents are scored.
+LABELLED, CHARACTERS = 10_000, 20_000_000
 EPOCHS, ROUNDS, BATCH, RATE = 4, 3, 256, 0.15
 #: Sentences of more words than LONG are read in stretches of STRETCH words, half of which overlap.
 LONG, STRETCH = 18, 14
 #: A document labelled 1 weighs so many times a sound sentence.
 POSITIVE = 3.0
+#: Empty subwords (zero vectors) that every sentence has besides its own: a fragment of a word or two says little.
+PAD = 24
+#: Parts of the labelled documents, each scored by a model of the others, from which the threshold is chosen.
+FOLDS = 3
 SEED = 20_260_616
 #: Sentences whose subwords are worked out together; bounds memory only.
 AT_A_TIME = 2_000
@@ -151,14 +158,14 @@ def _sums(values: np.ndarray, begins: np.ndarray) -> np.ndarray:
 @dataclass
 class Model:
     """weights: a number per bucket; bias and threshold. The score of a sentence is the logistic function of the mean
-    weight of its subwords plus bias."""
+    weight of its subwords and PAD empty ones, plus bias."""
 
     weights: np.ndarray
     bias: float
     threshold: float = 0.5
 
     def of_buckets(self, buckets: np.ndarray, begins: np.ndarray) -> np.ndarray:
-        mean = _sums(self.weights[buckets], begins) / np.maximum(1, np.diff(begins))
+        mean = _sums(self.weights[buckets], begins) / (PAD + np.diff(begins))
         return 1 / (1 + np.exp(-np.clip(mean + self.bias, -30, 30)))
 
     def score(self, texts: list[str]) -> np.ndarray:
@@ -185,13 +192,13 @@ class _Trainer:
             at = np.arange(ends[-1]) + np.repeat(begins[chunk] - (ends - n), n)
             own = buckets[at]
             owner = np.repeat(np.arange(len(chunk)), n)
-            mean = np.add.reduceat(self.vectors[own], ends - n, axis=0) / n[:, None]
+            mean = np.add.reduceat(self.vectors[own], ends - n, axis=0) / (PAD + n)[:, None]
             logits = mean @ self.output + self.bias
             e = np.exp(logits - logits.max(axis=1, keepdims=True))
             error = e / e.sum(axis=1, keepdims=True)
             error[np.arange(len(chunk)), targets[chunk]] -= 1
             error *= weights[chunk, None]
-            back = ((error @ self.output.T) / n[:, None]).astype(np.float32)
+            back = ((error @ self.output.T) / (PAD + n)[:, None]).astype(np.float32)
             step = mean.T @ error
             self.seen_output += step**2
             self.output -= rate * step / np.sqrt(self.seen_output)
@@ -210,12 +217,11 @@ class _Trainer:
         return Model((self.vectors @ (self.output[:, 1] - self.output[:, 0])).astype(np.float32), float(self.bias[1] - self.bias[0]))
 
 
-def train(texts: list[str], labels: list[int], seed: int = SEED) -> Model:
-    """A model of labelled documents (1: abusive). In each round the sentences of the documents labelled 1 are weighed by
-    how much of their document's score they carry under the model of the round before; at first all of them are, the
-    less the more sentences there are."""
+def learn(documents: list[list[str]], labels: list[int], seed: int = SEED) -> Model:
+    """A model of labelled documents (1: abusive), given by their sentences. In each round the sentences of the documents
+    labelled 1 are weighed by how much of their document's score they carry under the model of the round before; at first
+    all of them are, the less the more sentences there are."""
     rng = np.random.default_rng(seed)
-    documents = [sentences(t) for t in texts]
     counted = Counter(s for d, y in zip(documents, labels) if y == 0 for s in d)
     sound, times = list(counted), np.array(list(counted.values()), float)
     positive = [(i, s) for i, (d, y) in enumerate(zip(documents, labels)) if y == 1 for s in d]
@@ -242,38 +248,75 @@ def train(texts: list[str], labels: list[int], seed: int = SEED) -> Model:
         top = np.zeros(len(documents))
         np.maximum.at(top, owners, score)
         share = np.where(score >= 0.93 * top[owners], score, 0.01 * score) + 1e-4
-    model.threshold = _threshold(model, documents, labels)
     return model
 
 
-def _threshold(model: Model, documents: list[list[str]], labels: list[int]) -> float:
-    """The threshold of document scores with the best F1 over the labelled documents."""
-    flat = [s for d in documents for s in d]
-    owners = np.repeat(np.arange(len(documents)), [len(d) for d in documents])
+def worst(model: Model, documents: list[list[str]]) -> np.ndarray:
+    """The score of the worst sentence of each document, 0 without sentences."""
     top = np.zeros(len(documents))
-    np.maximum.at(top, owners, model.score(flat))
-    truth = np.array(labels)
-    best, chosen = -1.0, 0.5
-    for t in np.linspace(0.3, 0.97, 68):
-        said = top >= t
-        f1 = 2 * (said & (truth == 1)).sum() / max(1, said.sum() + (truth == 1).sum())
-        if f1 > best + 1e-9:
-            best, chosen = f1, float(t)
-    return chosen
-
-
-def labelled(documents: DataFrame, labels: DataFrame, most: int = LABELLED) -> DataFrame:
-    """text and toxic of at most `most` labelled documents, drawn by hash. Null labels are left out; a document with two
-    that disagree too."""
+    np.maximum.at(top, np.repeat(np.arange(len(documents)), [len(d) for d in documents]), model.score([s for d in documents for s in d]))
+    return top
+
+
+def best_threshold(scores: np.ndarray, truth: np.ndarray) -> float:
+    """The threshold of document scores with the best F1; of several about as good, the middle one."""
+    grid = np.linspace(0.3, 0.97, 68)
+    f1 = np.array([2 * ((scores >= t) & (truth == 1)).sum() / max(1, (scores >= t).sum() + (truth == 1).sum()) for t in grid])
+    near = grid[f1 >= f1.max() - 1e-3]
+    return float(near[len(near) // 2])
+
+
+def fold(text: str) -> int:
+    """The part that a labelled text belongs to; copies belong to the same."""
+    return zlib.crc32(text.encode("utf-8", "surrogatepass")) % FOLDS
+
+
+def held_out(texts: list[str], labels: list[int], part: int) -> tuple[Model, np.ndarray, np.ndarray]:
+    """A model of the texts outside a part (-1: of all), and the scores and labels of the texts inside."""
+    inside = np.array([fold(t) == part for t in texts], bool)
+    documents = [sentences(t) for t in texts]
+    model = learn([d for d, i in zip(documents, inside) if not i], [y for y, i in zip(labels, inside) if not i])
+    return model, worst(model, [d for d, i in zip(documents, inside) if i]), np.array(labels, int)[inside]
+
+
+def train(texts: list[str], labels: list[int]) -> Model:
+    """A model of all texts with the threshold from held-out parts, here and now (fit() does this in Spark tasks)."""
+    parts = [held_out(texts, labels, k) for k in range(FOLDS)]
+    model = held_out(texts, labels, -1)[0]
+    model.threshold = best_threshold(np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts]))
+    return model
+
+
+def labelled(documents: DataFrame, labels: DataFrame, most: int = LABELLED, characters: int = CHARACTERS) -> DataFrame:
+    """text and toxic of at most `most` labelled documents, drawn by hash, and no more than so many characters. Null labels
+    are left out; a document with two that disagree too."""
     one = labels.where(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("high")).where(F.col("toxic") == F.col("high")).drop("high")
-    drawn = one.orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(most)
-    return documents.select("doc_id", "text").join(drawn, "doc_id").where(F.col("text").isNotNull()).orderBy("doc_id").select("text", "toxic")
+    order = [F.xxhash64("doc_id", F.lit(SEED)), F.col("doc_id")]
+    drawn = one.orderBy(*order).limit(most)
+    texts = stored(documents.select("doc_id", "text").join(drawn, "doc_id").where(F.col("text").isNotNull()), "labelled")
+    upto = F.sum("n").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))  # over lengths of the drawn ones only
+    kept = texts.select("doc_id", F.length("text").alias("n")).withColumn("upto", upto).where(F.col("upto") <= characters).select("doc_id")
+    return texts.join(kept.distinct(), "doc_id").orderBy("doc_id").select("text", "toxic")
 
 
 def fit(documents: DataFrame, labels: DataFrame, most: int = LABELLED) -> Model:
-    """A model of the labelled documents, at most `most` of them (the only rows that leave the executors)."""
-    rows = labelled(documents, labels, most).toPandas()
-    return train(rows["text"].tolist(), rows["toxic"].astype(int).tolist())
+    """A model of the labelled documents, at most `most` of them: a task for each held-out part and one for the model."""
+    rows = labelled(documents, labels, most).withColumn("part", F.explode(F.array(*[F.lit(k) for k in range(-1, FOLDS)])))
+
+    def run(key: tuple[int], group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["text", "toxic"])
+        model, scores, truth = held_out(group["text"].tolist(), group["toxic"].astype(int).tolist(), key[0])
+        weights = model.weights.tobytes() if key[0] < 0 else b""
+        return pd.DataFrame({"part": [key[0]], "weights": [weights], "bias": [model.bias], "scores": [scores.tolist()], "truth": [truth.tolist()]})
+
+    # as many partitions as models, and one in each, as a range has no collisions
+    models = rows.repartitionByRange(FOLDS + 1, "part").groupBy("part").applyInPandas(run, "part int, weights binary, bias double, scores array<double>, truth array<int>").collect()
+    whole = next((m for m in models if m["part"] < 0), None)
+    if whole is None:
+        return learn([], [])
+    parts = [m for m in models if m["part"] >= 0]
+    threshold = best_threshold(np.concatenate([m["scores"] for m in parts]), np.concatenate([m["truth"] for m in parts]))
+    return Model(np.frombuffer(whole["weights"], np.float32), whole["bias"], threshold)
 
 
 def score(documents: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -302,9 +345,16 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents", "doc_id", "text", "source")
 
 
+_fitted: dict[tuple[str, ...], Model] = {}
+
+
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = _documents(spark, sf_dir)
-    return score(documents, fit(documents, table(spark, sf_dir, "content_labels", "doc_id", "toxic")))
+    """The scores of all documents; the queries of one application train one model per set of label files."""
+    documents, labels = _documents(spark, sf_dir), table(spark, sf_dir, "content_labels", "doc_id", "toxic")
+    known = (spark.sparkContext.applicationId, *sorted(labels.inputFiles()))
+    if known not in _fitted:
+        _fitted[known] = fit(documents, labels)
+    return score(documents, _fitted[known])
 
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:

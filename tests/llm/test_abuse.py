@@ -44,7 +44,7 @@ def test_model_is_linear():
     buckets, begins = A.features(text)
     weights = np.zeros(1 << A.BITS, np.float32)
     weights[buckets[0]] = 5
-    assert A.Model(weights, 0.0).score(text)[0] == pytest.approx(1 / (1 + np.exp(-5 * (buckets == buckets[0]).sum() / len(buckets))), rel=1e-5)
+    assert A.Model(weights, 0.0).score(text)[0] == pytest.approx(1 / (1 + np.exp(-5 * (buckets == buckets[0]).sum() / (A.PAD + len(buckets)))), rel=1e-5)
     alone = [A.features([t])[0].tolist() for t in ("a bc", "def")]
     both, at = A.features(["a bc", "def"])
     assert [sorted(both[at[i] : at[i + 1]].tolist()) for i in range(2)] == [sorted(x) for x in alone]
@@ -58,6 +58,24 @@ def test_spark_scores(spark, model):
     assert A.score(df.limit(0), model).count() == 0
 
 
+def test_fit_in_tasks_is_train(spark):
+    texts, labels = corpus(90, 4)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    marks = spark.createDataFrame([(i, y) for i, y in enumerate(labels)], "doc_id bigint, toxic int")
+    model, again = A.fit(docs, marks), A.train(*zip(*sorted(zip(texts, labels))))
+    assert model.threshold == again.threshold and model.bias == pytest.approx(again.bias) and np.allclose(model.weights, again.weights)
+
+
+def test_bounds_of_training(spark):
+    docs = spark.createDataFrame([(i, "x" * 100) for i in range(50)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(50)], "doc_id bigint, toxic int")
+    assert A.labelled(docs, labels, 20).count() == 20 and A.labelled(docs, labels, 20, 1000).count() == 10
+
+
+def test_threshold_is_the_middle_of_the_best():
+    assert 0.45 < A.best_threshold(np.array([0.1, 0.2, 0.8, 0.9]), np.array([0, 0, 1, 1])) < 0.65
+
+
 def test_fit_leaves_out_nulls_and_conflicts(spark):
     docs = spark.createDataFrame([(1, "x"), (2, "y"), (3, None), (4, "z")], "doc_id bigint, text string")
     labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (2, 1), (3, 1), (4, None)], "doc_id bigint, toxic int")
