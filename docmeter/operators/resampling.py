@@ -6,8 +6,14 @@ per cluster before they meet the draws: a resample then costs one row per cluste
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from docmeter.session import spread
+
 
 def hash_draw(*parts: Column) -> Column:
     """An integer from 0 to 2^32 - 1 that depends on the parts only."""
@@ -23,8 +29,9 @@ def indexed(clusters: DataFrame, by: str, key: str) -> DataFrame:
 
 def draws(spark: SparkSession, sizes: DataFrame, by: str, resamples: int) -> DataFrame:
     """by, r, i and times: how often each resample draws each cluster. sizes has by and n; n clusters are drawn with
-    replacement."""
-    slots = sizes.select(by, "n", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("r")).select(by, "n", "r", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("slot"))
+    replacement. The resamples are dealt to tasks before their slots are drawn."""
+    rounds = spread(sizes.select(by, "n", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("r")), by, "r")
+    slots = rounds.select(by, "n", "r", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("slot"))
     drawn = slots.select(by, "r", (hash_draw(F.col(by), F.col("r"), F.col("slot")) % F.col("n")).alias("i"))
     return drawn.groupBy(by, "r", "i").agg(F.count(F.lit(1)).alias("times"))
 
@@ -44,3 +51,54 @@ def concordance(ranks: DataFrame, rater: str, item: str, rank: str) -> DataFrame
     counts = both.groupBy(F.col(f"p.{rater}").alias("a"), F.col(f"q.{rater}").alias("b")).agg(same.alias("n_concordant"), other.alias("n_discordant"))
     total = F.col("n_concordant") + F.col("n_discordant")
     return counts.withColumn("tau", F.when(total > 0, (F.col("n_concordant") - F.col("n_discordant")) / total).otherwise(0.0))
+
+
+def pair_signs(scores: Column, n: int) -> Column:
+    """Of n scores of items in a fixed order, for each pair of items: -1 if the earlier ranks before the later (a tie does),
+    else 1."""
+    return F.array(*[F.when(F.get(scores, F.lit(i)) >= F.get(scores, F.lit(j)), -1).otherwise(1) for i in range(n) for j in range(i + 1, n)])
+
+
+def median_tau(signs: Column) -> Column:
+    """The median tau over the pairs of raters, whose pair_signs() an array holds; null for fewer than two raters."""
+    tau = lambda p, q: F.aggregate(F.zip_with(p, q, lambda x, y: x * y), F.lit(0), lambda s, x: s + x) / F.size(p)
+    taus = F.array_sort(F.flatten(F.transform(signs, lambda p, i: F.transform(F.slice(signs, i + 2, F.size(signs)), lambda q: tau(p, q)))))
+    middle = lambda a: (F.get(a, F.floor((F.size(a) - 1) / 2).cast("int")) + F.get(a, F.floor(F.size(a) / 2).cast("int"))) / 2
+    return F.round(middle(taus), 9)
+
+
+def simulated_tests(sims: DataFrame, n_items: int, tau: float, permutations: int, seed: int) -> DataFrame:
+    """sim, tau and p of simulated permutation tests; sims has sim and n_raters.
+
+    Each rater keeps the order of every pair of items with probability (1 + tau) / 2, and ranks the items by the pairs they
+    win, ties in the order of items. p is the share of permutations within raters, the observed one counted too, whose median
+    tau between raters is at least the observed one. Numbers come from (seed, sim); with fewer than two raters there is no
+    row.
+    """
+    first, second = np.triu_indices(n_items, 1)
+
+    def medians(ranks: np.ndarray) -> np.ndarray:
+        """ranks: tests x raters x items."""
+        signs = np.where(ranks[:, :, first] < ranks[:, :, second], -1, 1).astype(np.float32)
+        a, b = np.triu_indices(ranks.shape[1], 1)
+        return np.round(np.median((signs @ signs.transpose(0, 2, 1))[:, a, b] / len(first), axis=1), 9)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for sim, raters in zip(batch["sim"], batch["n_raters"]):
+                if raters < 2:
+                    continue
+                rng = np.random.default_rng([seed, int(sim)])
+                keep = rng.random((raters, len(first))) < (1 + tau) / 2
+                wins = np.zeros((raters, n_items))
+                for pair, (i, j) in enumerate(zip(first, second)):
+                    wins[:, i] += keep[:, pair]
+                    wins[:, j] += ~keep[:, pair]
+                ranks = np.argsort(np.argsort(-wins, axis=1, kind="stable"), axis=1)
+                observed = medians(ranks[None])[0]
+                dealt = np.argsort(rng.random((permutations, raters, n_items)), axis=2)
+                rows.append((sim, float(observed), float(((medians(dealt) >= observed).sum() + 1) / (permutations + 1))))
+            yield pd.DataFrame(rows, columns=["sim", "tau", "p"])
+
+    return spread(sims.select("sim", "n_raters")).mapInPandas(run, "sim bigint, tau double, p double")

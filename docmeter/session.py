@@ -46,6 +46,13 @@ def shared_dir(spark: SparkSession) -> str:
 _set_here: dict[str, str] = {}
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt by hash of keys (by turns without any) to a given number of partitions, for rows that are much work however
+    few bytes they are: adaptive execution leaves a stated number as it is."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism), *keys)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df with its lineage cut by a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)

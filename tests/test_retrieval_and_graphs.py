@@ -74,3 +74,40 @@ def test_resampled_means_match_numpy(spark):
         assert sum(t.values()) == len(places)
         w = np.array([t.get(c, 0) for _, c, _ in data])
         assert means[r] == pytest.approx((w * np.array([m for *_, m in data])).sum() / w.sum())
+
+
+def test_signs_and_median_tau(spark):
+    df = spark.createDataFrame([([[3.0, 2.0, 1.0], [3.0, 2.0, 1.0], [1.0, 2.0, 3.0], [3.0, 1.0, 1.0]],)], "scores array<array<double>>")
+    signs = F.transform("scores", lambda s: resampling.pair_signs(s, 3))
+    row = df.select(signs.alias("s"), resampling.median_tau(signs).alias("m"), resampling.median_tau(F.slice(signs, 1, 1)).alias("one")).first()
+    assert row["s"] == [[-1, -1, -1], [-1, -1, -1], [1, 1, 1], [-1, -1, -1]] and row["m"] == 0.0 and row["one"] is None
+
+
+def test_simulated_tests_against_plain_loops(spark):
+    from itertools import combinations
+    from statistics import median
+
+    import numpy as np
+
+    def plain(sim, raters, items, tau, permutations, seed):
+        rng, pairs = np.random.default_rng([seed, sim]), list(combinations(range(items), 2))
+        kept = rng.random((raters, len(pairs))) < (1 + tau) / 2
+        orders = []
+        for r in range(raters):
+            wins = [0] * items
+            for (i, j), k in zip(pairs, kept[r]):
+                wins[i if k else j] += 1
+            orders.append(sorted(range(items), key=lambda x: (-wins[x], x)))
+
+        def mid(ranks):
+            return round(median(sum(1 if (a[i] < a[j]) == (b[i] < b[j]) else -1 for i, j in pairs) / len(pairs) for a, b in combinations(ranks, 2)), 9)
+
+        observed = mid([[o.index(i) for i in range(items)] for o in orders])
+        dealt = np.argsort(rng.random((permutations, raters, items)), axis=2)
+        return observed, (sum(mid(d.tolist()) >= observed for d in dealt) + 1) / (permutations + 1)
+
+    sims = spark.createDataFrame([(0, 5), (1, 5), (2, 3), (3, 1)], "sim bigint, n_raters bigint")
+    got = {r["sim"]: (r["tau"], r["p"]) for r in resampling.simulated_tests(sims, 4, 0.5, 40, 9).collect()}
+    assert got == {sim: pytest.approx(plain(sim, n, 4, 0.5, 40, 9)) for sim, n in ((0, 5), (1, 5), (2, 3))}
+    sure = resampling.simulated_tests(spark.range(20).select(F.col("id").alias("sim"), F.lit(12).alias("n_raters")), 4, 1.0, 60, 1)
+    assert sure.where("p < 0.05 AND tau = 1").count() == 20
