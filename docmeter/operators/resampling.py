@@ -12,7 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from docmeter.session import spread
+from docmeter.session import bounded, spread
 
 
 def hash_draw(*parts: Column) -> Column:
@@ -28,18 +28,19 @@ def indexed(clusters: DataFrame, by: str, key: str) -> DataFrame:
 
 
 def draws(spark: SparkSession, sizes: DataFrame, by: str, resamples: int) -> DataFrame:
-    """by, r, i and times: how often each resample draws each cluster. sizes has by and n; n clusters are drawn with
-    replacement. The resamples are dealt to tasks before their slots are drawn."""
+    """by, r and i: the cluster in each of the n slots of each resample. sizes has by and n; clusters are drawn with
+    replacement. The resamples are dealt to tasks before their slots are drawn, so that what is summed per resample needs no
+    further shuffle of the draws."""
     rounds = spread(sizes.select(by, "n", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("r")), by, "r")
     slots = rounds.select(by, "n", "r", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("slot"))
-    drawn = slots.select(by, "r", (hash_draw(F.col(by), F.col("r"), F.col("slot")) % F.col("n")).alias("i"))
-    return drawn.groupBy(by, "r", "i").agg(F.count(F.lit(1)).alias("times"))
+    return slots.select(by, "r", (hash_draw(F.col(by), F.col("r"), F.col("slot")) % F.col("n")).alias("i"))
 
 
 def resampled_means(sums: DataFrame, drawn: DataFrame, index: DataFrame, by: str, cluster: str, *groups: str) -> DataFrame:
     """by, groups, r and mean of each resample; sums has by, cluster, groups, s (sum) and c (count) per cluster."""
-    weighed = sums.join(index.select(by, cluster, "i"), [by, cluster]).join(drawn, [by, "i"])
-    return weighed.groupBy(by, *groups, "r").agg((F.sum(F.col("times") * F.col("s")) / F.nullif(F.sum(F.col("times") * F.col("c")), F.lit(0))).alias("mean"))
+    placed = sums.join(index.select(by, cluster, "i"), [by, cluster]).drop(cluster)
+    weighed = drawn.join(bounded(placed), [by, "i"])  # a row per cluster and group: mostly small enough for the draws to stay where they are
+    return weighed.groupBy(by, *groups, "r").agg((F.sum("s") / F.nullif(F.sum("c"), F.lit(0))).alias("mean"))
 
 
 def concordance(ranks: DataFrame, rater: str, item: str, rank: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from docmeter.operators.resampling import concordance, draws, hash_draw, indexed, median_tau, pair_signs, resampled_means, simulated_tests
 from docmeter.functions.metrics import rounded
-from docmeter.session import spread, table
+from docmeter.session import bounded, spread, table
 
 RESAMPLES = PERMUTATIONS = 10_000
 #: Of the power estimate: simulations, permutations in each, the tau that is simulated, and the level of the test.
@@ -96,7 +96,7 @@ def median_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     taus = kendall_pairs(spark, sf_dir).select(F.lit("all").alias("g"), F.concat_ws("|", "a", "b").alias("pair"), "tau")
     index = indexed(taus, "g", "pair")
     drawn = draws(spark, index.select("g", "n").distinct(), "g", RESAMPLES)
-    rows = taus.join(index, ["g", "pair"]).join(drawn, ["g", "i"]).select("r", "tau", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("copy"))
+    rows = drawn.join(bounded(taus.join(index, ["g", "pair"]).select("g", "i", "tau")), ["g", "i"]).select("r", "tau")
     medians = rows.groupBy("r").agg(F.median("tau").alias("m"))
     ordered = F.array_sort(F.collect_list("m"))
     at = [rounded(F.element_at(ordered, F.lit(1) + F.floor(F.lit(q) * F.size(ordered)).cast("int"))) for q in (0.025, 0.975)]
