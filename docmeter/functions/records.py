@@ -7,8 +7,8 @@ from pyspark.sql import Column, functions as F
 # Control tags that a broken model output shows.
 CONTROL_TAGS = ["<thinking>", "</thinking>", "<reasoning>", "</reasoning>", "<scratchpad>"]
 
-# Names of models that reason before they answer.
-REASONING = r"deepseek-v4-pro|deepseek-v4-flash|deepseek-r1|(?<!non)-reasoning|grok-4\.3"
+# How an option begins, or what it holds, that says that something is not there.
+ABSENT_BEGINNING, ABSENT = "no", ["never", "does not appear"]
 
 
 def filled(text: Column) -> Column:
@@ -62,7 +62,7 @@ def rendered_options(options: Column) -> Column:
 def absent_letters(options: Column) -> Column:
     """Letters of options that say that something is not there."""
     low = lambda v: F.lower(F.trim(v))
-    return F.array_sort(F.map_keys(F.map_filter(options, lambda k, v: low(v).startswith("no") | F.contains(low(v), F.lit("never")) | F.contains(low(v), F.lit("does not appear")))))
+    return F.array_sort(F.map_keys(F.map_filter(options, lambda k, v: low(v).startswith(ABSENT_BEGINNING) | F.exists(F.array(*[F.lit(x) for x in ABSENT]), lambda x: F.contains(low(v), x)))))
 
 
 def options_literal(text: Column) -> Column:
@@ -107,8 +107,3 @@ def config_key(inputs: Column, length: int = 16) -> Column:
 def shortened(text: Column, n: int) -> Column:
     """At most n characters, the last one an ellipsis if some are cut."""
     return F.when(F.length(text) > n, F.concat(F.substring(text, 1, n - 1), F.lit("…"))).otherwise(text)
-
-
-def reasoning_model(model: Column) -> Column:
-    """Whether the name of a model says that it reasons before it answers."""
-    return F.lower(model).rlike(REASONING)

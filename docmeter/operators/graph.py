@@ -7,24 +7,23 @@ from pyspark.sql import DataFrame, functions as F
 from docmeter.session import cut
 
 
-def connected_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """graph_id, name and component (the smallest name reached) of each node of edges (graph_id, a, b).
 
-    Every round points each node at the smallest label of its neighbours and then at that label's own label, so that the
-    rounds grow with the logarithm of the longest path. Self loops and repeated edges change nothing; no edges, no rows.
+    Every round points each node at the smallest label of its neighbours and then at that label's own label, until no label
+    changes; labels only get smaller, so that comes to pass. Self loops and repeated edges change nothing; no edges, no rows.
     """
     links = edges.where(F.col("a").isNotNull() & F.col("b").isNotNull())
     both = cut(links.select("graph_id", "a", "b").union(links.select("graph_id", "b", "a")).distinct())
     labels = cut(both.groupBy("graph_id", F.col("a").alias("name")).agg(F.least(F.min("b"), F.col("a")).alias("component")))
-    for _ in range(rounds):
+    done = False
+    while not done:
         heard = both.join(labels.select("graph_id", F.col("name").alias("b"), "component"), ["graph_id", "b"]).groupBy("graph_id", F.col("a").alias("name")).agg(F.min("component").alias("heard"))
         nearer = labels.join(heard, ["graph_id", "name"]).select("graph_id", "name", F.col("component").alias("was"), F.least("component", "heard").alias("component"))
         shortcut = labels.select("graph_id", F.col("name").alias("component"), F.col("component").alias("further"))
         following = cut(nearer.join(shortcut, ["graph_id", "component"], "left").select("graph_id", "name", "was", F.least("component", F.coalesce("further", "component")).alias("component")))
         done = following.where(F.col("was") != F.col("component")).isEmpty()
         labels = following.drop("was")
-        if done:
-            break
     return labels
 
 

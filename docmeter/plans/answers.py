@@ -193,15 +193,11 @@ _HEDGES = "[" + ", ".join(f"'{h}'" for h in T.HEDGES) + "]"
 _SETS = f"list_distinct(list_filter(list_transform(X, lambda s: {_norm('s')}), lambda s: s <> ''))"
 
 
-def _form(pattern: str) -> str:
-    return f"nullif(regexp_extract(t, '{pattern}', 1), '')"
-
-
 SQL = {
     "normalized_answers": f"SELECT result_id, {_norm('predicted_answer')} AS answer FROM {_ANSWERS}",
     "answer_lengths": f"""SELECT architecture, CAST(sum(len({_toks('predicted_answer')})) AS BIGINT) AS n_tokens, CAST(sum(greatest(1, length(predicted_answer) // 4)) AS BIGINT) AS approx_tokens,
         CAST(sum(length(predicted_answer)) AS BIGINT) AS n_chars FROM {_ANSWERS} WHERE predicted_answer IS NOT NULL GROUP BY architecture""",
-    "title_keys": """SELECT paper_id, regexp_replace(translate(lower(title), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^a-z0-9]', '', 'g') AS title_key,
+    "title_keys": """SELECT paper_id, regexp_replace(translate(lower(title), 'àáâãäåāăąçćĉčďèéêëēĕęěĝğĥìíîïĩīĭįĵķĺļľñńņňòóôõöōŏőŕŗřśŝşšţťùúûüũūŭůűųŵýÿŷźżž', 'aaaaaaaaaccccdeeeeeeeegghiiiiiiiijklllnnnnoooooooorrrssssttuuuuuuuuuuwyyyzzz'), '[^a-z0-9]', '', 'g') AS title_key,
         coalesce(nullif(trim(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '-'), ''), 'x') AS slug, substr(sha256(title), 1, 12) AS digest FROM papers""",
     "call_keys": """SELECT substr(sha256(concat_ws(chr(31), model, coalesce(stage, ''), coalesce(prompt_hash, ''))), 1, 16) AS key, count(*) AS n_calls
         FROM (SELECT DISTINCT call_id, model, stage, prompt_hash FROM ledger) GROUP BY key HAVING count(*) > 1""",
@@ -220,8 +216,15 @@ SQL = {
         h AS (SELECT o.paper_id, o.sentence, bool_or(contains(' ' || d.t || ' ', ' ' || o.sentence || ' ')) AS held, bool_or(len(o.w) >= 6 AND len(list_intersect(o.w, d.w)) / len(o.w) >= 0.85) AS near
             FROM o JOIN d ON o.paper_id = d.paper_id GROUP BY ALL)
         SELECT architecture, count(*) AS n_sentences, count(*) FILTER (held) AS n_held, count(*) FILTER (held OR near) AS n_hits FROM s LEFT JOIN h USING (paper_id, sentence) GROUP BY architecture""",
-    "choice_letters": f"""SELECT result_id, upper(coalesce({', '.join(_form(p) for p in T.LETTER_FORMS)})) AS letter
-        FROM (SELECT result_id, regexp_replace(trim(predicted_answer, ' '), '^(?i:answer)\\s*:?\\s*', '') AS t FROM {_ANSWERS} WHERE dataset = 'novelqa')""",
+    "choice_letters": f"""WITH p AS (SELECT result_id, regexp_extract_all(regexp_replace(predicted_answer, '^\\s+|\\s+$', '', 'g'), '[\\pL\\pN'']+|\\n|[^\\s\\pL\\pN]') AS p FROM {_ANSWERS} WHERE dataset = 'novelqa'),
+        w AS (SELECT result_id, i, p[i] AS x, p[i + 1] AS y, p[i + 2] AS z, p[i + 3] AS u, len(p) AS n FROM (SELECT result_id, p, unnest(range(1, len(p) + 1)) AS i FROM p)),
+        c AS (SELECT result_id, CASE
+            WHEN i = 1 AND x = '(' AND y BETWEEN 'A' AND 'Z' AND length(y) = 1 AND z = ')' AND n <= 4 THEN 1
+            WHEN i = 1 AND x BETWEEN 'A' AND 'Z' AND length(x) = 1 AND (n = 1 OR y IN ('.', ':', ')', chr(10)) OR n = 2 AND y IN ('!', '?')) THEN 2
+            WHEN lower(x) IN ('option', 'answer', 'choice') AND regexp_full_match(CASE WHEN lower(y) IN ('is', ':') THEN z ELSE y END, '[A-Za-z]') THEN 3
+            WHEN x = '(' AND (regexp_full_match(y, '[A-Za-z]') AND z = ')' OR lower(y) = 'option' AND regexp_full_match(z, '[A-Za-z]') AND u = ')') THEN 4 END AS kind, i,
+            CASE WHEN i = 1 AND n <= 4 AND x = '(' AND z = ')' THEN y WHEN x = '(' AND lower(y) = 'option' THEN z WHEN x = '(' THEN y WHEN length(x) = 1 THEN x WHEN lower(y) IN ('is', ':') THEN z ELSE y END AS letter FROM w)
+        SELECT result_id, upper(letter) AS letter FROM p LEFT JOIN (SELECT result_id, arg_min(letter, kind * 100000 + i) AS letter FROM c WHERE kind IS NOT NULL GROUP BY result_id) USING (result_id)""",
     "choice_accuracy": """WITH v AS (SELECT question_id, upper(regexp_extract(predicted_letter_rescored, '([A-Da-d])', 1)) AS letter FROM (SELECT DISTINCT question_id, annotator, predicted_letter_rescored FROM letter_votes)),
         m AS (SELECT question_id, letter AS gold FROM (SELECT question_id, letter, count(*) AS n FROM v WHERE letter <> '' GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY n DESC, letter) = 1)
         SELECT arch, count(*) AS n_rows, round(avg(CASE WHEN upper(trim(predicted_letter)) = gold THEN 1.0 ELSE 0.0 END) + 1e-9, 6) AS accuracy

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 
@@ -32,18 +34,51 @@ def json_lines_resumable(spark: SparkSession, path: str, schema: str) -> DataFra
 
 
 def glued_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Objects of files that may hold several on one line; pieces that are no object come out with malformed = true."""
+    """Objects of files that may hold several on one line; pieces that are no object come out with malformed = true.
+
+    Strings are matched as wholes, so that braces in them end nothing: an object ends where as many braces have closed as
+    were opened before and another begins, or its line ends."""
     lines = spark.read.text(path).where(F.trim("value") != "")
-    pieces = lines.select(F.explode(F.split("value", r"(?<=\})\s*(?=\{\s*\")")).alias("piece"))
+    marks = F.regexp_extract_all("value", F.lit(r'("(?:[^"\\]|\\.)*"?|[{}]|[^{}"]+)'), F.lit(1))
+    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("open"), F.array().cast("array<string>").alias("done"))
+
+    def step(state: Column, mark: Column) -> Column:
+        depth = state["depth"] + F.when(mark == "{", 1).when((mark == "}") & (state["depth"] > 0), -1).otherwise(0)
+        text = F.concat(state["open"], mark)
+        ended = (depth == 0) & (mark == "}")
+        return F.struct(depth.alias("depth"), F.when(ended, F.lit("")).otherwise(text).alias("open"), F.when(ended, F.concat(state["done"], F.array(text))).otherwise(state["done"]).alias("done"))
+
+    split = F.aggregate(marks, start, step, lambda s: F.filter(F.concat(s["done"], F.array(s["open"])), lambda x: F.trim(x) != ""))
+    pieces = lines.select(F.explode(split).alias("piece"))
     parsed = pieces.withColumn("row", F.from_json("piece", T._parse_datatype_string(schema).add("_bad", "string"), {"columnNameOfCorruptRecord": "_bad", "mode": "PERMISSIVE"}))
     return parsed.select("row.*", F.col("row._bad").isNotNull().alias("malformed")).drop("_bad")
 
 
 def tail(rows: DataFrame, column: str, after: int) -> DataFrame:
-    """Rows beyond a mark that was saved: the batch form of reading on where one stopped (see streaming for the other)."""
+    """Rows beyond a mark that was saved."""
     return rows.where(F.col(column) > after)
 
 
+def appended(spark: SparkSession, path: str, schema: str, saved: str) -> DataFrame:
+    """Rows of the files of JSON lines that came under path since the last call with the same folder `saved`, which holds the
+    files read so far; a file that a lost job had begun is read again as a whole. Its rows are kept under `saved` too."""
+    stream = spark.readStream.schema(schema).json(path)
+    target = f"{saved}/batch-{uuid.uuid4().hex}"
+    query = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{saved}/offsets").foreachBatch(lambda batch, _: batch.write.mode("append").parquet(target)).start()
+    query.awaitTermination()
+    try:
+        return spark.read.schema(schema).parquet(target)
+    except Exception as error:  # nothing new
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def since(rows: DataFrame, time: Column, floor: str) -> DataFrame:
+    """Rows whose time is the floor (an ISO date or time) or later; those without a time are left out."""
+    return rows.where(time >= F.to_timestamp(F.lit(floor)))
+
+
 def whole_files(spark: SparkSession, path: str) -> DataFrame:
     """name (without folder and ending) and text of each file."""
     name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(?:\.[^./]*)?$", 1)
@@ -60,8 +95,8 @@ def log_ids(spark: SparkSession, path: str, pattern: str, first: bool = False) -
 
 def truth_maps(text: Column) -> Column:
     """Pairs of key and T/F string in a log text, as an array of structs: small letters in the key, T and F only."""
-    found = F.regexp_extract_all(text, F.lit(r'"([a-z]+)": "([TF]+)"'), F.lit(1))
-    values = F.regexp_extract_all(text, F.lit(r'"([a-z]+)": "([TF]+)"'), F.lit(2))
+    found = F.regexp_extract_all(text, F.lit(r'"([a-z]+)":\s*"([TF]+)"'), F.lit(1))
+    values = F.regexp_extract_all(text, F.lit(r'"([a-z]+)":\s*"([TF]+)"'), F.lit(2))
     return F.arrays_zip(found.alias("key"), values.alias("letters"))
 
 

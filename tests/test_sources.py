@@ -37,6 +37,66 @@ def test_glued(spark, tmp_path):
     assert sorted(r["a"] for r in rows if not r["malformed"]) == [1, 2, 4] and sum(r["malformed"] for r in rows) == 1
 
 
+def test_glued_with_braces_in_strings(spark, tmp_path):
+    path = write(tmp_path / "x.jsonl", '{"a": 1, "b": "x}{\\"y"}{"a": 2, "b": "{"}  {"a": 3}')
+    assert sorted((r["a"], r["b"], r["malformed"]) for r in R.glued_json(spark, path, SCHEMA).collect()) == [(1, 'x}{"y', False), (2, "{", False), (3, None, False)]
+
+
+def test_appended_files_are_read_once(spark, tmp_path):
+    source, saved = tmp_path / "in", str(tmp_path / "saved")
+    source.mkdir()
+    write(source / "a.json", '{"a": 1}')
+    assert [r["a"] for r in R.appended(spark, str(source), SCHEMA, saved).collect()] == [1]
+    write(source / "b.json", '{"a": 2}')
+    assert [r["a"] for r in R.appended(spark, str(source), SCHEMA, saved).collect()] == [2]
+    assert R.appended(spark, str(source), SCHEMA, saved).count() == 0
+
+
+def test_date_floor(spark):
+    rows = spark.createDataFrame([("2026-01-01",), ("2026-02-01",), (None,)], "t string")
+    assert R.since(rows, F.to_timestamp("t"), "2026-01-15").count() == 1
+
+
+def test_replace_is_all_or_nothing(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    assert W.current(spark, path) is None
+    W.replace(spark.createDataFrame([(1, "old")], "k int, v string"), path)
+    new = spark.createDataFrame([(1, "new"), (2, "new")], "k int, v string")
+    with monkeypatch.context() as m:  # a crash between the write and the switch
+        m.setattr(W, "_point", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError):
+            W.replace(new, path)
+    assert [r["v"] for r in W.current(spark, path).collect()] == ["old"]
+    W.replace(new, path)
+    assert W.current(spark, path).count() == 2
+    W.upsert(spark.createDataFrame([(2, "newer"), (3, "x")], "k int, v string"), path, ["k"])
+    assert sorted(tuple(r) for r in W.current(spark, path).collect()) == [(1, "new"), (2, "newer"), (3, "x")]
+
+
+def test_calls_are_stored_and_found(spark, tmp_path):
+    path, parts = str(tmp_path / "calls"), ["model", "prompt"]
+    wanted = spark.createDataFrame([("m", "p"), ("m", None), ("n", "p")], "model string, prompt string")
+    assert W.get_calls(wanted, path, parts).where("response IS NULL").count() == 3
+    answered = spark.createDataFrame([("m", "p", "one"), ("m", "p", "one"), ("n", "p", None)], "model string, prompt string, response string")
+    assert W.put_calls(answered, path, parts) == 1 and W.put_calls(answered, path, parts) == 0
+    assert {(r["model"], r["prompt"]): r["response"] for r in W.get_calls(wanted, path, parts).collect()} == {("m", "p"): "one", ("m", None): None, ("n", "p"): None}
+
+
+def test_states_count_only_when_whole(spark, tmp_path, monkeypatch):
+    path, schema = str(tmp_path / "states"), "architecture string, paper_id string, key_hash string, chunk string"
+    wanted = spark.createDataFrame([("flat", "1", "h"), ("flat", "2", "h")], "architecture string, paper_id string, key_hash string")
+    assert W.get_states(wanted, path) is None
+    W.put_states(spark.createDataFrame([("flat", "1", "h", "a"), ("flat", "1", "h", "b")], schema), path)
+    assert sorted(r["chunk"] for r in W.get_states(wanted, path).collect()) == ["a", "b"]
+    with monkeypatch.context() as m:
+        m.setattr(W, "_point", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError):
+            W.put_states(spark.createDataFrame([("flat", "2", "h", "c")], schema), path)
+    assert W.get_states(wanted, path).count() == 2
+    W.put_states(spark.createDataFrame([("flat", "2", "h", "c")], schema), path)
+    assert W.get_states(wanted, path).count() == 3
+
+
 def test_logs_files_maps(spark, tmp_path):
     write(tmp_path / "one.log", "run=aa", "noise", "run=bb")
     logs = str(tmp_path / "*.log")
@@ -84,6 +144,18 @@ def test_stream_lands_once(spark, tmp_path):
         land(ledger_stream(spark, str(source)), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(60)
     write(source / "b.json", json.dumps(row | {"call_id": 2}))
     land(ledger_stream(spark, str(source)), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(60)
-    landed = spark.read.parquet(str(tmp_path / "out"))
+    landed = spark.read.parquet(str(tmp_path / "out" / "calls"))
     assert sorted(r["call_id"] for r in landed.collect()) == [1, 2]
     assert sum(r["n_calls"] for r in hourly_tokens(landed).collect()) == 2
+
+
+def test_late_calls_land_beside(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    row = {"call_id": 1, "architecture": "flat", "stage": "generate", "failed": False, "received_at": "2026-01-10T00:00:00Z"}
+    write(source / "a.json", json.dumps(row))
+    land(ledger_stream(spark, str(source)), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(60)
+    write(source / "b.json", json.dumps(row | {"call_id": 2, "received_at": "2026-01-07T00:00:00Z"}), json.dumps(row | {"received_at": "2026-01-15T00:00:00Z"}), json.dumps(row | {"call_id": 3}))
+    land(ledger_stream(spark, str(source)), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(60)
+    assert sorted(r["call_id"] for r in spark.read.parquet(str(tmp_path / "out" / "calls")).collect()) == [1, 3]
+    assert [r["call_id"] for r in spark.read.parquet(str(tmp_path / "out" / "late")).collect()] == [2]

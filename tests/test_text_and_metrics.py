@@ -41,7 +41,7 @@ def test_accuracy(spark, p, g, expected):
     assert one(spark, accuracy(F.col("p"), F.col("g")), "p string, g string", p, g) == expected
 
 
-@pytest.mark.parametrize("raw, letter", [("(C)", "C"), ("B. the mill", "B"), ("D", "D"), ("A.", "A"), ("A\nbecause", "A"), ("The option is c, I think", "C"), ("I choose (b) here", "B"), ("Answer: C", "C"), ("nothing here", None), ("", None), (None, None), ("options are many", None)])
+@pytest.mark.parametrize("raw, letter", [("(C)", "C"), ("B. the mill", "B"), ("D", "D"), ("A.", "A"), ("A\nbecause", "A"), ("The option is c, I think", "C"), ("I choose (b) here", "B"), ("Answer: C", "C"), ("  A  ", "A"), ("\nB\n", "B"), ("( B )", "B"), ("A:", "A"), ("A)", "A"), ("B. Big Ben is a clock tower in London.", "B"), ("D) The Pyramid", "D"), ("option b", "B"), ("The answer is D", "D"), ("(option A)", "A"), ("Answer: A. The Eiffel Tower", "A"), ("A cat sat", None), ("   ", None), ("I do not know", None), ("The model could not determine the answer.", None), ("42", None), ("nothing here", None), ("", None), (None, None), ("options are many", None)])
 def test_choice_letter(spark, raw, letter):
     assert one(spark, T.choice_letter(F.col("t")), "t string", raw) == letter
 
