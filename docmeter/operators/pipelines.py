@@ -1,7 +1,8 @@
-"""Answering over documents: providers, the operators that call them, and the four architectures as DataFrame plans.
+"""Calls over documents: the interface of a provider, the operator that calls it, and the contexts it is given.
 
-Model calls sit behind a small interface. The implementations here are deterministic and offline; an online one needs only
-the same call(). Calls run inside mapInPandas, one provider per task, and every call yields its row for the ledger.
+Model calls sit behind a small interface. The one implementation here is deterministic and offline; an online one needs only
+the same call() and an entry in PROVIDERS. Calls run inside mapInPandas, one provider per task, and every call yields its row
+for the ledger.
 """
 
 from __future__ import annotations
@@ -12,11 +13,10 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Protocol
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from docmeter.operators.retrieval import chunked, context, hashed_vectors, packed, retrieved
+from docmeter.operators.retrieval import chunked, context, hashed_vectors, retrieved
 
 CALL = "answer string, input_tokens bigint, output_tokens bigint, wallclock_s double, failed boolean, failure_reason string"
 
@@ -44,17 +44,7 @@ class Extractive:
         return Reply(" ".join(words), max(1, len(prompt) // 4), len(words))
 
 
-class LeadSummary:
-    """Summarises with the first words of each part."""
-
-    def call(self, prompt: str, max_tokens: int) -> Reply:
-        parts = [p.strip() for p in prompt.split("\n\n") if p.strip()]
-        each = max(1, max_tokens // max(1, len(parts)))
-        words = [w for p in parts for w in p.split()[:each]][:max_tokens]
-        return Reply(" ".join(words), max(1, len(prompt) // 4), len(words))
-
-
-PROVIDERS: dict[str, Callable[[], Provider]] = {"extractive": Extractive, "lead": LeadSummary}
+PROVIDERS: dict[str, Callable[[], Provider]] = {"extractive": Extractive}
 
 
 def provider(name: str) -> Provider:
@@ -128,66 +118,7 @@ def naive(questions: DataFrame, documents: DataFrame, k: int = 8, size: int = 38
     return _answered(questions, context(retrieved(_asked(questions), chunks, k), "question_id", 1 << 30), name)
 
 
-def tree(documents: DataFrame, size: int = 100, fan_in: int = 8, layers: int = 5, name: str = "lead") -> DataFrame:
-    """doc_id, layer, chunk_id, chunk and vector of the nodes of a summary tree: leaves are chunks, and each layer above
-    summarises groups of like nodes, until one node is left. Nodes of a document are grouped by sorting them along the
-    direction in which their vectors vary most, so that a group holds neighbours."""
-    level = hashed_vectors(chunked(documents, "paper_id", "text", size).withColumnRenamed("paper_id", "doc_id"), "chunk").withColumn("layer", F.lit(0))
-    nodes = level
-    kind = documents.schema["paper_id"].dataType.simpleString()
-
-    def group(rows: pd.DataFrame) -> pd.DataFrame:
-        vectors = np.stack(rows["vector"].to_numpy())
-        centred = vectors - vectors.mean(axis=0)
-        along = centred @ np.linalg.svd(centred, full_matrices=False)[2][0] if len(rows) > 1 else np.zeros(1)
-        order = np.lexsort((rows["chunk_id"].to_numpy(), np.round(along * (1 if along[np.argmax(np.abs(along))] >= 0 else -1), 9)))
-        out = rows.iloc[order].reset_index(drop=True)
-        return pd.DataFrame({"doc_id": out["doc_id"], "chunk_id": (out.index // fan_in).astype("int32"), "place": out.index.astype("int32"), "chunk": out["chunk"]})
-
-    for layer in range(1, layers):
-        many = level.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
-        grouped = level.join(many, "doc_id", "left_semi").groupBy("doc_id").applyInPandas(group, f"doc_id {kind}, chunk_id int, place int, chunk string")
-        parts = F.array_sort(F.collect_list(F.struct("place", "chunk")))
-        prompts = grouped.groupBy("doc_id", "chunk_id").agg(F.array_join(F.transform(parts, lambda x: x["chunk"]), "\n\n").alias("prompt"))
-        summaries = called(prompts, name, max_tokens=200).select("doc_id", "chunk_id", F.col("answer").alias("chunk"))
-        level = hashed_vectors(summaries, "chunk").withColumn("layer", F.lit(layer))
-        nodes = nodes.unionByName(level)
-    return nodes
-
-
-def collapsed_tree(questions: DataFrame, nodes: DataFrame, k: int = 20, budget: int = 2000, name: str = "extractive") -> DataFrame:
-    """Nodes of all layers in one pool, the k most like the question within a budget of tokens, then the answer."""
-    pool = nodes.select("doc_id", F.concat_ws("-", "layer", F.lpad(F.col("chunk_id").cast("string"), 6, "0")).alias("chunk_id"), "chunk", "vector")
-    return _answered(questions, context(retrieved(_asked(questions), pool, k), "question_id", budget), name)
-
-
-def extracted(chunks: DataFrame) -> DataFrame:
-    """doc_id, chunk_id, source and target: names (capitalised words in a row) that a sentence of a chunk holds together, the
-    offline stand-in for an extraction call."""
-    sentences = chunks.select("doc_id", "chunk_id", F.explode(F.split("chunk", r"(?<=[.!?])\s+|\n+")).alias("s"))
-    names = F.array_distinct(F.regexp_extract_all("s", F.lit(r"(?<=[a-z,;] )(\p{Lu}[\p{L}-]+(?: \p{Lu}[\p{L}-]+)*)"), F.lit(1)))
-    found = sentences.withColumn("names", F.array_sort(names)).where(F.size("names") > 1)
-    pairs = F.flatten(F.transform("names", lambda a: F.transform(F.filter("names", lambda b: b > a), lambda b: F.struct(a.alias("source"), b.alias("target")))))
-    return found.select("doc_id", "chunk_id", F.explode(pairs).alias("p")).select("doc_id", "chunk_id", "p.*")
-
-
-def graph_search(questions: DataFrame, documents: DataFrame, size: int = 600, k: int = 10, budget: int = 8000, name: str = "extractive") -> DataFrame:
-    """A graph of names per document; the edges with names most like the question lead to the chunks that hold them, which
-    fill the budget in the order of their hits, then the answer."""
-    chunks = chunked(documents, "paper_id", "text", size, size // 6).withColumnRenamed("paper_id", "doc_id")
-    edges = extracted(chunks)
-    named = edges.select("doc_id", F.explode(F.array("source", "target")).alias("chunk")).distinct().withColumn("chunk_id", F.col("chunk"))
-    entry = retrieved(_asked(questions), hashed_vectors(named, "chunk"), k).select("question_id", "doc_id", F.col("chunk").alias("node"))
-    touching = edges.select("doc_id", "chunk_id", F.explode(F.array("source", "target")).alias("node"))
-    hits = entry.join(touching, ["doc_id", "node"]).groupBy("question_id", "doc_id", "chunk_id").agg(F.count(F.lit(1)).alias("hits"))
-    ranked = hits.join(chunks, ["doc_id", "chunk_id"]).withColumn("rank", F.struct((-F.col("hits")).alias("h"), "chunk_id"))
-    fits = packed(ranked, "question_id", "rank", F.greatest(F.lit(1), F.floor(F.length("chunk") / 4)), budget)
-    ordered = F.array_sort(F.collect_list(F.struct("rank", "chunk")))
-    texts = fits.groupBy("question_id").agg(F.array_join(F.transform(ordered, lambda x: x["chunk"]), "\n\n").alias("text"))
-    return _answered(questions, texts, name)
-
-
-ARCHITECTURES = {"flat": flat, "naive_rag": naive, "graphrag": graph_search, "raptor": lambda q, d: collapsed_tree(q, tree(d))}
+ARCHITECTURES = {"flat": flat, "naive_rag": naive}
 
 
 def run_architecture(name: str, questions: DataFrame, documents: DataFrame) -> DataFrame:

@@ -66,8 +66,8 @@ def chunked(documents: DataFrame, key: str, text: str, size: int, overlap: int =
 
 
 def hashed_vectors(texts: DataFrame, text: str, name: str = "vector", dimension: int = 64) -> DataFrame:
-    """texts with a vector of unit length: words fall into signed buckets by their hash. The offline stand-in for an
-    embedding service; a text without words has the zero vector."""
+    """texts with a vector of unit length: words fall into signed buckets by their hash, so that the cosine of two vectors is
+    about that of their bags of words; a text without words has the zero vector."""
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def vector(values: pd.Series) -> pd.Series:
@@ -82,25 +82,31 @@ def hashed_vectors(texts: DataFrame, text: str, name: str = "vector", dimension:
     return texts.withColumn(name, vector(F.col(text)))
 
 
-def nearest(queries: DataFrame, corpus: DataFrame, k: int, queries_at_once: int = 2_000, vectors_at_once: int = 50_000) -> DataFrame:
-    """query_id, id, score and rank of the k vectors of corpus (id, vector) most like each query (query_id, vector).
+def nearest(queries: DataFrame, corpus: DataFrame, k: int, within: str | None = None, queries_at_once: int = 2_000, vectors_at_once: int = 50_000) -> DataFrame:
+    """query_id, id, score and rank of the k vectors of corpus (id, vector) most like each query (query_id, vector); with
+    within, a column of both, those of the query's own group, and none for a null one.
 
-    Exact: the stated queries meet all vectors, in blocks of both; the numbers of blocks follow the numbers of rows, so that
-    a task holds one block of each. A block keeps its own k best per query before they are merged, so what is shuffled
-    last is k rows per query and block. Vectors are arrays of doubles; ties go to the smaller id.
+    Exact: the stated queries meet all vectors, in blocks of both; the numbers of blocks follow the numbers of rows of the
+    group, so that a task holds one block of each and a hot group is many tasks. A block keeps its own k best per query
+    before they are merged, so what is shuffled last is k rows per query and block. Vectors are arrays of doubles; ties go
+    to the smaller id.
     """
-    rows, columns = (max(1, -(-n // most)) for n, most in ((queries.count(), queries_at_once), (corpus.count(), vectors_at_once)))
+    group = F.lit("") if within is None else F.col(within)
+    asked = queries.select("query_id", unit(F.col("vector")).alias("q"), group.alias("group")).where(F.col("group").isNotNull())
+    held = corpus.select("id", unit(F.col("vector")).alias("v"), group.alias("group")).where(F.col("group").isNotNull())
 
-    def blocks(n: int) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    def counted(rows: DataFrame, most: int, name: str) -> DataFrame:
+        return rows.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / most).alias(name))
 
-    asked = queries.select("query_id", unit(F.col("vector")).alias("q"), F.pmod(F.xxhash64("query_id"), F.lit(rows)).cast("int").alias("row"), blocks(columns).alias("column"))
-    held = corpus.select("id", unit(F.col("vector")).alias("v"), F.pmod(F.xxhash64("id"), F.lit(columns)).cast("int").alias("column"), blocks(rows).alias("row"))
+    sizes = counted(asked, queries_at_once, "rows").join(counted(held, vectors_at_once, "columns"), "group")
+    blocks = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    left = asked.join(sizes, "group").select("group", "query_id", "q", F.pmod(F.xxhash64("query_id"), F.col("rows")).alias("row"), blocks("columns").alias("column"))
+    right = held.join(sizes, "group").select("group", "id", "v", F.pmod(F.xxhash64("id"), F.col("columns")).alias("column"), blocks("rows").alias("row"))
 
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = [pd.DataFrame({"query_id": left["query_id"][:0], "id": right["id"][:0], "score": np.zeros(0)})]
         if len(left) and len(right):
-            ids, vectors, names = right["id"].to_numpy(), np.stack(right["v"].to_numpy()), left["query_id"].to_numpy()
+            ids, vectors, names = np.array(right["id"].tolist()), np.stack(right["v"].to_numpy()), left["query_id"].to_numpy()
             for start in range(0, len(left), 64):
                 scores = np.round(np.stack(left["q"].to_numpy()[start : start + 64]) @ vectors.T, 9)
                 for score, name in zip(scores, names[start : start + 64]):
@@ -110,7 +116,8 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int, queries_at_once: int
         return pd.concat(out)
 
     kinds = queries.schema["query_id"].dataType.simpleString(), corpus.schema["id"].dataType.simpleString()
-    partial = asked.groupBy("row", "column").cogroup(held.groupBy("row", "column")).applyInPandas(best, f"query_id {kinds[0]}, id {kinds[1]}, score double")
+    keys = ["group", "row", "column"]
+    partial = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(best, f"query_id {kinds[0]}, id {kinds[1]}, score double")
     rank = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return partial.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
 
@@ -122,12 +129,14 @@ def packed(ranked: DataFrame, by: str, order: str, cost: Column, budget: int) ->
 
 
 def retrieved(questions: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
-    """question_id, chunk_id, chunk, score and rank of the k chunks of the question's own document most like it; questions
-    has question_id, doc_id and vector, chunks has doc_id, chunk_id, chunk and vector."""
-    q, c = questions.select("question_id", "doc_id", unit(F.col("vector")).alias("q")), chunks.select("doc_id", "chunk_id", "chunk", unit(F.col("vector")).alias("v"))
-    scored = q.join(c, "doc_id").withColumn("score", F.round(dot(F.col("q"), F.col("v")), 9)).drop("q", "v")
-    rank = Window.partitionBy("question_id").orderBy(F.desc("score"), "chunk_id")
-    return scored.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
+    """question_id, doc_id, chunk_id, chunk, score and rank of the k chunks of the question's own document most like it;
+    questions has question_id, doc_id and vector, chunks has doc_id, chunk_id, chunk and vector. A question is one of a
+    document: question_id and doc_id together name it."""
+    asked = questions.select(F.struct("question_id", "doc_id").alias("query"), "doc_id", "vector")
+    named = asked.select(F.to_json("query").alias("query_id"), "query", "doc_id", "vector")
+    top = nearest(named, chunks.select(F.col("chunk_id").alias("id"), "doc_id", "vector"), k, "doc_id")
+    found = top.join(named.select("query_id", "query"), "query_id").select("query.question_id", "query.doc_id", F.col("id").alias("chunk_id"), "score", "rank")
+    return found.join(chunks.select("doc_id", "chunk_id", "chunk"), ["doc_id", "chunk_id"]).select("question_id", "doc_id", "chunk_id", "chunk", "score", "rank")
 
 
 def context(rows: DataFrame, by: str, budget: int) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from docmeter.operators.retrieval import chunked, context, hashed_vectors, nearest, retrieved
 from docmeter.functions.metrics import rounded
-from docmeter.session import table
+from docmeter.session import stored, table
 
 K = 10
 
@@ -45,15 +45,18 @@ def document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def question_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each question of architecture_results, the eight chunks of its paper's documents most like it, as a context of
-    2,000 tokens: the digest and the number of chunks."""
-    documents = table(spark, sf_dir, "documents", "paper_id", "doc_id", "text", "source").where(F.col("paper_id").isNotNull() & F.col("source").isin("paper_section", "novel_chapter"))
+    """For each question of architecture_results, the eight chunks of its paper's documents most like it by their words, as a
+    context of 2,000 tokens: the digest and the number of chunks. Documents of all sources, unknown ones too, are read; a
+    question without a paper, or whose paper has no text, has no digest and 0 chunks."""
+    documents = table(spark, sf_dir, "documents", "paper_id", "doc_id", "text").where(F.col("paper_id").isNotNull())
     pieces = chunked(documents, "doc_id", "text", 384).join(documents.select("doc_id", "paper_id"), "doc_id")
-    chunks = hashed_vectors(pieces.select(F.col("paper_id").alias("doc_id"), F.concat_ws("-", F.lpad(F.col("doc_id").cast("string"), 12, "0"), F.lpad(F.col("chunk_id").cast("string"), 6, "0")).alias("chunk_id"), "chunk"), "chunk")
-    questions = table(spark, sf_dir, "architecture_results", "question_id", "paper_id", "question").where(F.col("paper_id").isNotNull()).distinct()
-    asked = hashed_vectors(questions.select("question_id", F.col("paper_id").alias("doc_id"), "question"), "question")
-    texts = context(retrieved(asked, chunks, 8), "question_id", 2000)
-    return texts.select("question_id", F.sha2("text", 256).alias("digest"), "n_chunks")
+    chunks = stored(hashed_vectors(pieces.select(F.col("paper_id").alias("doc_id"), F.concat_ws("-", F.lpad(F.col("doc_id").cast("string"), 12, "0"), F.lpad(F.col("chunk_id").cast("string"), 6, "0")).alias("chunk_id"), "chunk"), "chunk"), "chunks")
+    questions = table(spark, sf_dir, "architecture_results", "question_id", "paper_id", "question").groupBy("question_id", "paper_id").agg(F.min("question").alias("question"))
+    asked = stored(hashed_vectors(questions.select("question_id", F.col("paper_id").alias("doc_id"), "question"), "question"), "asked")
+    found = retrieved(asked, chunks, 8).withColumn("key", F.to_json(F.struct("question_id", "doc_id")))
+    texts = context(found, "key", 2000).select("key", F.sha2("text", 256).alias("digest"), "n_chunks")
+    keyed = asked.select("question_id", F.col("doc_id").alias("paper_id"), F.to_json(F.struct("question_id", "doc_id")).alias("key"))
+    return keyed.join(texts, "key", "left").select("question_id", "paper_id", "digest", F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"))
 
 
 QUERIES = {"nearest_vectors": nearest_vectors, "label_recall": label_recall, "document_chunks": document_chunks, "question_contexts": question_contexts}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -24,6 +25,14 @@ def build_session(app: str = "docmeter", cores: str = "8", shuffle_partitions: i
     )
 
 
+def ship(spark: SparkSession) -> str:
+    """Send this package to the executors as a zip, for sessions that were started without it on their path; the zip's path."""
+    here = os.path.dirname(os.path.abspath(__file__))
+    name = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="docmeter-"), "docmeter"), "zip", os.path.dirname(here), os.path.basename(here))
+    spark.sparkContext.addPyFile(name)
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """One Parquet table, with only the columns named (all if none are)."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")

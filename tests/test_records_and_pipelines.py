@@ -92,13 +92,6 @@ def test_architectures(study, name):
     assert rows["q3"]["answer"] == "Unanswerable"
 
 
-def test_tree_ends_in_one_root(study):
-    counts = {(r["doc_id"], r["layer"]): r["count"] for r in P.tree(study[1], size=20, fan_in=4).groupBy("doc_id", "layer").count().collect()}
-    layers = [counts["p1", i] for i in range(5) if ("p1", i) in counts]
-    assert layers[0] > 8 and all(b == -(-a // 4) for a, b in zip(layers, layers[1:])) and layers[-1] == 1
-    assert ("p2", 1) not in counts and not any(d == "p3" for d, _ in counts)
-
-
 def test_calls_fail_softly(spark, study):
     assert P.closed_book(study[0]).first()["answer"] == "Unanswerable"
     calls = P.called(spark.createDataFrame([("p", "x\n\nQuestion: y"), ("p", None)], "paper_id string, prompt string"), "extractive")
