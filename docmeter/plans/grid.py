@@ -112,10 +112,38 @@ def question_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return letters.groupBy("arch", "position").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("c") == "T").alias("n_true"))
 
 
+def failure_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three first results of each architecture and reason that failed."""
+    rows = table(spark, sf_dir, "architecture_results", "result_id", "architecture", "failed", "failure_reason").where("failed").select("result_id", "architecture", F.coalesce("failure_reason", F.lit("unknown")).alias("reason")).distinct()
+    rank = Window.partitionBy("architecture", "reason").orderBy("result_id")
+    return rows.withColumn("n", F.row_number().over(rank)).where("n <= 3")
+
+
+def result_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cells of the grid in two disjoint parts, those to submit (built, with an answer) and failures: how many of each
+    architecture and data set, and their papers."""
+    rows = table(spark, sf_dir, "predictions", *CELL, "dataset", "predicted_answer", "build_failed").distinct()
+    sound = ~F.coalesce("build_failed", F.lit(False)) & (F.coalesce(F.trim("predicted_answer"), F.lit("")) != "")
+    parts = rows.where(sound).withColumn("part", F.lit("submission")).unionByName(rows.where(~sound).withColumn("part", F.lit("failure")))
+    return parts.groupBy("part", "dataset", "arch").agg(F.count(F.lit(1)).alias("n_cells"), F.count_distinct("paper_id").alias("n_papers"))
+
+
+def overridden_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A letter for each question: that of flat's first run, unless people voted, whose most frequent letter then counts."""
+    flat = table(spark, sf_dir, "predictions", "arch", "question_id", "run_index", "predicted_letter").where("arch = 'flat' AND run_index = 0 AND predicted_letter IN ('A', 'B', 'C', 'D')").groupBy("question_id").agg(F.min("predicted_letter").alias("letter"))
+    votes = table(spark, sf_dir, "letter_votes", "question_id", "annotator", "predicted_letter_rescored").distinct()
+    letter = F.upper(F.regexp_extract("predicted_letter_rescored", r"([A-Da-d])", 1))
+    counts = votes.select("question_id", letter.alias("letter")).where("letter <> '' AND question_id IS NOT NULL").groupBy("question_id", "letter").agg(F.count(F.lit(1)).alias("n"))
+    modal = counts.groupBy("question_id").agg(F.min(F.struct((-F.col("n")).alias("n"), "letter")).alias("b")).select("question_id", F.col("b.letter").alias("letter"))
+    both = flat.withColumn("origin", F.lit(0)).unionByName(modal.withColumn("origin", F.lit(1)))
+    return both.groupBy("question_id").agg(F.max_by("letter", "origin").alias("letter"), (F.max("origin") == 1).alias("voted"))
+
+
 QUERIES = {
     "missing_cells": missing_cells, "missing_by_arch": missing_by_arch, "pending_cells": pending_cells, "surplus_cells": surplus_cells, "eligible_papers": eligible_papers, "leaked_questions": leaked_questions,
     "uncited_papers": uncited_papers, "seeded_questions": seeded_questions, "first_questions": first_questions, "common_questions": common_questions, "shared_papers": shared_papers,
     "conflicting_cells": conflicting_cells, "submission_lists": submission_lists, "truth_strings": truth_strings, "question_positions": question_positions,
+    "failure_examples": failure_examples, "result_parts": result_parts, "overridden_letters": overridden_letters,
 }
 
 _PRESENT = "(SELECT DISTINCT arch, paper_id, question_id, run_index FROM predictions)"
@@ -145,4 +173,12 @@ SQL = {
         SELECT paper_id, string_agg(coalesce(letter, 'A'), '' ORDER BY question_id, letter) AS letters, count(letter) AS n_covered, count(*) FILTER (letter IS NULL) AS n_missing FROM v GROUP BY paper_id""",
     "truth_strings": f"SELECT cluster, arch, letters, CAST(length(letters) AS INT) AS n, CAST(length(letters) - length(replace(letters, 'T', '')) AS INT) AS n_true FROM {_STRINGS}",
     "question_positions": f"""SELECT arch, CAST(p - 1 AS INT) AS position, count(*) AS n, count(*) FILTER (c = 'T') AS n_true FROM (SELECT arch, unnest(string_split(letters, '')) AS c, generate_subscripts(string_split(letters, ''), 1) AS p FROM {_STRINGS}) WHERE c <> '' GROUP BY ALL""",
+    "failure_examples": """SELECT result_id, architecture, reason, CAST(row_number() OVER (PARTITION BY architecture, reason ORDER BY result_id) AS INT) AS n
+        FROM (SELECT DISTINCT result_id, architecture, coalesce(failure_reason, 'unknown') AS reason FROM architecture_results WHERE failed) QUALIFY n <= 3""",
+    "result_parts": """SELECT CASE WHEN NOT coalesce(build_failed, FALSE) AND coalesce(trim(predicted_answer, ' '), '') <> '' THEN 'submission' ELSE 'failure' END AS part, dataset, arch, count(*) AS n_cells, count(DISTINCT paper_id) AS n_papers
+        FROM (SELECT DISTINCT arch, paper_id, question_id, run_index, dataset, predicted_answer, build_failed FROM predictions) GROUP BY ALL""",
+    "overridden_letters": """WITH f AS (SELECT question_id, min(predicted_letter) AS letter FROM predictions WHERE arch = 'flat' AND run_index = 0 AND predicted_letter IN ('A', 'B', 'C', 'D') GROUP BY question_id),
+        v AS (SELECT question_id, upper(regexp_extract(predicted_letter_rescored, '([A-Da-d])', 1)) AS letter FROM (SELECT DISTINCT question_id, annotator, predicted_letter_rescored FROM letter_votes) WHERE question_id IS NOT NULL),
+        m AS (SELECT question_id, letter FROM (SELECT question_id, letter, count(*) AS n FROM v WHERE letter <> '' GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY n DESC, letter) = 1)
+        SELECT coalesce(m.question_id, f.question_id) AS question_id, coalesce(m.letter, f.letter) AS letter, m.letter IS NOT NULL AS voted FROM f FULL JOIN m ON f.question_id = m.question_id""",
 }

@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from docmeter.operators.ordered import next_known, numbered, running_total
 from docmeter.session import table
+from docmeter.sources.readers import since
 
 TOKENS = ["uncached_input_tokens", "cached_input_tokens", "output_tokens"]
 STAGES = ["preprocess", "retrieval", "generate"]
+DATE_FLOOR = "2026-04-01"
 
 
 def calls(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -150,7 +152,14 @@ def speed_by_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("model", F.length(F.col("tokens").cast("string")).alias("digits")).agg(F.count(F.lit(1)).alias("n_calls"), F.round(F.sum("tokens") / F.sum("wallclock_s"), 3).alias("tokens_per_s"))
 
 
+def recent_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls and output tokens of each architecture from DATE_FLOOR on; calls without a time are left out."""
+    rows = calls(spark, sf_dir, "architecture", "timestamp", "output_tokens")
+    return since(rows, parsed_time(F.col("timestamp")), DATE_FLOOR).groupBy("architecture").agg(F.count(F.lit(1)).alias("n_calls"), F.sum("output_tokens").alias("output_tokens"))
+
+
 QUERIES = {
+    "recent_calls": recent_calls,
     "prompt_reuse": prompt_reuse, "speed_by_size": speed_by_size,
     "tokens_by_arch_stage": tokens_by_arch_stage, "tokens_rollup": tokens_rollup, "calls_stage_pivot": calls_stage_pivot, "failure_kinds": failure_kinds,
     "embedding_volume": embedding_volume, "build_totals": build_totals, "longest_context": longest_context, "calls_per_day": calls_per_day, "late_calls": late_calls,
@@ -183,6 +192,7 @@ SQL = {
         CAST(sum(coalesce(output_tokens, 0)) AS BIGINT) AS output_tokens, round(sum(gpu_s_estimate), 3) AS gpu_s, round(sum(wallclock_s), 3) AS wall_s
         FROM {_RUN0} WHERE stage = 'preprocess' GROUP BY architecture, paper_id""",
     "longest_context": "SELECT paper_id, max(uncached_input_tokens) AS most_tokens FROM ledger WHERE architecture = 'flat' AND paper_id IS NOT NULL GROUP BY paper_id",
+    "recent_calls": f"SELECT architecture, count(*) AS n_calls, CAST(sum(output_tokens) AS BIGINT) AS output_tokens FROM (SELECT DISTINCT call_id, timestamp, architecture, output_tokens FROM ledger) WHERE {_TIME} >= TIMESTAMP '{DATE_FLOOR}' GROUP BY architecture",
     "calls_per_day": f"SELECT strftime({_TIME}, '%Y-%m-%d') AS day, architecture, count(*) AS n_calls FROM (SELECT DISTINCT call_id, timestamp, architecture FROM ledger) GROUP BY ALL",
     "late_calls": f"""SELECT architecture, CAST(sum(n) AS BIGINT) AS n_rows, CAST(sum(late) AS BIGINT) AS n_late, CAST(sum(n - 1) AS BIGINT) AS n_copies FROM (
         SELECT call_id, architecture, count(*) AS n, count(*) FILTER (floor(epoch(received_at)) - floor(epoch({_TIME})) > 86400) AS late FROM ledger GROUP BY ALL) GROUP BY architecture""",
