@@ -2,18 +2,18 @@
 
 Answers are split into sentences, and the distinct sentences of all answers are sorted: one that is a strict prefix of
 its neighbour is a shortened version of it. Answers that pile up at one length show a limit (a spike). Then the rules for
-empty answers, copies of the question, refusals and other languages apply.
+empty answers, copies of the question, refusals and other languages apply; languages are told by function words and by a
+model that the documents' own languages fit (see languages).
 """
 
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from docmeter.llm.rules import EMPTY_WORDS, FUNCTION_WORDS, OWN_LETTERS, REFUSAL, UNSTATED, any_of, shown, without_label
+from docmeter.llm import languages
+from docmeter.llm.rules import EMPTY_WORDS, REFUSAL, UNSTATED, any_of, without_label
 from docmeter.llm.segments import TERMINATED, looked_up, next_in_order, sentences, words
 from docmeter.session import stored, table
 
@@ -24,62 +24,16 @@ OPENINGS = [
     "die frage ist", "die frage lautet", "frage", "la question est", "la question posée est", "la pregunta es", "pregunta", "la domanda è", "domanda", "a pergunta é", "pergunta", "вопрос", "问题",
 ]
 
-QUOTED = r"""(?U)"[^"]*"|“[^”]*”|„[^“”]*[“”]|«[^»]*»|「[^」]*」"""
+QUOTED = r""""[^"]*"|“[^”]*”|„[^“”]*[“”]|«[^»]*»|「[^」]*」"""
 LETTER_OPTION = r"(?iU)^\W*(?:option|choice|answer)?\s*\(?[A-H]\)?[.:)]?(?:\s.*)?$"
 SPIKE_RATIO = 3.0
 OPEN_RATE = 0.3
 LEAST_WORDS = 3
 
 
-def _languages() -> dict[str, dict[str, float]]:
-    """Weight of each function word by language: one that several languages share counts for each in part."""
-    owners: dict[str, list[str]] = {}
-    for language, known in FUNCTION_WORDS.items():
-        for word in set(known):
-            owners.setdefault(word, []).append(language)
-    return {word: {x: 1 / len(found) for x in found} for word, found in owners.items()}
-
-
-_WEIGHTS = _languages()
-_QUOTED = re.compile(r'"[^"]*"|“[^”]*”|„[^“”]*[“”]|«[^»]*»|「[^」]*」')
-_WORD = re.compile(r"[^\W\d_]+")
-
-
-@lru_cache(maxsize=20_000)  # questions recur for every architecture and run
-def language_of(text: str | None) -> str | None:
-    """The language a text is written in, or None if too little of it tells. Quotations and names do not count."""
-    if not text:
-        return None
-    text = _QUOTED.sub(" ", text)
-    han = sum("一" <= c <= "鿿" for c in text)
-    letters = sum(c.isalpha() for c in text)
-    if han >= 2 and han * 4 >= letters:
-        return "zh"
-    cyrillic = sum("Ѐ" <= c <= "ӿ" for c in text)
-    if cyrillic >= 4 and cyrillic * 2 >= letters:
-        return "ru"
-    score: dict[str, float] = {}
-    for word in _WORD.findall(text):
-        for language, weight in _WEIGHTS.get(word.lower(), {}).items():
-            score[language] = score.get(language, 0) + weight
-        if word[0].islower():
-            for language, own in OWN_LETTERS.items():
-                if any(c in own for c in word):
-                    score[language] = score.get(language, 0) + 0.5
-    best = sorted(score.items(), key=lambda x: -x[1])[:2]
-    if not best or best[0][1] < 1 or (len(best) > 1 and best[0][1] < 1.3 * best[1][1]):
-        return None
-    return best[0][0]
-
-
-@F.pandas_udf(T.StringType())
-def language(texts: pd.Series) -> pd.Series:
-    return texts.map(language_of)
-
-
 def plain_words(text: Column) -> Column:
     """Lower case, letters and digits only, one space between words."""
-    return F.trim(F.regexp_replace(F.lower(text), r"(?U)[^\p{L}\p{N}]+", " "))
+    return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
 
 
 def is_empty(bare: Column) -> Column:
@@ -153,11 +107,11 @@ def is_cut(ends: DataFrame) -> Column:
     return F.col("open") & (odd | long | short)
 
 
-def defects(pairs: DataFrame) -> DataFrame:
+def defects(pairs: DataFrame, model: languages.LanguageModel | None = None) -> DataFrame:
     """result_id and defect (empty, copied_question, refusal, truncated, other_language, or null for a sound pair) of each
     result; pairs has result_id, question, predicted_answer, architecture and response_token_count.
 
-    A null answer is empty. A null question has no copies and no other language. A null count is at no spike. Copies of a
+    model tells languages beside function words and scripts. A null answer is empty. A null question has no copies and no other language. A null count is at no spike. Copies of a
     result come out once, an empty table gives no rows, other columns are not read. The first defect in the order above
     counts.
     """
@@ -168,7 +122,8 @@ def defects(pairs: DataFrame) -> DataFrame:
     rest = stored(marked(ruled.where(F.col("rule").isNull()).drop("rule")), "marked")
     ends = open_ends(rest)
     kept = ends.withColumn("cut", is_cut(ends)).select("result_id", "question", "text", "cut").unionByName(rest.where(~F.col("open")).select("result_id", "question", "text", F.lit(False).alias("cut")))
-    foreign = language(F.col("question")) != language(_after_question(F.col("question"), F.col("text")))
+    told_in = [languages.language(model or languages.no_model(), c) for c in (F.col("question"), _after_question(F.col("question"), F.col("text")))]
+    foreign = told_in[0] != told_in[1]
     told = kept.where(~F.col("cut")).select("result_id", F.when(foreign, "other_language").alias("defect"))
     shortened = kept.where("cut").select("result_id", F.lit("truncated").alias("defect"))
     return ruled.where(F.col("rule").isNotNull()).select("result_id", F.col("rule").alias("defect")).unionByName(told).unionByName(shortened).distinct()
@@ -180,7 +135,8 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """result_id, defect: one row per broken result."""
-    return defects(_pairs(spark, sf_dir)).where(F.col("defect").isNotNull())
+    model = languages.fit(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
+    return defects(_pairs(spark, sf_dir), model).where(F.col("defect").isNotNull())
 
 
 def rates(spark: SparkSession, sf_dir: str) -> DataFrame:

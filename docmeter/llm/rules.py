@@ -59,21 +59,29 @@ OWN_LETTERS = {"de": "äöüß", "fr": "çœêèàùûîôë", "es": "ñ¿¡", "
 
 def shown(text: Column) -> Column:
     """text (null: empty) without invisible characters and white space around it."""
-    return F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), f"[{INVISIBLE}]", ""), r"(?U)^[\s\p{Z}\p{Cntrl}]+|[\s\p{Z}\p{Cntrl}]+$", "")
+    seen = F.translate(F.coalesce(text, F.lit("")), INVISIBLE, "")
+    space = r"(?U)[\s\p{Z}\p{Cntrl}]"
+    around = F.substring(seen, 1, 1).rlike(space) | F.substring(seen, -1, 1).rlike(space)
+    return F.when(around, F.regexp_replace(seen, r"(?U)^[\s\p{Z}\p{Cntrl}]+|[\s\p{Z}\p{Cntrl}]+$", "")).otherwise(seen)
 
 
 def without_label(text: Column) -> Column:
     """Shown text without answer tags, code fences and a leading label such as "Answer:"."""
-    bare = F.regexp_replace(shown(text), r"(?i)</?(?:answer|response|output|final|text|p|div|span|b|i)\s*/?>|```\w*", " ")
+    seen = shown(text)
+    bare = F.when(seen.contains("<") | seen.contains("```"), F.regexp_replace(seen, r"(?i)</?(?:answer|response|output|final|text|p|div|span|b|i)\s*/?>|```\w*", " ")).otherwise(seen)
     label = "|".join(re.escape(x) for x in ANSWER_LABELS)
-    return shown(F.regexp_replace(bare, rf"(?i)^[\s*_#>]*\s*(?:{label})\s*[*_]*\s*[:：]\s*[*_]*", ""))
+    return shown(F.when(bare.rlike("[:：]"), F.regexp_replace(bare, rf"(?i)^[\s*_#>]*\s*(?:{label})\s*[*_]*\s*[:：]\s*[*_]*", "")).otherwise(bare))
 
 
 def any_of(text: Column, patterns: list[str]) -> Column:
     """Whether one of the patterns (without escapes in capitals) is in text, case aside. All are one alternation, over the
-    text in lower case; those that begin at the edge of a word stand behind one test for such an edge, so that most places
-    of a text are passed at once."""
+    text in lower case; those that begin at the edge of a word stand behind one test for such an edge, and behind one for
+    their first letter, so that most places of a text are passed at once."""
     low = [p.lower() for p in patterns]
     edge = [p.removeprefix(r"\b") for p in low if p.startswith(r"\b")]
-    parts = [f"(?:{p})" for p in low if not p.startswith(r"\b")] + ([rf"\b(?:{'|'.join(edge)})"] if edge else [])
+    by_letter: dict[str, list[str]] = {}
+    for p in edge:
+        by_letter.setdefault(p[0] if p[0].isalpha() and p[1:2] not in ("?", "*", "+", "{") else "", []).append(p)
+    groups = [f"{x}(?:{'|'.join(f'(?:{p.removeprefix(x)})' for p in found)})" for x, found in by_letter.items()]
+    parts = [f"(?:{p})" for p in low if not p.startswith(r"\b")] + ([rf"\b(?:{'|'.join(groups)})"] if edge else [])
     return F.lower(text).rlike("(?U)" + "|".join(parts))

@@ -17,8 +17,9 @@ def sentences(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     """The number of words; a run of Chinese characters counts one word for every two of them."""
+    counted = lambda t: F.size(F.filter(F.split(t, r"(?U)\s+"), lambda w: w != ""))
     han = F.length(F.regexp_replace(text, r"[^一-鿿]", ""))
-    return F.size(F.filter(F.split(F.regexp_replace(text, r"[一-鿿]", " "), r"(?U)\s+"), lambda w: w != "")) + F.floor(han / 2)
+    return F.when(text.rlike("[一-鿿]"), counted(F.regexp_replace(text, r"[一-鿿]", " ")) + F.floor(han / 2)).otherwise(counted(text))
 
 
 #: Tasks over which looked_up() spreads the rows of one key.

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from docmeter.llm import cut, pairs
+from docmeter.llm import cut, languages, pairs
 
 PAIRS = "result_id bigint, question string, predicted_answer string, architecture string, response_token_count int, defect string"
 Q = "Why does Anna Torvel leave Lorwick?"
@@ -74,7 +74,23 @@ def test_copies_of_a_result_and_empty_table(spark):
 
 @pytest.mark.parametrize("text, language", [("The house is sold and they leave.", "en"), ("Das Haus ist verkauft und sie gehen.", "de"), ("La maison est vendue et ils partent.", "fr"), ("El libro no lo indica.", "es"), ("Il testo non lo dice.", "it"), ("B", None), (None, None), ("Karl Benno", None)])
 def test_language(text, language):
-    assert pairs.language_of(text) == language
+    assert languages.no_model().of([text]) == [language]
+
+
+def test_fitted_languages(spark):
+    stems = {"en": "the corpus holds {} documents kept for the final test", "es": "la evaluación usa {} documentos reservados para la prueba", "it": "la valutazione usa {} documenti tenuti da parte per la prova"}
+    rows = [(i, t.format(i), x) for i in range(20) for x, t in stems.items()] + [(90, None, "en"), (91, "x", None), (92, "y", "und"), (93, "", "es")]
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id bigint, text string, lang string, defect int")
+    model = languages.fit(docs)
+    assert model.languages == ["en", "es", "it"]
+    assert model.of(["La evaluación usa KelnoshaQA, con 4 documentos reservados", "Holwick contiene 88 documenti tenuti da parte", "Karl Benno", None]) == ["es", "it", None, None]
+    pair = (1, "What data do the authors use to test HolnachGraph?", "La valutazione usa LanorQA, con 7 documenti tenuti da parte per la prova.", "flat", None, "")
+    got = pairs.defects(spark.createDataFrame([pair], PAIRS), model).first()["defect"]
+    assert got == "other_language" and languages.fit(docs.limit(0)).of(["The house is sold and they leave."]) == ["en"]
+
+
+def test_latin_names_in_other_scripts():
+    assert languages.no_model().of(["A: Frederick Cortamere离开Fenwin,因为Marek Rosteck卖掉了房子。", "KormigraveGraph лучше, чем WenanwinGraph, на 9.0 процента.", "the name 安娜 is hers and of the house"]) == ["zh", "ru", "en"]
 
 
 @pytest.mark.parametrize("text, state", [
