@@ -12,7 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from docmeter.llm.abuse import features
+from docmeter.llm.abuse import AT_A_TIME, features
 from docmeter.llm.rules import FUNCTION_WORDS, OWN_LETTERS
 
 #: Documents with a stated language that the model is fitted to at most, drawn by hash among those no longer than so many
@@ -33,12 +33,18 @@ _QUOTED = re.compile(r'"[^"]*"|“[^”]*”|„[^“”]*[“”]|«[^»]*»|
 _LOWER = re.compile(r"(?<![\w-])[^\W\d_A-ZÀ-ÖØ-Þ][^\W\d_]*(?![\w-])")
 
 
+_OTHER_SCRIPT = re.compile("[一-鿿Ѐ-ӿ]")
+_SMALL_LATIN = re.compile(r"(?<![A-Za-zÀ-ÿ])[a-zß-ÿ][A-Za-zÀ-ÿ]*")
+
+
 def script_of(text: str) -> str | None:
     """zh or ru if the letters of a text, those of Latin names apart, are Han or Cyrillic ones for the most part."""
+    if not _OTHER_SCRIPT.search(text):
+        return None
     han, cyrillic = sum("一" <= c <= "鿿" for c in text), sum("Ѐ" <= c <= "ӿ" for c in text)
     if han < 2 and cyrillic < 4:
         return None
-    latin = sum(len(w) for w in re.findall(r"(?<![A-Za-zÀ-ÿ])[a-zß-ÿ][A-Za-zÀ-ÿ]*", text))
+    latin = sum(map(len, _SMALL_LATIN.findall(text)))
     return "zh" if han >= 2 and han * 2 >= latin else "ru" if cyrillic >= 4 and cyrillic >= latin else None
 
 
@@ -60,16 +66,23 @@ _WEIGHTS = _weights()
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+_OWN = re.compile(f"[{''.join(OWN_LETTERS.values())}]")
+
+
 def by_function_words(text: str) -> str | None:
     """The language whose function words and letters a text has most of, None if too few or another has nearly as many."""
     score: dict[str, float] = {}
-    for word in _WORD.findall(text):
-        for language, weight in _WEIGHTS.get(word.lower(), {}).items():
-            score[language] = score.get(language, 0) + weight
-        if word[0].islower():
-            for language, own in OWN_LETTERS.items():
-                if any(c in own for c in word):
-                    score[language] = score.get(language, 0) + 0.5
+    words = _WORD.findall(text)
+    for word in map(str.lower, words):
+        if word in _WEIGHTS:
+            for language, weight in _WEIGHTS[word].items():
+                score[language] = score.get(language, 0) + weight
+    if _OWN.search(text):
+        for word in words:
+            if word[0].islower() and _OWN.search(word):
+                for language, own in OWN_LETTERS.items():
+                    if any(c in own for c in word):
+                        score[language] = score.get(language, 0) + 0.5
     best = sorted(score.items(), key=lambda x: -x[1])[:2]
     if not best or best[0][1] < 1 or (len(best) > 1 and best[0][1] < 1.3 * best[1][1]):
         return None
@@ -91,17 +104,21 @@ class LanguageModel:
     def of(self, texts: list[str | None]) -> list[str | None]:
         """The language of each text, None if too little of it tells."""
         bare = [_QUOTED.sub(" ", t) if t else "" for t in texts]
-        out = [script_of(t) or by_function_words(t) for t in bare]
-        words = [plain(t) if t and script_of(t) is None else "" for t in bare]
+        script = [script_of(t) for t in bare]
+        out = [x or by_function_words(t) for t, x in zip(bare, script)]
+        words = [plain(t) if x is None else "" for t, x in zip(bare, script)]
         ask = [i for i, w in enumerate(words) if w.count(" ") >= WORDS - 1]
-        if not ask or len(self.languages) < 2:
+        if len(self.languages) < 2:
             return out
-        buckets, begins = features([words[i] for i in ask], BITS)
-        for i, low, high in zip(ask, begins, begins[1:]):
-            if high > low:
-                score = self.log_p[:, buckets[low:high]].sum(axis=1)
-                second, best = np.argsort(score)[-2:]
-                if score[best] - score[second] >= (FILLS if out[i] is None else OVERRULES):
+        for low in range(0, len(ask), AT_A_TIME):
+            some = ask[low : low + AT_A_TIME]
+            buckets, begins = features([words[i] for i in some], BITS)
+            scores = np.add.reduceat(self.log_p[:, buckets], begins[:-1], axis=1)  # each has words, so buckets
+            order = np.argsort(scores, axis=0)
+            columns = np.arange(len(some))
+            clear = scores[order[-1], columns] - scores[order[-2], columns]
+            for i, best, by in zip(some, order[-1], clear):
+                if by >= (FILLS if out[i] is None else OVERRULES):
                     out[i] = self.languages[best]
         return out
 
