@@ -58,6 +58,12 @@ def is_refusal(said: Column) -> Column:
     return any_of(said, REFUSAL) & ~any_of(said, UNSTATED)
 
 
+def _said(answer: Column) -> Column:
+    """The answer with straight apostrophes and without quotations; most answers have neither and stay as they are."""
+    straight = F.when(answer.contains("’") | answer.contains("ʼ"), F.regexp_replace(answer, r"(?<=\p{L})[’ʼ](?=\p{L})", "'")).otherwise(answer)
+    return F.when(straight.rlike('["“„«「]'), F.regexp_replace(straight, QUOTED, " ")).otherwise(straight)
+
+
 def _after_question(question: Column, answer: Column) -> Column:
     """The answer without a repetition of the question before it."""
     return F.when(F.lower(answer).startswith(F.lower(F.trim(question))), F.substring(answer, F.length(F.trim(question)) + 1, F.lit(1 << 30))).otherwise(answer)
@@ -116,7 +122,7 @@ def defects(pairs: DataFrame, model: languages.LanguageModel | None = None) -> D
     counts.
     """
     texts = pairs.select("result_id", "question", F.col("architecture").alias("source"), F.col("response_token_count").alias("length"), without_label(F.col("predicted_answer")).alias("text"))
-    plain = texts.withColumns({"q": F.regexp_replace(plain_words(F.col("question")), OPENING, ""), "a": F.regexp_replace(plain_words(F.col("text")), OPENING, ""), "said": F.regexp_replace(F.regexp_replace("text", r"(?<=\p{L})[’ʼ](?=\p{L})", "'"), QUOTED, " ")})
+    plain = texts.withColumns({"q": F.regexp_replace(plain_words(F.col("question")), OPENING, ""), "a": F.regexp_replace(plain_words(F.col("text")), OPENING, ""), "said": _said(F.col("text"))})
     rule = F.when(is_empty(F.col("text")), "empty").when(is_copy(F.col("q"), F.col("a")), "copied_question").when(is_refusal(F.col("said")), "refusal")
     ruled = stored(plain.withColumn("rule", rule).drop("q", "a", "said"), "pairs")
     rest = stored(marked(ruled.where(F.col("rule").isNull()).drop("rule")), "marked")
