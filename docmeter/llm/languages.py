@@ -15,15 +15,15 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from docmeter.llm.abuse import AT_A_TIME, features
 from docmeter.llm.rules import FUNCTION_WORDS, OWN_LETTERS
 
-#: Documents with a stated language that the model is fitted to at most, drawn by hash among those no longer than so many
-#: characters, and the least number of them that a language must have.
-SAMPLE, SHORT, LEAST = 4_000, 5_000, 5
+#: About so many documents of each stated language are what the model is fitted to, drawn by hash among those no longer than
+#: so many characters (all documents of a language that has fewer), and the least number that a language must have.
+SAMPLE, SHORT, LEAST = 800, 5_000, 5
 BITS = 16
 #: Texts whose language a task remembers; bounds memory only.
 KEPT = 50_000
 #: How much more likely (in logarithms) than the next the best language of the model must be to count where the function
 #: words tell nothing, and to count against them.
-FILLS, OVERRULES = 6.0, 20.0
+FILLS, OVERRULES = 6.0, 30.0
 #: Words without a capital that the model needs.
 WORDS = 3
 #: The part of a language's own shares in the mixture with those of all.
@@ -140,11 +140,14 @@ def learn(texts: list[str], languages: list[str]) -> LanguageModel:
     return LanguageModel(known, np.log(mixed + 1e-7).astype(np.float32))
 
 
-def fit(documents: DataFrame, most: int = SAMPLE) -> LanguageModel:
-    """A model of at most `most` documents (doc_id, text, lang); null, blank and undetermined languages are left out."""
-    lang = F.lower(F.trim("lang"))
-    stated = documents.select("doc_id", "text", lang.alias("lang")).where((F.length("lang") == 2) & (F.length("text") > 0) & (F.length("text") <= SHORT))
-    rows = stated.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select("text", "lang").toPandas()
+def fit(documents: DataFrame, each: int = SAMPLE) -> LanguageModel:
+    """A model of about `each` documents (doc_id, text, lang) of every language, so that frequent languages do not know more
+    words than others; null, blank and undetermined languages are left out."""
+    stated = documents.select("doc_id", "text", F.lower(F.trim("lang")).alias("lang")).where(F.col("lang").rlike("^[a-z]{2}$"))
+    sizes = stated.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1_000_000
+    drawn = stated.join(F.broadcast(sizes), "lang").where(place < each / F.col("n"))  # two letters: 676 rows at most
+    rows = drawn.where((F.length("text") > 0) & (F.length("text") <= SHORT)).orderBy("doc_id").select("text", "lang").toPandas()
     return learn(rows["text"].tolist(), rows["lang"].tolist())
 
 
