@@ -6,11 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from docmeter.functions import text as T
 from docmeter.functions.metrics import accuracy, best_f1, evidence_f1, reference_tokens, rounded
-from docmeter.session import stored, table
+from docmeter.operators.overlap import sentence_hits
+from docmeter.session import table
 
 ARCHITECTURES = ["flat", "naive_rag", "raptor", "graphrag"]
-#: Sentences meet documents on the hash of so many first words.
-WORDS = 6
 #: A sentence of so many distinct words counts as a hit if a text has this share of them.
 HIT_WORDS, HIT_SHARE = 6, 0.85
 
@@ -78,47 +77,22 @@ def evidence_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.groupBy("architecture").agg(F.count(F.lit(1)).alias("n_pairs"), rounded(F.avg(evidence_f1(F.col("retrieved_evidence_sentences"), F.col("gold")))).alias("evidence_f1"))
 
 
-def _misses(sentences: DataFrame, words: DataFrame, documents: DataFrame) -> DataFrame:
-    """paper_id and sentence of those of HIT_WORDS distinct words or more of which a document of the paper has HIT_SHARE.
-
-    A document that has them misses few, so it has one of as many of the sentence's words, whichever they are, and one
-    more: the words that the fewest documents of the paper have lead to the documents, and only those pairs are counted."""
-    long = sentences.select("paper_id", "sentence", F.array_distinct(F.split("sentence", " ")).alias("d")).where(F.size("d") >= HIT_WORDS)
-    known = words.groupBy("paper_id", "word").agg(F.count(F.lit(1)).alias("n"))
-    counted = long.select("paper_id", "sentence", "d", F.explode("d").alias("word")).join(known, ["paper_id", "word"], "left").groupBy("paper_id", "sentence").agg(
-        F.first("d").alias("d"), F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word"))).alias("by_n")
-    )
-    enough = F.ceil(HIT_SHARE * F.size("d") - 1e-9).cast("int")
-    leads = counted.select("paper_id", "sentence", "d", F.explode(F.slice("by_n", F.lit(1), F.size("d") - enough + 1)).alias("x")).where("x.n > 0")
-    pairs = leads.select("paper_id", "sentence", "d", F.col("x.word").alias("word")).join(words, ["paper_id", "word"]).select("paper_id", "sentence", "d", "doc_id").distinct()
-    shared = F.size(F.array_intersect("d", "w")) / F.size("d")
-    return pairs.join(documents.select("doc_id", "w"), "doc_id").where(shared >= HIT_SHARE).select("paper_id", "sentence").distinct()
-
-
 def evidence_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evidence sentences of each architecture, those that a document of their paper holds word for word, and hits: these
     and those of six distinct words or more of which a document has 85 %. Sentences without words are left out.
 
-    A sentence meets the documents of its paper on the hash of its first six words in a row, a shorter one on its longest
-    word; the texts come in only for those pairs.
+    Copies of a result state the same sentences, so results need not be made distinct first.
     """
-    rows = answers(spark, sf_dir, "architecture", "paper_id", "retrieved_evidence_sentences").where(F.col("paper_id").isNotNull())
-    stated = rows.select("architecture", "paper_id", F.explode(F.array_distinct("retrieved_evidence_sentences")).alias("s")).select("architecture", "paper_id", T.tokens(F.col("s")).alias("w")).where(F.size("w") > 0)
-    sentences = stored(stated.select("architecture", "paper_id", F.array_join("w", " ").alias("sentence")).distinct(), "sentences")
+    stated = table(spark, sf_dir, "architecture_results", "architecture", "paper_id", "retrieved_evidence_sentences").where(F.col("paper_id").isNotNull())
+    stated = stated.select("architecture", "paper_id", F.explode("retrieved_evidence_sentences").alias("s"))
+    sentences = stated.select("architecture", "paper_id", T.normalize_text(F.col("s")).alias("sentence"))
+    sentences = sentences.groupBy("paper_id", "sentence").agg(F.collect_set(F.struct("architecture")).alias("by"))  # structs: a set has no nulls
     documents = table(spark, sf_dir, "documents", "doc_id", "paper_id", "text").where(F.col("paper_id").isNotNull() & F.col("text").isNotNull())
-    documents = stored(documents.select("doc_id", "paper_id", T.tokens(F.col("text")).alias("w")).where(F.size("w") > 0), "words")
-    words = documents.select("doc_id", "paper_id", F.explode(F.array_distinct("w")).alias("word"))
-    once = sentences.select("paper_id", "sentence").distinct().withColumn("w", F.split("sentence", " "))
-    grams = F.transform(F.sequence(F.lit(1), F.size("w") - (WORDS - 1)), lambda i: F.xxhash64(F.slice("w", i, WORDS)))
-    keyed = documents.where(F.size("w") >= WORDS).select("doc_id", "paper_id", F.explode(F.array_distinct(grams)).alias("key"))
-    long = once.where(F.size("w") >= WORDS).select("paper_id", "sentence", F.xxhash64(F.slice("w", 1, WORDS)).alias("key")).join(keyed, ["paper_id", "key"]).select("paper_id", "sentence", "doc_id")
-    longest = F.array_max(F.transform("w", lambda x: F.struct(F.length(x).alias("n"), x.alias("word"))))["word"]
-    short = once.where(F.size("w") < WORDS).select("paper_id", "sentence", longest.alias("word")).join(words, ["paper_id", "word"]).select("paper_id", "sentence", "doc_id")
-    held = F.contains(F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" ")), F.concat(F.lit(" "), F.col("sentence"), F.lit(" ")))
-    exact = stored(long.unionByName(short).join(documents.select("doc_id", "w"), "doc_id").where(held).select("paper_id", "sentence").distinct(), "held")
-    near = _misses(once.join(exact, ["paper_id", "sentence"], "left_anti"), words, documents)
-    hits = exact.withColumn("held", F.lit(1)).unionByName(near.withColumn("held", F.lit(None).cast("int"))).withColumn("hit", F.lit(1))
-    return sentences.join(hits, ["paper_id", "sentence"], "left").groupBy("architecture").agg(F.count(F.lit(1)).alias("n_sentences"), F.count("held").alias("n_held"), F.count("hit").alias("n_hits"))
+    lengths = documents.select("paper_id", F.length("text").cast("long").alias("n_text"), F.lit(0).cast("long").alias("n_said"))
+    lengths = lengths.unionByName(stated.select("paper_id", F.lit(0).cast("long").alias("n_text"), F.length("s").cast("long").alias("n_said")))
+    documents = documents.withColumn("text", T.normalize_text(F.col("text")))
+    found = sentence_hits(sentences, documents, lengths, HIT_WORDS, HIT_SHARE)
+    return found.select(F.explode("by").alias("by"), "held", "hit").groupBy("by.architecture").agg(F.count(F.lit(1)).alias("n_sentences"), F.count_if("held").alias("n_held"), F.count_if("hit").alias("n_hits"))
 
 
 def choice_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
