@@ -221,7 +221,8 @@ def candidates(nodes: DataFrame) -> DataFrame:
     """graph_id, ca and cb (ca < cb): the pairs of nodes to verify.
 
     Names meet on a distinctive token and an end of another one, so that a surname that a large share of a graph bears is
-    split by the names beside it; a name without another token meets all that have its own."""
+    split by the names beside it; a name without another token meets all that have its own. The parts are stored one by one:
+    all scans and broadcasts of one plan are in the driver's memory at once."""
     rare = stored(_distinctive(nodes), "tokens")
     own = rare.select("graph_id", "token").distinct()
     near = similar_tokens(own)
@@ -235,9 +236,9 @@ def candidates(nodes: DataFrame) -> DataFrame:
     left, right = several.withColumnRenamed("token", "a").withColumnRenamed("canon", "x"), several.withColumnRenamed("token", "b").withColumnRenamed("canon", "y")
     met = left.join(both, ["graph_id", "a"]).join(right, ["graph_id", "b", "organisation", "end"]).where("x < y").select("graph_id", "x", "y")
     single = alone.join(both, ["graph_id", "a"]).join(every, ["graph_id", "b", "organisation"]).where("x <> y").select("graph_id", "x", "y")
-    pairs = met.unionByName(single).select("graph_id", F.least("x", "y").alias("ca"), F.greatest("x", "y").alias("cb"))
-    bare = nodes.join(rare.select("graph_id", "canon").distinct(), ["graph_id", "canon"], "left_anti")
-    return pairs.unionByName(similar_names(nodes, bare)).distinct()
+    pairs = stored(met.unionByName(single).select("graph_id", F.least("x", "y").alias("ca"), F.greatest("x", "y").alias("cb")).distinct(), "pairs")
+    bare = stored(nodes.join(rare.select("graph_id", "canon").distinct(), ["graph_id", "canon"], "left_anti").select("graph_id", "canon"), "bare")
+    return stored(pairs.unionByName(similar_names(nodes, bare)).distinct(), "candidates")
 
 
 def verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -273,7 +274,7 @@ def stars(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """
     degree = edges.groupBy("graph_id", "a").agg(F.count(F.lit(1)).alias("degree")).withColumnRenamed("a", "canon")
     order = F.struct(F.coalesce("degree", F.lit(0)).alias("degree"), F.col("uses"), F.xxhash64("canon").alias("h"), F.col("canon"))
-    ranked = nodes.join(degree, ["graph_id", "canon"], "left").select("graph_id", "canon", order.alias("o"))
+    ranked = stored(nodes.join(degree, ["graph_id", "canon"], "left").select("graph_id", "canon", order.alias("o")), "ranked")
     free = cut(edges.join(ranked.withColumnRenamed("canon", "a").withColumnRenamed("o", "oa"), ["graph_id", "a"]).join(ranked.withColumnRenamed("canon", "b").withColumnRenamed("o", "ob"), ["graph_id", "b"]))
     members = None
     while not free.isEmpty():
@@ -313,6 +314,9 @@ def clusters(names: DataFrame) -> DataFrame:
     Names of two words or more make the stars. A name that is a word, or a word with initials, then joins the star it
     fits best; one that fits two equally well stays alone, and so does an initialism that several stars have. Names
     without letters and digits stay alone. An empty table gives no rows.
+
+    What several steps read is stored, and each plan stays small: the driver holds the scans and broadcasts of a whole plan
+    at once.
     """
     forms = names.select("graph_id", "name", "uses").withColumns({"ordered": tokens_of(F.col("name")), "initialism": F.col("name").rlike(INITIALISM)})
     forms = stored(forms.withColumns({"tokens": F.array_sort("ordered"), "canon": F.when(F.col("initialism") | (F.size("ordered") == 0), F.concat(F.lit("="), F.regexp_replace("name", r"[\s.]", ""))).otherwise(F.concat_ws(" ", F.array_sort("ordered")))}), "names")
@@ -320,8 +324,8 @@ def clusters(names: DataFrame) -> DataFrame:
     edges = links(nodes)
     full = nodes.where(F.col("rank") == 2)
     keys = nodes.select("graph_id", "canon", "rank")
-    marked = edges.join(keys.withColumnRenamed("canon", "a").withColumnRenamed("rank", "ra"), ["graph_id", "a"]).join(keys.withColumnRenamed("canon", "b").withColumnRenamed("rank", "rb"), ["graph_id", "b"])
-    between = stored(marked.where((F.col("ra") == 2) & (F.col("rb") == 2)).select("graph_id", "a", "b", "similarity", "strict"), "between")
+    marked = stored(edges.join(keys.withColumnRenamed("canon", "a").withColumnRenamed("rank", "ra"), ["graph_id", "a"]).join(keys.withColumnRenamed("canon", "b").withColumnRenamed("rank", "rb"), ["graph_id", "b"]), "marked")
+    between = marked.where((F.col("ra") == 2) & (F.col("rb") == 2)).select("graph_id", "a", "b", "similarity", "strict")
     grouped = stored(stars(full, between.where("strict").drop("strict")), "stars")
     grouped = stored(with_rare(grouped, nodes, between), "grouped")
 
@@ -330,12 +334,12 @@ def clusters(names: DataFrame) -> DataFrame:
     tops = Window.partitionBy("graph_id", "a")
     attached = partial.withColumn("top", F.max("similarity").over(tops)).where(F.col("similarity") >= F.col("top") - 0.01).groupBy("graph_id", "a").agg(F.count(F.lit(1)).alias("n"), F.min("center").alias("center"))
     attached = stored(attached.where(F.col("n") == 1).select("graph_id", F.col("a").alias("canon"), "center"), "attached")
-    rest = nodes.where(F.col("rank") < 2).join(attached, ["graph_id", "canon"], "left_anti")
+    rest = stored(nodes.where(F.col("rank") < 2).join(attached, ["graph_id", "canon"], "left_anti"), "rest")
     loose = rest.select("graph_id", F.col("canon").alias("a"))
     loose_edges = marked.where(F.col("strict") & (F.col("ra") < 2) & (F.col("rb") < 2)).join(loose, ["graph_id", "a"], "left_semi").join(loose.withColumnRenamed("a", "b"), ["graph_id", "b"], "left_semi").select("graph_id", "a", "b", "similarity")
-    every = grouped.unionByName(attached).unionByName(stars(rest, loose_edges))
+    every = stored(grouped.unionByName(attached).unionByName(stars(rest, stored(loose_edges, "loose"))), "every")
 
-    named = forms.where(~F.col("initialism")).join(every, ["graph_id", "canon"]).select("graph_id", "name", "ordered", "center")
+    named = stored(forms.where(~F.col("initialism")).join(every, ["graph_id", "canon"]).select("graph_id", "name", "ordered", "center"), "named")
     letters = F.array_join(F.transform("ordered", lambda t: F.substring(t, 1, 1)), "")
     short = named.where((F.size("ordered") >= 3) & ~F.contains("name", F.lit(",")) & is_organisation(F.col("ordered"))).select("graph_id", letters.alias("letters"), "center").distinct()
     single = short.groupBy("graph_id", "letters").agg(F.count(F.lit(1)).alias("n"), F.min("center").alias("center")).where(F.col("n") == 1).drop("n")

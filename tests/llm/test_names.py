@@ -5,6 +5,10 @@ from pyspark.sql import functions as F
 from docmeter.llm import names as N
 
 
+#: Scans of the largest plan of clusters().
+MOST_SCANS = 6
+
+
 def grouped(spark, *spellings, graph=1):
     others = [(g, f"{first} {last}{g}") for g in range(50, 90) for first in ("Anna", "Robert", "William", "Margaret") for last in ("Torv", "Benn")]
     rows = [(graph, s, 3) for s in spellings] + [(g, s, 3) for g, s in others]
@@ -114,3 +118,19 @@ def test_stars_take_the_best_center(spark):
     edges = spark.createDataFrame([(1, x, y, s) for a, b, s in pairs for x, y in ((a, b), (b, a))], "graph_id bigint, a string, b string, similarity double")
     got = {r["canon"]: r["center"] for r in N.stars(nodes, edges).collect()}
     assert set(got) == set("abcde") and got["e"] == "e" and all(got[got[x]] == got[x] for x in got)
+
+
+def test_no_plan_is_large(spark):
+    """The driver holds the scans and broadcasts of a whole plan at once: it takes many small plans, none of many scans."""
+    status, bus = spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+    bus.waitUntilEmpty()
+    known = {e.executionId() for e in scala_list(spark, status.executionsList())}
+    assert len(grouped(spark, "Robert Yaronham", "R. Yaronham", "Yaronham", "Falthemark Institute of Soil Chemistry", "F.I.S.C.", "Ann Lee", "Lee")) == 3
+    bus.waitUntilEmpty()
+    new = [e.executionId() for e in scala_list(spark, status.executionsList()) if e.executionId() not in known]
+    scans = [sum(n.name().startswith("Scan") for n in scala_list(spark, status.planGraph(i).allNodes())) for i in new]
+    assert scans and max(scans) <= MOST_SCANS
+
+
+def scala_list(spark, values):
+    return list(spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(values))
